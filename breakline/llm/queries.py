@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, licenses, mixing, token_counts
+from . import exact_dedup, licenses, mixing, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": licenses.op5_license_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
