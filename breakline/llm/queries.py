@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, licenses, mixing, token_counts, toxicity
+from . import exact_dedup, html_text, licenses, mixing, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": licenses.op5_license_scan,
+    "op7_html_text": html_text.op7_html_text,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
