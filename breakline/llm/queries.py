@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, html_text, licenses, mixing, token_counts, toxicity
+from . import exact_dedup, html_text, licenses, mixing, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": licenses.op5_license_scan,
     "op7_html_text": html_text.op7_html_text,
