@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, html_text, licenses, mixing, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, html_text, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable] = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_html_text": html_text.op7_html_text,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

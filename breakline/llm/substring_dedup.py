@@ -19,6 +19,25 @@ LENGTH = 20
 GRAM = 8
 
 
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, at least n + 1 of each."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(2 * n, 1 << 20)
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(x))]) for x in (int(M1), pow(int(M1), -1, 2**64))]
+    return _powers
+
+
+def word_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of the bytes between each begin and end, from prefix sums."""
+    power, back = powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    return mixed((total[ends] - total[begins]) * back[begins])
+
+
 class Words(Batch):
     r"""Words ``[^\x20\x09-\x0D]+``, laid end to end with one space after each."""
 
@@ -30,11 +49,7 @@ class Words(Batch):
         self.ends = np.flatnonzero(raw == 32)
         self.begins = np.r_[0, self.ends[:-1] + 1] if len(self.ends) else self.ends
         n = len(self.ends)
-        # polynomial hash of each word from prefix sums, as odd powers have inverses modulo 2^64
-        power, back = np.full(len(raw) + 1, M1), np.full(len(raw) + 1, np.uint64(pow(int(M1), -1, 2**64)))
-        power[0] = back[0] = 1
-        total = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:-1])]
-        h = mixed((total[self.ends] - total[self.begins]) * np.cumprod(back)[self.begins])
+        h = word_hashes(raw, self.begins, self.ends)
         for s in (1, 2, 4):  # eight words
             h = mixed(h * M1 + np.r_[h[s:], np.zeros(min(s, n), np.uint64)])
         self.gram = h
