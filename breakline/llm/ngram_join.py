@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .components import components
-from .repeats import BATCH_BYTES, KEY_BITS, M1, _pack, _unpack, mixed
-from .substring_dedup import word_hashes
+from .repeats import BATCH_BYTES, KEY_BITS, _pack, _unpack
+from .substring_dedup import word_bounds, word_grams, word_hashes
 
 N = 4
 NEED = 85
@@ -36,24 +36,25 @@ RANGES = 16
 SET_BATCH_BYTES = 4_000_000
 
 
+#: A-Z to a-z, and the six bytes between words to a space.
+FOLDED = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+
+
 def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
     """Sorted hashes of each text's distinct n-word shingles; of all its words if there are fewer."""
-    words = [t.lower().split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    starts = np.r_[0, np.cumsum(counts)]
-    data = b"".join(b" ".join(w) + b" " for w in words if w)
-    raw = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(raw == 32)
-    h = word_hashes(raw, np.r_[0, ends[:-1] + 1] if len(ends) else ends, ends)
-    grams = h.copy()
-    for k in range(1, n):
-        grams = mixed(grams * M1 + np.r_[h[k:], np.zeros(min(k, len(h)), np.uint64)])
+    data = b" " + b" ".join(t.translate(FOLDED) for t in texts) + b" "
+    begins, ends, starts = word_bounds(data, [len(t) for t in texts])
+    h = word_hashes(np.frombuffer(data, np.uint8), begins, ends)
+    grams = word_grams(h, n)
     out = []
-    for w, a, b in zip(words, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
+        elif b > a:
+            words = b" ".join(data[x:y] for x, y in zip(begins[a:b], ends[a:b], strict=True))
+            out.append(np.frombuffer(hashlib.blake2b(words, digest_size=8).digest(), "<u8"))
         else:
-            out.append(np.frombuffer(hashlib.blake2b(b" ".join(w), digest_size=8).digest(), "<u8") if w else np.zeros(0, np.uint64))
+            out.append(np.zeros(0, np.uint64))
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, html_text, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable] = {
     "op7_html_text": html_text.op7_html_text,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL: dict[str, str] = {**exact_dedup.SQL}

@@ -38,6 +38,22 @@ def word_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((total[ends] - total[begins]) * back[begins])
 
 
+def word_bounds(data: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of words in texts of these lengths that spaces part and surround, and each text's first word."""
+    space = np.frombuffer(data, np.uint8) == 32
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begins, ends = turns[::2], turns[1::2]
+    return begins, ends, np.searchsorted(begins, np.r_[0, np.cumsum(np.array(lengths, np.int64) + 1)] + 1)
+
+
+def word_grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each word on (past the end: of fewer)."""
+    grams = hashes
+    for k in range(1, n):
+        grams = mixed(grams * M1 + np.r_[hashes[k:], np.zeros(min(k, len(hashes)), np.uint64)])
+    return grams
+
+
 class Words(Batch):
     r"""Words ``[^\x20\x09-\x0D]+``, laid end to end with one space after each."""
 
