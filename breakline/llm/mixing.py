@@ -43,17 +43,20 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MAX_EPOCHS)
     return sources.withColumn("target", F.least(stop.cast("double"), F.col("weight") * F.lit(float(level))))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
-    ``quality`` scales a document's chance (null or not positive: 1). Sources rank by code point, null last, and take
-    ``weights`` in turn. A null text has size 0 and is taken 0 times. Repeated doc_ids are separate rows with one key;
-    ties of the key go by doc_id, then by row. The last document that fits a target in part gives that many words.
-    An empty table gives no rows.
+    ``quality`` (doc_id, weight; one row each) scales a document's chance (missing, null or not positive: 1). Sources
+    rank by code point, null last, and take ``weights`` in turn. A null text has size 0 and is taken 0 times. Repeated
+    doc_ids are separate rows with one key; ties of the key go by doc_id, then by row. The last document that fits a
+    target in part gives that many words. An empty table gives no rows.
     """
-    weight = F.coalesce(F.when(quality > 0, quality), F.lit(1.0)) if quality is not None else F.lit(1.0)
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(2**53)) + 0.5) / float(2**53)
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.log(u) / weight).alias("_key"))
+    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.log(u)).alias("_key")), "sizes")  # texts are read once
+    if quality is not None:
+        own = quality.filter("weight > 0").select(F.col("doc_id").alias("_rated"), F.col("weight").alias("_weight"))
+        rows = rows.join(own, F.col("doc_id") == F.col("_rated"), "left").withColumn("_key", F.col("_key") / F.coalesce("_weight", F.lit(1.0)))
+        rows = rows.drop("_rated", "_weight")
     rows = rows.withColumn("_no_source", F.col("source").isNull())
     dealt = cut(running(rows, [F.col("_no_source"), F.col("source"), F.col("_key"), F.col("doc_id")], {"before": F.col("size")}, "mix"), "mix")
     by_source = dealt.groupBy("_no_source", "source").agg(F.sum("size").alias("source_size"), F.min("before").alias("start"))
@@ -68,20 +71,11 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[int, ...]
     return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
-def _quality(spark, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").filter(F.col("doc_id").isNotNull())
-    return labels.groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-
-
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.join(labels.withColumnRenamed("doc_id", "_labelled"), F.col("doc_id") == F.col("_labelled"), "left").drop("_labelled")
-
-
-def quality_weight() -> Column:
-    """A document labelled good is twice as likely to come early, one labelled bad half as likely."""
-    return F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): a document labelled good is twice as likely to come early, one labelled bad half as likely."""
+    best = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return best.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(with_quality(docs, _quality(spark, sf_dir)), quality_weight())
+    return mix(table(spark, sf_dir, "documents"), label_weights(table(spark, sf_dir, "labels")))
