@@ -70,9 +70,15 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, all columns. Assumes that doc_id identifies a row."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of ``docs`` that ``exact_dedup`` keeps, all columns; rows that repeat a doc_id are told apart by text."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_text"))
+    sha = F.sha2(lower_az(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    out = docs.withColumn("_sha", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_text")), "left_semi")
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    if repeated.isEmpty():
+        return out.drop("_sha")
+    among = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return out.join(repeated, among, "left_anti").union(out.join(repeated, among, "left_semi").dropDuplicates(["doc_id", "_sha"])).drop("_sha")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

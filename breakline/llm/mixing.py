@@ -79,3 +79,12 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), label_weights(table(spark, sf_dir, "labels")))
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the mix takes, all columns, with their size and the words taken (repeats counted).
+
+    Rows that repeat both a doc_id and a size share the larger of their counts.
+    """
+    plan = mix(docs, label_weights(labels)).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
+    return docs.join(plan.groupBy("_id", "size").agg(F.max("taken").alias("taken")), F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("size"))).drop("_id")
