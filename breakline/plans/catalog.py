@@ -1,6 +1,392 @@
-"""Registered queries of the change-point engine and the SQL that they equal."""
+"""Registered queries of the change-point engine, each over whole tables, and the SQL that they equal.
+
+Series come from the driver's tables: ``events`` by event type in order of (ts, event_id), ``lineitem`` by return flag,
+and months of ``orders`` by priority, with a known level shift added in both engines. Values that enter sums are whole
+numbers, so sums do not depend on their order.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import costs, penalty
+from ..operators import detect as D
+from ..operators import metrics as M
+from ..operators import post, segments, series, views
+from ..sources import generators
+
+KEY = ["k"]
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def events(spark, sf) -> DataFrame:
+    """(k, t, v, event_id): cents as whole numbers."""
+    rows = read(spark, sf, "events").select(F.col("event_type").alias("k"), "ts", "event_id", F.floor(F.col("value") * 100).cast("double").alias("v"))
+    return series.index(rows, KEY, ["ts", "event_id"]).select("k", "t", "v", "event_id")
+
+
+EVENTS = "e AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, floor(value * 100)::DOUBLE AS v, event_id FROM events)"
+
+
+def months(spark, sf) -> DataFrame:
+    """(k, t, v): mean order price of each month and priority in thousands, 60 higher in months 30 to 49."""
+    rows = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg((F.sum(F.floor("o_totalprice")) / F.count("*") / 1000).alias("v0"))
+    at = series.index(rows, KEY, ["m"])
+    return at.select("k", "t", (F.col("v0") + F.when(F.col("t").between(30, 49), 60.0).otherwise(0.0)).alias("v"))
+
+
+MONTHS = """m0 AS (SELECT o_orderpriority AS k, strftime(o_orderdate, '%Y-%m') AS m, sum(floor(o_totalprice)::BIGINT) / count(*) / 1000 AS v0 FROM orders GROUP BY ALL),
+    e AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY m) - 1 AS t, v0 + CASE WHEN row_number() OVER (PARTITION BY k ORDER BY m) - 1 BETWEEN 30 AND 49 THEN 60.0 ELSE 0.0 END AS v FROM m0)"""
+
+#: Unpruned recursion in SQL over lists of prefix sums; {cost} prices [j, t) from s, q and the length.
+DP = """p AS (SELECT k, t + 1 AS t, sum({s}) OVER w AS s, sum({q}) OVER w AS q, count(*) OVER (PARTITION BY k) AS n FROM {src} WINDOW w AS (PARTITION BY k ORDER BY t)),
+    dp AS (
+      SELECT d.k, 0::BIGINT AS t, [0.0::DOUBLE] AS S, [0.0::DOUBLE] AS Q, [(-{beta})::DOUBLE] AS FF, [0::BIGINT] AS R, n FROM (SELECT DISTINCT k, n FROM p) d
+      UNION ALL
+      SELECT k, t, S, Q, list_append(FF, list_min(c)), list_append(R, list_position(c, list_min(c)) - 1), n
+      FROM (SELECT d.k, p.t, list_append(d.S, p.s) AS S, list_append(d.Q, p.q) AS Q, d.FF, d.R, d.n,
+                   [FF[j + 1] + {cost} + {beta} FOR j IN range(0, p.t)] AS c
+            FROM dp d JOIN p ON p.k = d.k AND p.t = d.t + 1)
+    ),
+    tr AS (
+      SELECT k, R[n + 1] AS cp, R FROM dp WHERE t = n AND R[n + 1] > 0
+      UNION ALL
+      SELECT k, R[cp + 1], R FROM tr WHERE R[cp + 1] > 0
+    )
+    SELECT k, cp FROM tr"""
+LENGTH = "(p.t - j)"
+MEAN_COST = f"(((p.q - list_extract(d.Q, j + 1)) - (p.s - list_extract(d.S, j + 1)) * (p.s - list_extract(d.S, j + 1)) / {LENGTH}) / 2 + ln({LENGTH}) / 2)"
+VARIANCE_COST = f"({LENGTH} / 2.0 * ln(greatest(p.q - list_extract(d.Q, j + 1), 1e-11) / {LENGTH}) + ln({LENGTH}) / 2)"
+NOISE = "r AS (SELECT k, sum(d * d) / (2 * (count(*) - 1)) AS s2 FROM (SELECT k, v - lag(v) OVER (PARTITION BY k ORDER BY t) AS d FROM e) GROUP BY k)"
+
+
+def _dp(before: str, src: str, s: str, q: str, beta: str, cost: str) -> str:
+    return f"WITH RECURSIVE {before}, " + DP.format(src=src, s=s, q=q, beta=beta, cost=cost)
+
+
+def _detect(family: str, **options):
+    return lambda spark, sf: D.detect(months(spark, sf), "k", "t", "v", family=family, **options).raw_change_points
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return D.mean(months(spark, sf), "k", "t", "v").change_points
+
+
+# --- series -----------------------------------------------------------------------------------------------------------
+
+
+def series_index(spark, sf):
+    return events(spark, sf)
+
+
+def prefix_stats(spark, sf):
+    return series.prefix_stats(events(spark, sf), KEY, ["v"]).select("k", "t", "s_v", "q")
+
+
+def prefix_sums_long(spark, sf):
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return series.prefix_sums_global(rows, ["l_orderkey", "l_linenumber", "l_quantity"], ["l_quantity"]).groupBy("l_orderkey", "l_linenumber").agg(F.max("s_l_quantity").alias("s"))
+
+
+def first_diff(spark, sf):
+    return events(spark, sf).select("k", "t", series.first_diff("v", KEY).alias("d"))
+
+
+def lag_matrix_ar(spark, sf):
+    return series.lags(events(spark, sf), KEY, ["v"], 2).select("k", "t", "v", "v_lag1", "v_lag2")
+
+
+def lag_matrix_var(spark, sf):
+    rows = events(spark, sf).withColumn("w", F.col("event_id").cast("double"))
+    return series.lags(rows, KEY, ["v", "w"], 1).select("k", "t", "v", "w", "v_lag1", "w_lag1")
+
+
+def ordinal_rank(spark, sf):
+    return events(spark, sf).select("k", "t", series.ordinal_rank("v", KEY).alias("rank"))
+
+
+def presegment_buckets(spark, sf):
+    rows = events(spark, sf)
+    return rows.join(series.lengths(rows, KEY), KEY).select("k", "t", series.presegment(F.col("n"), F.col("t")).alias("bucket"))
+
+
+def rice_variance(spark, sf):
+    return series.rice_variance(events(spark, sf), KEY, "v").select("k", F.round("rice_variance", 4).alias("rice_variance"))
+
+
+def sliding_sum(spark, sf):
+    return events(spark, sf).select("k", "t", series.sliding("v", KEY, 5).alias("s"))
+
+
+def penalty_table(spark, sf):
+    n = series.lengths(events(spark, sf), KEY)
+    return n.select("k", *[F.round(penalty.penalty_column(c, F.lit(1), F.col("n"), f), 6).alias(f"{f}_{c.lower()}") for f in ("mean", "lm") for c in penalty.CRITERIA])
+
+
+# --- segments ---------------------------------------------------------------------------------------------------------
+
+
+def _blocks(spark, sf, size: int = 100) -> DataFrame:
+    return events(spark, sf).withColumn("seg_id", F.floor(F.col("t") / size).cast("int"))
+
+
+def segment_moments(spark, sf):
+    out = segments.segment_moments(_blocks(spark, sf), KEY, ["v"]).filter("length > 1")
+    return out.select("k", "seg_id", "length", F.round("mean_v", 4).alias("mean_v"), F.round("cov_v_v", 2).alias("cov_v_v"))
+
+
+def segment_cost(kind: str):
+    def run(spark, sf):
+        rows = _blocks(spark, sf)
+        if kind == "variance":
+            rows = rows.join(rows.groupBy(*KEY).agg(F.avg("v").alias("centre")), KEY)
+        return segments.segment_costs(rows, KEY, "v", kind).select("k", "seg_id", F.round("cost", 3).alias("cost"))
+
+    return run
+
+
+def segment_energy(spark, sf):
+    return segments.segment_energy(_blocks(spark, sf), KEY, "v").select("k", "seg_id", F.round("energy", 2).alias("energy"))
+
+
+def ols_segment(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), F.month("l_shipdate").alias("seg_id"), "l_quantity", F.floor("l_extendedprice").cast("double").alias("y"))
+    return segments.ols_one(rows, KEY, "y", "l_quantity").select("k", "seg_id", F.round("slope", 6).alias("slope"), F.round(F.col("rss") / 1e6, 2).alias("rss_millions"))
+
+
+def residuals_mean(spark, sf):
+    d = D.mean(months(spark, sf), "k", "t", "v")
+    return d.residuals().select("k", "t", "seg_id", F.round("residual", 6).alias("residual"))
+
+
+def segment_summary(spark, sf):
+    out = views.segment_summary(_blocks(spark, sf), KEY, "v").filter("length > 10")
+    return out.select("k", "seg_id", "length", F.round("mean", 4).alias("mean"), F.round("kurtosis", 6).alias("kurtosis"), F.round("overdispersion", 4).alias("overdispersion"))
+
+
+# --- post-processing: change points where event_id leaves no rest ------------------------------------------------------
+
+
+def _points(spark, sf, mod: int) -> DataFrame:
+    return events(spark, sf).filter(f"event_id % {mod} = 0 AND t > 0").select("k", F.col("t").cast("long").alias("cp"))
+
+
+def _sizes(spark, sf) -> DataFrame:
+    return series.lengths(events(spark, sf), KEY)
+
+
+POINTS = "c AS (SELECT k, t AS cp FROM e WHERE event_id % {a} = 0 AND t > 0), z AS (SELECT k, count(*) AS n FROM e GROUP BY k)"
+ISLANDS = """g AS (SELECT k, cp, n, CASE WHEN cp - lag(cp) OVER w {far} 0.005 * n OR lag(cp) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM c JOIN z USING (k) WINDOW w AS (PARTITION BY k ORDER BY cp)),
+    i AS (SELECT k, cp, sum(new) OVER (PARTITION BY k ORDER BY cp) AS run FROM g)"""
+
+
+def trim_open(spark, sf):
+    return post.trim(_points(spark, sf, 37), _sizes(spark, sf), KEY, 0.1, closed=False)
+
+
+def trim_closed(spark, sf):
+    return post.trim(_points(spark, sf, 37), _sizes(spark, sf), KEY, 0.1, closed=True)
+
+
+def merge_runs(spark, sf):
+    return post.merge_runs(_points(spark, sf, 37), _sizes(spark, sf), KEY, 0.005)
+
+
+def merge_pairs(spark, sf):
+    return post.merge_pairs(_points(spark, sf, 37), _sizes(spark, sf), KEY, 0.005)
+
+
+def min_length(spark, sf):
+    return post.min_length(_points(spark, sf, 37), _sizes(spark, sf), KEY, 10)
+
+
+def segments_from_cps(spark, sf):
+    return post.segments(_points(spark, sf, 37), _sizes(spark, sf), KEY)
+
+
+def label_rows(spark, sf):
+    return post.label(events(spark, sf), segments_from_cps(spark, sf), KEY).select("k", "t", "seg_id")
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------------
+
+
+def _sides(spark, sf):
+    return _points(spark, sf, 37), _points(spark, sf, 41), _sizes(spark, sf)
+
+
+def hausdorff(spark, sf):
+    return M.hausdorff_distance(*_sides(spark, sf), KEY)
+
+
+def rand_index(spark, sf):
+    return M.adjusted_rand_index(*_sides(spark, sf), KEY).select("k", F.round("rand_index", 9).alias("rand_index"), F.round("true_ari", 9).alias("true_ari"))
+
+
+def nearest(spark, sf):
+    true, pred, _ = _sides(spark, sf)
+    return M.nearest(true, pred, KEY).select("k", "cp", "distance")
+
+
+def tolerance_pairs(spark, sf):
+    true, pred, _ = _sides(spark, sf)
+    return M.tolerance_pairs(true, pred, KEY, 10)
+
+
+def _spaced(spark, sf):
+    """True points every 50 rows, predicted ones up to 9 rows later for two of three: no point has two partners."""
+    rows = events(spark, sf)
+    true = rows.filter("t % 50 = 25").select("k", F.col("t").alias("cp"))
+    pred = true.filter("cp % 3 <> 0").select("k", (F.col("cp") + F.floor(F.col("cp") / 50) % 10).alias("cp"))
+    return true, pred, series.lengths(rows, KEY)
+
+
+def precision_recall(spark, sf):
+    true, pred, n = _spaced(spark, sf)
+    out = M.precision_recall(true, pred, n, KEY, 4)
+    return out.select("k", "n_true", "n_pred", "tp", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
+
+
+def f_beta(spark, sf):
+    true, pred, n = _spaced(spark, sf)
+    return M.f_beta_score(true, pred, n, KEY, 2.0, 6).select("k", F.round("f_beta", 9).alias("f_beta"), F.round("f0_5", 9).alias("f0_5"))
+
+
+def margin_sweep(spark, sf):
+    true, pred, n = _spaced(spark, sf)
+    return M.margin_sweep(true, pred, n, KEY, (1, 5, 10)).select("k", "margin", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+def annotation_error(spark, sf):
+    return M.annotation_error(*_spaced(spark, sf), KEY)
+
+
+def covering(spark, sf):
+    true, pred, n = _spaced(spark, sf)
+    notes = true.withColumn("annotator_id", F.explode(F.array(F.lit(0), F.lit(1)))).filter("annotator_id = 0 OR cp % 4 <> 1")
+    return M.covering_metric(notes, notes.select("k", "annotator_id").distinct(), pred, KEY, 10)
+
+
+def evaluate_all(spark, sf):
+    return M.evaluate_all(*_spaced(spark, sf), KEY).select("k", "summary")
+
+
+# --- views and sources ------------------------------------------------------------------------------------------------
+
+
+def histogram50(spark, sf):
+    return views.histogram(events(spark, sf), KEY, "v", 50).select("k", "bin", "count")
+
+
+def auc(spark, sf):
+    rows = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select(F.lit("all").alias("k"), F.col("n_chars").cast("double").alias("score"), "toxic")
+    return views.auc(rows, KEY, "score", "toxic").select("k", F.round("auc", 9).alias("auc"))
+
+
+def generate(kind: str, **options):
+    return lambda spark, sf: generators.generate(spark, kind, series=20, n=300, k=2, seed=7, **options).rows
+
+
+def detect_generated(spark, sf):
+    data = generators.generate(spark, "mean", series=20, n=300, k=2, seed=7)
+    found = D.mean(data.rows, "series_id", "t", "v").change_points
+    return M.precision_recall(data.truth, found, series.lengths(data.rows, ["series_id"]), ["series_id"])
+
+
+def long_series(spark, sf):
+    rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), (F.col("l_quantity") + F.when(F.col("l_orderkey") % 3000 >= 1500, 30).otherwise(0)).alias("v"))
+    return D.detect_long(rows.groupBy("at").agg(F.avg("v").alias("v")), "at", "v", chunk=20_000)
+
+
+def _custom(segment) -> float:
+    return float(((segment - segment.mean(0)) ** 2).sum()) / 200
+
+
+def lm_daily(family: str, **options):
+    def run(spark, sf):
+        day = F.to_date("l_shipdate")
+        rows = read(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("k"), F.date_trunc("month", day).alias("d")).agg(F.avg("l_extendedprice").alias("price"), F.avg("l_quantity").alias("x1"), (F.avg("l_discount") * 100).alias("x2"), F.count("*").alias("c"))
+        y = {"binomial": (F.col("price") > 36000).cast("double"), "poisson": (F.col("c") % 7).cast("double")}.get(family, F.col("price") / 1000)
+        return D.detect(rows.select("k", "d", y.alias("y"), "x1", "x2"), "k", "d", "y", ["x1", "x2"], family=family, **options).change_points
+
+    return run
+
+
+def grid(spark, sf):
+    return D.detect_grid(months(spark, sf), "k", "t", "v", [2.0, 10.0, 50.0])
+
+
+QUERIES: dict = {
+    "series_index": series_index, "prefix_stats": prefix_stats, "prefix_sums_long": prefix_sums_long, "first_diff": first_diff, "lag_matrix_ar": lag_matrix_ar, "lag_matrix_var": lag_matrix_var,
+    "ordinal_rank": ordinal_rank, "presegment_buckets": presegment_buckets, "rice_variance": rice_variance, "sliding_sum": sliding_sum, "penalty_table": penalty_table,
+    "segment_moments": segment_moments, "segment_cost_mean": segment_cost("mean"), "segment_cost_variance": segment_cost("variance"), "segment_cost_meanvariance": segment_cost("meanvariance"), "segment_energy": segment_energy, "ols_segment": ols_segment, "segment_summary": segment_summary, "residuals_mean": residuals_mean,
+    "pelt_mean": _detect("mean"), "pelt_mean_bic": _detect("mean", beta="BIC", cost_adjustment=None), "pelt_variance": _detect("variance", beta=1.0), "pelt_meanvariance": _detect("meanvariance"), "detect_mean": flagship,
+    "pelt_rank": _detect("rank", beta=5.0), "pelt_rbf": _detect("rbf", beta=3.0), "pelt_custom": _detect("custom", beta=20.0, cost=_custom), "pelt_target": _detect("mean", target=2), "pelt_ar": _detect("ar", order=(1,)), "pelt_arma": _detect("arma", order=(1, 1)), "pelt_garch": _detect("garch", order=(1, 1)),
+    "pelt_var": lambda spark, sf: D.detect(months(spark, sf).withColumn("w", F.col("t") % 7 + F.col("v") / 10), "k", "t", ["v", "w"], family="var", order=(1,)).raw_change_points,
+    "pelt_lm": lm_daily("lm"), "pelt_binomial": lm_daily("binomial"), "pelt_poisson": lm_daily("poisson"), "pelt_lasso": lm_daily("lasso"), "segd_binomial": lm_daily("binomial", vanilla_percentage=0.0), "segd_poisson": lm_daily("poisson", vanilla_percentage=0.5), "segd_lasso": lm_daily("lasso", vanilla_percentage=0.0),
+    "beta_grid": grid, "long_series": long_series,
+    "trim_open": trim_open, "trim_closed": trim_closed, "merge_runs": merge_runs, "merge_pairs": merge_pairs, "min_length": min_length, "segments_from_cps": segments_from_cps, "label_rows": label_rows,
+    "hausdorff": hausdorff, "rand_index": rand_index, "nearest": nearest, "tolerance_pairs": tolerance_pairs, "precision_recall": precision_recall, "f_beta": f_beta, "margin_sweep": margin_sweep, "annotation_error": annotation_error, "covering": covering, "evaluate_all": evaluate_all,
+    "histogram50": histogram50, "auc": auc,
+    "generate_mean": generate("mean"), "generate_variance": generate("variance"), "generate_regression": generate("regression"), "generate_arma": generate("arma"), "generate_glm": generate("glm"), "generate_garch": generate("garch"), "detect_generated": detect_generated,
+}
+
+W = "(PARTITION BY k ORDER BY t)"
+BLOCKS = f"WITH {EVENTS}, b AS (SELECT *, (t // 100)::INTEGER AS seg_id FROM e)"
+SIDES = f"WITH {EVENTS}, a AS (SELECT k, t AS cp FROM e WHERE event_id % 37 = 0 AND t > 0), b AS (SELECT k, t AS cp FROM e WHERE event_id % 41 = 0 AND t > 0), z AS (SELECT k, count(*) AS n FROM e GROUP BY k)"
+SPACED = f"WITH {EVENTS}, a AS (SELECT k, t AS cp FROM e WHERE t % 50 = 25), b AS (SELECT k, cp + (cp // 50) % 10 AS cp FROM a WHERE cp % 3 <> 0), z AS (SELECT k, count(*) AS n FROM e GROUP BY k)"
+#: Points are spaced so that every pair within the margin is a match.
+RATIOS = "s AS (SELECT k, {m} AS margin, (SELECT count(*) FROM a WHERE a.k = z.k) AS n_true, (SELECT count(*) FROM b WHERE b.k = z.k) AS n_pred, (SELECT count(*) FROM a JOIN b USING (k) WHERE a.k = z.k AND abs(a.cp - b.cp) <= {m}) AS tp FROM z), pr AS (SELECT *, tp / n_pred AS p, tp / n_true AS r FROM s)"
+SEGMENTS = "x AS (SELECT k, 0 AS s FROM z UNION SELECT k, cp FROM {c}), {name} AS (SELECT k, s, coalesce(lead(s) OVER (PARTITION BY k ORDER BY s), n) AS f FROM x JOIN z USING (k))"
+
+
+def _noise_sql(beta: str, cost: str = MEAN_COST) -> str:
+    return _dp(f"{MONTHS}, {NOISE}, y AS (SELECT e.k, t, v / sqrt(s2) AS x FROM e JOIN r USING (k))", "y", "x", "x * x", beta, cost)
+
+
+def _spaced_ratio(margin: int, columns: str) -> str:
+    return f"{SPACED}, {RATIOS.format(m=margin)} SELECT {columns} FROM pr"
+
+
+SQL: dict = {
+    "series_index": f"WITH {EVENTS} SELECT k, t, v, event_id FROM e",
+    "prefix_stats": f"WITH {EVENTS} SELECT k, t, sum(v) OVER w AS s_v, sum(v * v) OVER w AS q FROM e WINDOW w AS {W}",
+    "prefix_sums_long": "SELECT l_orderkey, l_linenumber, max(s) AS s FROM (SELECT *, sum(l_quantity) OVER (ORDER BY l_orderkey, l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) AS s FROM lineitem) GROUP BY ALL",
+    "first_diff": f"WITH {EVENTS} SELECT k, t, v - lag(v) OVER {W} AS d FROM e",
+    "lag_matrix_ar": f"WITH {EVENTS} SELECT * EXCLUDE (event_id) FROM (SELECT *, lag(v, 1) OVER w AS v_lag1, lag(v, 2) OVER w AS v_lag2 FROM e WINDOW w AS {W}) WHERE t >= 2",
+    "lag_matrix_var": f"WITH {EVENTS} SELECT k, t, v, w, v_lag1, w_lag1 FROM (SELECT *, event_id::DOUBLE AS w, lag(v) OVER {W} AS v_lag1, lag(event_id::DOUBLE) OVER {W} AS w_lag1 FROM e) WHERE t >= 1",
+    "ordinal_rank": f"WITH {EVENTS} SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY v, t) AS rank FROM e",
+    "presegment_buckets": f"WITH {EVENTS} SELECT k, t, CASE WHEN n < 10 THEN 9 ELSE least(t // (n // 10), 9) END::INTEGER AS bucket FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM e)",
+    "rice_variance": f"WITH {EVENTS}, {NOISE} SELECT k, round(s2, 4) AS rice_variance FROM r",
+    "sliding_sum": f"WITH {EVENTS} SELECT k, t, sum(v) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM e",
+    "penalty_table": f"WITH {EVENTS}, z AS (SELECT k, count(*) AS n FROM e GROUP BY k) SELECT k, round(3 * ln(n) / 2, 6) AS mean_mbic, round(ln(n) / 2, 6) AS mean_bic, round(ln(n) / 2, 6) AS mean_mdl, round(3 * ln(n) / 2, 6) AS lm_mbic, round(ln(n), 6) AS lm_bic, round(3 * log2(n) / 2, 6) AS lm_mdl FROM z",
+    "segment_moments": f"{BLOCKS} SELECT k, seg_id, count(*) AS length, round(avg(v), 4) AS mean_v, round(var_samp(v), 2) AS cov_v_v FROM b GROUP BY ALL HAVING count(*) > 1",
+    "segment_cost_mean": f"{BLOCKS} SELECT k, seg_id, round((sum(v * v) - sum(v) * sum(v) / count(*)) / 2, 3) AS cost FROM b GROUP BY ALL",
+    "segment_cost_variance": f"{BLOCKS}, m AS (SELECT k, avg(v) AS c FROM e GROUP BY k) SELECT k, seg_id, round(count(*) / 2.0 * ln(greatest(sum((v - c) * (v - c)), 1e-11) / count(*)), 3) AS cost FROM b JOIN m USING (k) GROUP BY ALL",
+    "segment_cost_meanvariance": f"{BLOCKS} SELECT k, seg_id, round(count(*) / 2.0 * ln(greatest(var_pop(v), 1e-11)), 3) AS cost FROM b GROUP BY ALL",
+    "segment_energy": f"{BLOCKS} SELECT k, seg_id, round(avg(v * v), 2) AS energy FROM b GROUP BY ALL",
+    "ols_segment": "SELECT l_returnflag AS k, month(l_shipdate)::INTEGER AS seg_id, round(sum(l_quantity * y) / sum(l_quantity * l_quantity), 6) AS slope, round((sum(y * y) - sum(l_quantity * y) * sum(l_quantity * y) / sum(l_quantity * l_quantity)) / 1e6, 2) AS rss_millions FROM (SELECT *, floor(l_extendedprice) AS y FROM lineitem) GROUP BY ALL",
+    "segment_summary": f"{BLOCKS} SELECT k, seg_id, count(*) AS length, round(avg(v), 4) AS mean, round(kurtosis_pop(v), 6) AS kurtosis, round(var_pop(v) / avg(v), 4) AS overdispersion FROM b GROUP BY ALL HAVING count(*) > 10",
+    "pelt_mean": _noise_sql("(1.5 * ln(d.n))"),
+    "pelt_mean_bic": _noise_sql("(0.5 * ln(d.n))", MEAN_COST.replace(f" + ln({LENGTH}) / 2", "")),
+    "pelt_variance": _dp(f"{MONTHS}, y AS (SELECT k, t, v - avg(v) OVER (PARTITION BY k) AS x FROM e)", "y", "x", "x * x", "1.0", VARIANCE_COST),
+    "trim_open": f"WITH {EVENTS}, {POINTS.format(a=37)} SELECT k, cp FROM c JOIN z USING (k) WHERE cp > 0.1 * n AND cp < (1 - 0.1) * n",
+    "trim_closed": f"WITH {EVENTS}, {POINTS.format(a=37)} SELECT k, cp FROM c JOIN z USING (k) WHERE cp >= 0.1 * n AND cp <= (1 - 0.1) * n",
+    "merge_runs": f"WITH {EVENTS}, {POINTS.format(a=37)}, {ISLANDS.format(far='>')} SELECT k, (min(cp) + max(cp)) // 2 AS cp FROM i GROUP BY k, run",
+    "merge_pairs": f"WITH {EVENTS}, {POINTS.format(a=37)}, {ISLANDS.format(far='>=')}, o AS (SELECT *, row_number() OVER (PARTITION BY k, run ORDER BY cp) AS j, count(*) OVER (PARTITION BY k, run) AS m FROM i) SELECT k, sum(cp)::BIGINT // count(*) AS cp FROM o GROUP BY k, run, m, (j - 1) // 2 HAVING count(*) = 2 OR m = 1",
+    "segments_from_cps": f"WITH {EVENTS}, {POINTS.format(a=37)}, {SEGMENTS.format(c='c', name='sg')} SELECT k, (row_number() OVER (PARTITION BY k ORDER BY s) - 1)::INTEGER AS seg_id, s AS start, f AS \"end\" FROM sg",
+    "label_rows": f"WITH {EVENTS} SELECT k, t, (sum(CASE WHEN event_id % 37 = 0 AND t > 0 THEN 1 ELSE 0 END) OVER {W})::INTEGER AS seg_id FROM e",
+    "hausdorff": f"{SIDES}, d AS (SELECT a.k, a.cp AS x, b.cp AS y, abs(a.cp - b.cp) AS d FROM a JOIN b USING (k)), f AS (SELECT k, max(m)::DOUBLE AS forward FROM (SELECT k, x, min(d) AS m FROM d GROUP BY ALL) GROUP BY k), g AS (SELECT k, max(m)::DOUBLE AS backward FROM (SELECT k, y, min(d) AS m FROM d GROUP BY ALL) GROUP BY k) SELECT k, forward, backward, greatest(forward, backward) AS hausdorff FROM f JOIN g USING (k)",
+    "rand_index": f"{SIDES}, {SEGMENTS.format(c='a', name='sa')}, {SEGMENTS.format(c='b', name='sb').replace('x AS', 'x2 AS').replace('FROM x JOIN', 'FROM x2 JOIN')}, o AS (SELECT sa.k, sa.f AS fa, sb.f AS fb, least(sa.f, sb.f) - greatest(sa.s, sb.s) AS w FROM sa JOIN sb ON sa.k = sb.k AND sa.s < sb.f AND sb.s < sa.f), u AS (SELECT k, sum(w * abs(fa - fb)) AS d, sum(w * (w - 1) / 2) AS ij FROM o GROUP BY k), i AS (SELECT k, sum((f - s) * (f - s - 1) / 2) AS i FROM sa GROUP BY k), j AS (SELECT k, sum((f - s) * (f - s - 1) / 2) AS j FROM sb GROUP BY k), q AS (SELECT k, n * (n - 1) / 2 AS n2 FROM z) SELECT k, round(1 - d / n2, 9) AS rand_index, round((ij - i * j / n2) / ((i + j) / 2 - i * j / n2), 9) AS true_ari FROM u JOIN i USING (k) JOIN j USING (k) JOIN q USING (k)",
+    "nearest": f"{SIDES} SELECT a.k, a.cp, min(abs(a.cp - b.cp)) AS distance FROM a JOIN b USING (k) GROUP BY ALL",
+    "tolerance_pairs": f"{SIDES} SELECT a.k, a.cp AS true_cp, b.cp AS pred_cp, abs(a.cp - b.cp) AS distance FROM a JOIN b USING (k) WHERE abs(a.cp - b.cp) <= 10",
+    "precision_recall": _spaced_ratio(4, "k, n_true, n_pred, tp, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1"),
+    "f_beta": _spaced_ratio(6, "k, round(5 * p * r / (4 * p + r), 9) AS f_beta, round(1.25 * p * r / (0.25 * p + r), 9) AS f0_5"),
+    "margin_sweep": " UNION ALL ".join(f"SELECT * FROM ({_spaced_ratio(m, 'k, margin, round(p, 9) AS precision, round(r, 9) AS recall')})" for m in (1, 5, 10)),
+    "histogram50": f"WITH {EVENTS}, l AS (SELECT k, min(v) AS lo, (max(v) - min(v)) / 50 AS w FROM e GROUP BY k) SELECT k, CASE WHEN w = 0 THEN 0 ELSE least(floor((v - lo) / w), 49) END::INTEGER AS bin, count(*) AS count FROM e JOIN l USING (k) GROUP BY ALL",
+    "auc": "WITH x AS (SELECT toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)) SELECT 'all' AS k, round((sum(CASE WHEN toxic = 1 THEN r ELSE 0 END) - sum(toxic) * (sum(toxic) + 1) / 2) / (sum(toxic) * (count(*) - sum(toxic))), 9) AS auc FROM x",
+}
