@@ -131,6 +131,27 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _blob(rows: pa.Table) -> bytes:
+    """Rows as one compressed value: columns of a few bytes a row instead of wide rows in the shuffle."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(blobs: list[bytes], schema: dict) -> pa.Table:
+    return pa.concat_tables([pa.table({k: pa.array([], t) for k, t in schema.items()}), *(pa.ipc.open_stream(b).read_all() for b in blobs)]).combine_chunks()
+
+
+def _dealt(rows: pa.Table, by: str) -> tuple[list[int], list[bytes]]:
+    """A blob for each value of ``by``, without that column."""
+    rows = rows.take(pa.array(np.argsort(rows.column(by).to_numpy(), kind="stable")))
+    keys, rows = rows.column(by).to_numpy(), rows.drop_columns([by])
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    ends = np.r_[new[1:], len(keys)] if len(keys) else new
+    return [int(keys[a]) for a in new], [_blob(rows.slice(a, b - a)) for a, b in zip(new.tolist(), ends.tolist(), strict=True)]
+
+
 def _first(table: pa.Table, name: str) -> int:
     return table.column(name)[0].as_py()
 
@@ -191,18 +212,20 @@ class Job:
 
     def cut_stretches(self, texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in STRETCH.items()})
+            return pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "stretches": pa.array([], pa.binary())})
         batch = self.open(texts)
         a = self.anchors(batch)
         keys = np.unique(np.concatenate([*(_unpack(k) for k in shared.column("keys").to_pylist()), a.repeated(not self.same_text)]))
         found = self._folded(batch, a, keys)
-        me = _first(texts, "batch")
-        rows = [(k % self.n, me, places[0][1], batch.ids[places[0][0]], places[0][1] - int(batch.starts[places[0][0]]), k, c) for c, (k, places) in found.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * len(STRETCH)
-        return pa.table({k: pa.array(c, t) for (k, t), c in zip(STRETCH.items(), columns, strict=True)})
-
-    def compare(self, table: pa.Table) -> pa.Table:
-        contents, keys = table.column("content").combine_chunks().dictionary_encode(), table.column("key").to_numpy()
+        rows = [(k % self.n, places[0][1], batch.ids[places[0][0]], places[0][1] - int(batch.starts[places[0][0]]) if self.same_text else 0, k, c) for c, (k, places) in found.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        buckets, blobs = _dealt(pa.table({k: pa.array(c, t) for (k, t), c in zip({"bucket": pa.int32(), **STRETCH}.items(), columns, strict=True)}), "bucket")
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "batch": pa.array([_first(texts, "batch")] * len(blobs), pa.int32()), "stretches": pa.array(blobs, pa.binary())})
+
+    def compare(self, blobs: pa.Table) -> pa.Table:
+        found = [pa.ipc.open_stream(b).read_all() for b in blobs.column("stretches").to_pylist()]
+        table, batches = pa.concat_tables(found).combine_chunks(), np.repeat(blobs.column("batch").to_numpy(), [f.num_rows for f in found])
+        contents, keys = table.column("content").dictionary_encode(), table.column("key").to_numpy()
         if isinstance(contents, pa.ChunkedArray):
             contents = contents.combine_chunks()
         code, distinct = contents.indices.to_numpy(), contents.dictionary.to_pylist()
@@ -221,11 +244,14 @@ class Job:
         mask = [masks[c] for c in code.tolist()]
         moved = (lead_doc[code] != doc) | (lead_start[code] != start)
         tell = np.flatnonzero(moved | np.array([m is not None for m in mask], bool))
-        return pa.table({"batch": table.column("batch").take(tell), "at": table.column("at").take(tell), "doc": pa.array(lead_doc[code[tell]]), "start": pa.array(lead_start[code[tell]]), "mask": pa.array([mask[i] for i in tell], pa.binary())})
+        told = pa.table({"batch": pa.array(batches[tell]), "at": table.column("at").take(pa.array(tell)), "doc": pa.array(lead_doc[code[tell]]), "start": pa.array(lead_start[code[tell]]), "mask": pa.array([mask[i] for i in tell.tolist()], pa.binary())})
+        owners, out = _dealt(told, "batch")
+        return pa.table({"batch": pa.array(owners, pa.int32()), "told": pa.array(out, pa.binary())})
 
     def remove(self, texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({k: pa.array([], t) for k, t in KEPT.items()})
+        told = _rows(told.column("told").to_pylist(), TOLD)
         batch = self.open(texts)
         a = self.anchors(batch)
         at = np.sort(told.column("at").to_numpy().astype(np.int64)) if told.num_rows else np.zeros(0, np.int64)
@@ -242,7 +268,7 @@ class Job:
         cover = np.zeros(int(batch.starts[-1]) + 1, np.int32)
         for places in (p for _, p in self._folded(batch, a, keys).values()):
             r = verdict.get(places[0][1])
-            doc, start = (r["doc"], r["start"]) if r else (batch.ids[places[0][0]], places[0][1] - int(batch.starts[places[0][0]]))
+            doc, start = (r["doc"], r["start"]) if r else (batch.ids[places[0][0]], places[0][1] - int(batch.starts[places[0][0]]) if self.same_text else 0)
             for t, f, l in places:
                 if batch.ids[t] > doc or self.same_text and (batch.ids[t] != doc or f - int(batch.starts[t]) != start or f != places[0][1]):
                     cover[f] += 1
@@ -260,7 +286,8 @@ class Job:
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(KEPT.items(), zip(*rows, strict=True), strict=True)})
 
 
-STRETCH = {"bucket": pa.int32(), "batch": pa.int32(), "at": pa.int32(), "doc": pa.int64(), "start": pa.int32(), "key": pa.int64(), "content": pa.binary()}
+STRETCH = {"at": pa.int32(), "doc": pa.int64(), "start": pa.int32(), "key": pa.int64(), "content": pa.binary()}
+TOLD = {"at": pa.int32(), "doc": pa.int64(), "start": pa.int32(), "mask": pa.binary()}
 KEPT = {"doc_id": pa.int64(), "n_symbols": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept": pa.binary()}
 
 
@@ -271,6 +298,6 @@ def remove_repeats(docs: DataFrame, length: int, gram: int, read, resolve, same_
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(job.n)).cast("int").alias("batch"))
     named = texts.groupBy("batch").applyInArrow(lambda t: job.name_anchors(t), "bucket int, batch int, keys binary")
     shared = named.groupBy("bucket").applyInArrow(lambda t: job.share_anchors(t), "batch int, keys binary")
-    cut = texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, u: job.cut_stretches(t, u), "bucket int, batch int, at int, doc long, start int, key long, content binary")
-    told = cut.groupBy("bucket").applyInArrow(lambda t: job.compare(t), "batch int, at int, doc long, start int, mask binary")
+    cut = texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, u: job.cut_stretches(t, u), "bucket int, batch int, stretches binary")
+    told = cut.groupBy("bucket").applyInArrow(lambda t: job.compare(t), "batch int, told binary")
     return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda t, u: job.remove(t, u), "doc_id long, n_symbols long, starts array<long>, ends array<long>, kept binary")
