@@ -177,12 +177,31 @@ def lasso(y: np.ndarray, x: np.ndarray, sigma: float, alpha: float | None = None
     return Fitted(len(y), 3, fit)
 
 
-def arma(y: np.ndarray, p: int, q: int, trim: float) -> Fitted:
-    def fit(a: int, b: int, start):
-        theta = fits.arma(y[a:b], p, q, start, 3 if start is not None else 12)
-        return theta, fits.arma_loss(y[a:b], theta, p, q)
+class Arma:
+    """Exact likelihood at conditional least squares; all starts of a step are fitted side by side, each from its fit
+    one row shorter."""
+
+    def __init__(self, y: np.ndarray, p: int, q: int, trim: float):
+        self.y, self.p, self.q, self.warm = y, p, q, {}
+        self.least = max(int(trim * len(y)), max(p, q) + 3)
 
-    return Fitted(len(y), max(int(trim * len(y)), max(p, q) + 3), fit, np.nan)
+    def __call__(self, start: np.ndarray, end: int) -> np.ndarray:
+        out = np.full(len(start), np.nan)
+        own = np.flatnonzero(end - start >= self.least)
+        if not len(own):
+            return out
+        first = int(start[own[0]])
+        lanes = np.where(np.arange(first, end) >= start[own][:, None], self.y[first:end], 0.0)
+        zero = np.zeros(self.p + self.q)
+        theta = np.array([self.warm.get(a, zero) for a in start[own].tolist()])
+        cold = np.array([a not in self.warm for a in start[own].tolist()])
+        if cold.any():
+            theta[cold] = fits.arma_lanes(lanes[cold], self.p, self.q, theta[cold], 12)
+        if not cold.all():
+            theta[~cold] = fits.arma_lanes(lanes[~cold], self.p, self.q, theta[~cold], 2)
+        self.warm = dict(zip(start[own].tolist(), theta, strict=True))
+        out[own] = fits.arma_losses(self.y[:end], start[own], theta, self.p, self.q)
+        return out
 
 
 def garch(y: np.ndarray, p: int, q: int, trim: float) -> Fitted:

@@ -113,7 +113,7 @@ def arma(y: np.ndarray, p: int, q: int, start: np.ndarray | None = None, rounds:
         lanes = theta + np.vstack([np.zeros(k), 1e-5 * np.eye(k)])
         e = arma_residuals(np.tile(y, (k + 1, 1)), lanes[:, :p], lanes[:, p:])
         jac = (e[1:] - e[0]).T / 1e-5
-        step = np.linalg.lstsq(jac.T @ jac + 1e-8 * np.eye(k), -jac.T @ e[0], rcond=None)[0]
+        step = np.linalg.solve(jac.T @ jac + (1e-4 * np.trace(jac.T @ jac) / k + 1e-12) * np.eye(k), -jac.T @ e[0])
         for scale in (1.0, 0.5, 0.25, 0.1):
             new = theta + scale * step
             if (value := _rss(y, new, p)) < best:
@@ -135,24 +135,76 @@ def _rss(y: np.ndarray, theta: np.ndarray, p: int) -> float:
     return float((arma_residuals(y[None], ar[None], ma[None]) ** 2).sum())
 
 
+def arma_lanes(y: np.ndarray, p: int, q: int, theta: np.ndarray, rounds: int) -> np.ndarray:
+    """``arma`` without the variance for many segments at once: rows of y end together and begin with zeros, which the
+    conditional residuals leave zero."""
+    m, k = theta.shape
+    rss = lambda th: np.where(_stable(th, p), (arma_residuals(np.tile(y, (len(th) // m, 1)), th[:, :p], th[:, p:]) ** 2).sum(1), np.inf)
+    best = rss(theta)
+    for _ in range(rounds):
+        moved = np.concatenate([theta, *(theta + 1e-5 * np.eye(k)[j] for j in range(k))])
+        e = arma_residuals(np.tile(y, (k + 1, 1)), moved[:, :p], moved[:, p:]).reshape(k + 1, m, -1)
+        jac = (e[1:] - e[0]) / 1e-5
+        h, g = np.einsum("aml,bml->mab", jac, jac), np.einsum("aml,ml->ma", jac, e[0])
+        h = h + (1e-4 * np.einsum("maa->m", h) / k + 1e-12)[:, None, None] * np.eye(k)
+        step = -np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        tries = np.concatenate([theta + s * step for s in (1.0, 0.5, 0.2, 0.05)])
+        values = rss(tries).reshape(4, m)
+        j = values.argmin(0)
+        new = values[j, np.arange(m)]
+        better = new < best
+        if not better.any():
+            break
+        theta = np.where(better[:, None], tries.reshape(4, m, k)[j, np.arange(m)], theta)
+        gain = (best - np.minimum(new, best)) / np.maximum(best, 1e-12)
+        best = np.minimum(new, best)
+        if gain.max() < 1e-6:
+            break
+    return theta
+
+
+def _stable(theta: np.ndarray, p: int) -> np.ndarray:
+    """Stationary and invertible lanes; closed forms to order two, roots beyond."""
+    ok = np.ones(len(theta), bool)
+    for c, sign in ((theta[:, :p], 1), (theta[:, p:], -1)):
+        c = sign * c
+        if c.shape[1] == 1:
+            ok &= np.abs(c[:, 0]) < 0.999
+        elif c.shape[1] == 2:
+            ok &= (np.abs(c[:, 1]) < 0.999) & (c[:, 0] + c[:, 1] < 0.999) & (c[:, 1] - c[:, 0] < 0.999)
+        elif c.shape[1]:
+            ok &= np.array([np.abs(np.roots(np.r_[1, -r])).max() < 0.999 for r in c])
+    return ok
+
+
+def arma_losses(y: np.ndarray, starts: np.ndarray, theta: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Exact Gaussian negative log-likelihoods of y[start:] by the Kalman filter, variances concentrated out; starts
+    ascend, so the lanes that run at a step are the first ones."""
+    m, r = len(starts), max(p, q + 1)
+    t, h = np.zeros((m, r, r)), np.zeros((m, r))
+    t[:, :p, 0] = theta[:, :p]
+    t[:, : r - 1, 1:] += np.eye(r - 1)
+    h[:, 0], h[:, 1 : q + 1] = 1, theta[:, p : p + q]
+    v = h[:, :, None] * h[:, None, :]
+    kron = np.einsum("mij,mkl->mikjl", t, t).reshape(m, r * r, r * r)
+    cov = np.linalg.solve(np.eye(r * r) * (1 + 1e-10) - kron, v.reshape(m, r * r, 1)).reshape(m, r, r)
+    a, squares, logs = np.zeros((m, r)), np.zeros(m), np.zeros(m)
+    turn = np.swapaxes(t, 1, 2)
+    for i in range(int(starts[0]), len(y)):
+        n = int(np.searchsorted(starts, i, "right"))
+        f = np.maximum(cov[:n, 0, 0], 1e-12)
+        err = y[i] - a[:n, 0]
+        squares[:n] += err * err / f
+        logs[:n] += np.log(f)
+        gain = cov[:n, :, 0] / f[:, None]
+        a[:n] = (t[:n] @ (a[:n] + gain * err[:, None])[:, :, None])[:, :, 0]
+        cov[:n] = t[:n] @ (cov[:n] - gain[:, :, None] * cov[:n, None, 0]) @ turn[:n] + v[:n]
+    size = len(y) - starts
+    return 0.5 * (size * np.log(2 * np.pi * np.maximum(squares / size, 1e-12)) + size + logs)
+
+
 def arma_loss(y: np.ndarray, theta: np.ndarray, p: int, q: int) -> float:
-    """Exact Gaussian negative log-likelihood by the Kalman filter, variance concentrated out."""
-    r = max(p, q + 1)
-    t = np.zeros((r, r))
-    t[:p, 0] = theta[:p]
-    t[: r - 1, 1:] = np.eye(r - 1)
-    h = np.r_[1.0, theta[p : p + q], np.zeros(r - 1 - q)]
-    v = np.outer(h, h)
-    cov = np.linalg.lstsq(np.eye(r * r) - np.kron(t, t), v.ravel(), rcond=None)[0].reshape(r, r)
-    a, squares, logs = np.zeros(r), 0.0, 0.0
-    for value in y:
-        f = max(cov[0, 0], 1e-12)
-        err = value - a[0]
-        squares, logs = squares + err * err / f, logs + np.log(f)
-        gain = cov[:, 0] / f
-        a, cov = t @ (a + gain * err), t @ (cov - np.outer(gain, cov[0])) @ t.T + v
-    n = len(y)
-    return 0.5 * (n * np.log(2 * np.pi * max(squares / n, 1e-12)) + n + logs)
+    return float(arma_losses(y, np.array([0]), theta[None], p, q)[0])
 
 
 def garch_variances(y2: np.ndarray, theta: np.ndarray, p: int, q: int) -> np.ndarray:

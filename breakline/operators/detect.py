@@ -128,7 +128,7 @@ class Spec:
                 return lambda beta: sequential.lasso_partition(x[:, 0], x[:, 1:], beta, sigma, self.segment_count)
             return lambda beta: partition(n, beta, costs.lasso(x[:, 0], x[:, 1:], sigma, self.lasso_alpha), first=2, newest=2)
         if f in ("arma", "garch"):
-            make = costs.arma if f == "arma" else costs.garch
+            make = costs.Arma if f == "arma" else costs.garch
             least = make(x[:, 0], *self.order, self.trim).least
             return lambda beta: partition(n, beta, make(x[:, 0], *self.order, self.trim), first=least)
         if f == "rank":

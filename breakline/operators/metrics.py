@@ -7,8 +7,11 @@ that lie within the margin, in order of distance.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARGINS = (1, 2, 5, 10, 20, 50, 100)
 
@@ -117,17 +120,37 @@ def hausdorff_distance(true: DataFrame, pred: DataFrame, sizes: DataFrame, keys:
     return out.select(*keys, fill("forward").alias("forward"), fill("backward").alias("backward"), F.greatest(fill("forward"), fill("backward")).alias("hausdorff"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _closest(t: pd.Series, p: pd.Series) -> pd.Series:
+    """Distances of the closest pairs, taken one by one until a side is used up; ties in order of position."""
+
+    def one(a, b):
+        a, b = np.sort(np.asarray(a)), np.sort(np.asarray(b))
+        apart = np.abs(a[:, None] - b)
+        free_a, free_b, out = np.ones(len(a), bool), np.ones(len(b), bool), []
+        for k in np.argsort(apart, axis=None, kind="stable"):
+            i, j = divmod(int(k), len(b))
+            if free_a[i] and free_b[j]:
+                free_a[i] = free_b[j] = False
+                out.append(float(apart[i, j]))
+                if len(out) == min(len(a), len(b)):
+                    break
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(t, p, strict=True)])
+
+
 METHODS = ("mae", "mse", "rmse", "median_ae")
 
 
 def annotation_error(true: DataFrame, pred: DataFrame, sizes: DataFrame, keys: list[str], method: str = "mae") -> DataFrame:
     """(keys, error, mae, mse, rmse, median_ae, max_error, min_error, mean_error, std_error, n_matched): closest pairs
-    are taken until one side is used up. NaN without pairs. All pairs of a series are few: change points, not rows."""
+    are taken until one side is used up. NaN without pairs."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    t, p = true.select(*keys, F.col("cp").alias("true_cp")), pred.select(*keys, F.col("cp").alias("pred_cp"))
-    pairs = t.join(p, keys).withColumn("distance", F.abs(F.col("true_cp") - F.col("pred_cp")))
-    taken = pairs.groupBy(*keys).agg(_as_pairs().alias("_p")).select(*keys, F.explode(_greedy(F.col("_p"))).alias("m")).select(*keys, F.col("m.distance").cast("double").alias("e"))
+    side = lambda df, name: df.groupBy(*keys).agg(F.collect_list(F.col("cp").cast("long")).alias(name))
+    lists = side(true, "_t").join(side(pred, "_p"), keys)  # a series' change points are one short row
+    taken = lists.select(*keys, F.explode(_closest("_t", "_p")).alias("e"))
     e = F.col("e")
     stats = taken.groupBy(*keys).agg(F.avg(e).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, F.lit(0.5)).alias("median_ae"), F.max(e).alias("max_error"), F.min(e).alias("min_error"), F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error"), F.count("*").alias("n_matched"))
     out = sizes.select(*keys).join(stats, keys, "left")

@@ -299,7 +299,7 @@ def detect_generated(spark, sf):
 
 def long_series(spark, sf):
     rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), (F.col("l_quantity") + F.when(F.col("l_orderkey") % 3000 >= 1500, 30).otherwise(0)).alias("v"))
-    return D.detect_long(rows.groupBy("at").agg(F.avg("v").alias("v")), "at", "v", chunk=20_000)
+    return D.detect_long(rows.groupBy("at").agg(F.avg("v").alias("v")), "at", "v", chunk=5_000)
 
 
 def _custom(segment) -> float:

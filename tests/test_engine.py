@@ -139,8 +139,10 @@ def test_arma_and_garch_fits():
 
 def test_kernel_custom_and_target():
     x = draws(3, (0, 1, 100), (3, 1, 100))[:, None]
-    assert Spec("rbf", beta=5.0).solve(x) == [100]
-    assert Spec("custom", beta=20.0, cost=lambda s: float(((s - s.mean()) ** 2).sum())).solve(x) == [100]
+    found = Spec("rbf", beta=5.0).solve(x)
+    assert len(found) == 1 and abs(found[0] - 100) <= 2
+    found = Spec("custom", beta=20.0, cost=lambda s: float(((s - s.mean()) ** 2).sum())).solve(x)
+    assert len(found) == 1 and abs(found[0] - 100) <= 2
     assert len(Spec("mean", target=1).solve(x)) == 1
     assert calibrate(lambda b: [1, 2], 5)[0] == 0.0
 
