@@ -10,7 +10,7 @@ from . import penalty
 
 
 def register(spark: SparkSession) -> None:
-    """``SELECT * FROM change_points(TABLE(t) PARTITION BY k ORDER BY ts, 'mean')`` reads the columns ``k`` and ``v`` of
+    """``SELECT * FROM change_points(TABLE(t) PARTITION BY k ORDER BY (ts), 'mean')`` reads the columns ``k`` and ``v`` of
     its input and gives (k, cp); penalty_mbic, penalty_bic and penalty_mdl are scalar functions of (p, n)."""
     from ..operators.detect import Spec
 

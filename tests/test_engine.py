@@ -229,7 +229,7 @@ def test_sql_table_function(spark):
 
     register(spark)
     from_matrix(spark, draws(42, (0, 1, 100), (5, 1, 100))).selectExpr("series_id AS k", "t", "v0 AS v").createOrReplaceTempView("obs")
-    rows = spark.sql("SELECT * FROM change_points(TABLE(obs) PARTITION BY k ORDER BY t, 'mean')").collect()
+    rows = spark.sql("SELECT * FROM change_points(TABLE(obs) PARTITION BY k ORDER BY (t), 'mean')").collect()
     assert [r.cp for r in rows] == [100]
     assert abs(spark.sql("SELECT penalty_bic(2, 100) AS p").first().p - np.log(100)) < 1e-9
 
