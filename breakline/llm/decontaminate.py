@@ -22,6 +22,8 @@ from .substring_dedup import word_bounds, word_grams, word_hashes
 SEED_WORDS = 4
 #: Seeds (8-byte hash, item, place) that one pass broadcasts at most.
 BLOCK_SEEDS = 500_000
+#: Characters of text that a task searches at once.
+PORTION = 2_000_000
 #: A seed is rare if it stands alone in at most so many documents, or in this share of all.
 RARE_DOCS = 20
 RARE_SHARE = 1e-4
@@ -58,11 +60,24 @@ def _item_seeds(rows: list[tuple[int, str]]):
 FOUND = "doc_id long, item_id long, n_docs_words long, first_word long, seeds array<long>, item_places array<int>, doc_places array<int>, passage binary"
 
 
+def _portions(batches):
+    """Rows of the batches, a few megabytes of text at a time."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            ids.append(i.as_py())
+            texts.append(t.as_py() or "")
+            size += len(texts[-1])
+            if size >= PORTION:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        yield ids, texts
+
+
 def _search(batches, block):
     seeds, items, places, lengths = block.value
-    for batch in batches:
-        data, begins, ends, starts, grams = _grams([t or "" for t in batch.column("text").to_pylist()])
-        ids = batch.column("doc_id").to_pylist()
+    for ids, texts in _portions(batches):
+        data, begins, ends, starts, grams = _grams(texts)
         at = np.searchsorted(seeds, grams)
         hit = np.flatnonzero(seeds[np.minimum(at, len(seeds) - 1)] == grams) if len(grams) else np.zeros(0, int)
         text = np.searchsorted(starts, hit, "right") - 1

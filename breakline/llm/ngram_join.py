@@ -8,9 +8,9 @@ Two sets link only if at least ``NEED`` percent of either one's n-grams are shar
 3. each class's n-grams are ordered rare first, and only the prefix that a partner must meet is indexed.
 
 Pairs come from the index under length, positional and suffix filters and are verified on the whole sets. Within an
-index entry every class is first paired with one pivot only; once links have joined classes into components, a few
-more pivot rounds follow and at last the remaining pairs of different components. A group of near copies thus costs
-as many pairs as it has members. Nothing is capped.
+index entry every class is first paired with one pivot only; once links have joined classes into components, rounds
+of a few pivots each follow and at last the remaining pairs of different components. A group of near copies thus costs
+a few pairs for each member. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from .substring_dedup import word_bounds, word_grams, word_hashes
 N = 4
 NEED = 85
 SAMPLED = np.uint64(2**64 // 3)
-PIVOT_ROUNDS = 3
-#: Hash ranges in which the suffix filter compares counts.
-RANGES = 16
+#: Pivots that an index entry's classes are paired with in each round before the rest is paired off.
+PIVOTS = (1, 4, 4, 4)
+#: Hash ranges of the suffix filter: a set's signature has a bit for each, odd or even.
+RANGE_BITS = 9
 SET_BATCH_BYTES = 4_000_000
 
 
@@ -147,8 +148,15 @@ def _counted(rows: pa.Table, buckets: int) -> pa.Table:
     return _by_bucket(rows.column("batch")[0].as_py(), keys, counts, buckets)
 
 
-INDEX = {"cid": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "ranges": pa.list_(pa.int32()), "keys": pa.list_(pa.int64())}
-INDEX_SQL = "cid long, n long, tokens array<long>, places array<int>, ranges array<int>, keys array<long>"
+INDEX = {"cid": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "signature": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
+INDEX_SQL = "cid long, n long, tokens array<long>, places array<int>, signature array<long>, keys array<long>"
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """Whether each hash range holds an odd number of members: every bit in which two sets differ is a member that they
+    do not share, whatever their order."""
+    odd = np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def _indexed(rows: pa.Table, back: pa.Table, need: int) -> pa.Table:
@@ -167,7 +175,7 @@ def _indexed(rows: pa.Table, back: pa.Table, need: int) -> pa.Table:
         order = np.lexsort((s, df))[: allowed + 1]
         place = np.flatnonzero(df[order] > 1)  # what no other class has can't meet anything
         if len(place):
-            out.append((cid, len(s), s[order[place]].view(np.int64), place, np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES), s.view(np.int64)))
+            out.append((cid, len(s), s[order[place]].view(np.int64), place, signature(s), s.view(np.int64)))
     columns = list(zip(*out, strict=True)) or [()] * len(INDEX)
     return pa.table({k: pa.array(list(c), t) for (k, t), c in zip(INDEX.items(), columns, strict=True)})
 
@@ -179,7 +187,7 @@ def _may_link(a: str, b: str, need: int) -> Column:
     enough = lambda overlap: overlap * least >= (na + nb) * need  # noqa: E731  100 o >= need (na + nb - o)
     length = (F.least(na, nb) * 100) >= (F.greatest(na, nb) * need)
     position = enough(F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1))
-    apart = F.aggregate(F.zip_with(f"{a}.ranges", f"{b}.ranges", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    apart = sum((F.bit_count(F.col(f"{a}.signature")[i].bitwiseXOR(F.col(f"{b}.signature")[i])) for i in range((1 << RANGE_BITS) // 64)), F.lit(0))
     return length & position & enough((na + nb - apart) / 2)
 
 
@@ -193,33 +201,35 @@ def _verified(pairs: DataFrame, index: DataFrame, need: int) -> DataFrame:
 
 def class_links(index: DataFrame, need: int) -> DataFrame:
     """(node, root) over the ids of linked classes."""
-    entries = cut(index.select("cid", "n", "ranges", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("cid", "n", "ranges", F.col("e.tokens").alias("token"), F.col("e.places").alias("place")), "entries")
-    tried = links = None
-    roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        rows = entries.withColumn("root", F.col("cid")) if roots is None else entries.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    entries = cut(index.select("cid", "n", "signature", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("cid", "n", "signature", F.col("e.tokens").alias("token"), F.col("e.places").alias("place")), "entries")
+    tried = None
+    roots = index.select(F.col("cid").alias("node"), F.col("cid").alias("root"))
+    for turn in range(len(PIVOTS) + 1):
+        rows = entries.join(roots.withColumnRenamed("node", "cid"), "cid") if turn else entries.withColumn("root", F.col("cid"))
         if turn:  # entries of one component only are done
             rows = cut(rows, "rows")
             open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
             rows = rows.join(open_, "token", "left_semi")
-        own = rows.select("token", "root", F.struct("n", "cid", "place", "ranges", "root").alias("x"))
-        if turn < PIVOT_ROUNDS:
-            # a pivot per entry: the first class in the first round, then one by the size's and the round's hash
-            key = F.struct("x.n", "x.cid") if not turn else F.struct(F.xxhash64("x.root", F.lit(turn)), F.col("x.n"), F.col("x.cid"))
-            pivots = own.groupBy("token").agg(F.min_by("x", key).alias("y"))
-            met = own.join(pivots, "token").filter("x.root <> y.root")
+        own = rows.select("token", "root", F.struct("n", "cid", "place", "signature", "root").alias("x"))
+        if turn < len(PIVOTS):
+            # in one order for all entries, another one for each pivot, so that a class meets few different pivots
+            keys = [F.struct("x.n", "x.cid")] if not turn else [F.xxhash64("x.cid", F.lit(turn), F.lit(k)) for k in range(PIVOTS[turn])]
+            pivots = own.groupBy("token").agg(F.array(*[F.min_by("x", k) for k in keys]).alias("ys")).select("token", F.explode("ys").alias("y"))
+            met = own.join(pivots, "token").filter("x.root <> y.root").filter(_may_link("x", "y", need))
         else:
             met = own.alias("l").join(own.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.root") < F.col("r.root")) & _may_link("l.x", "r.x", need)).select(F.col("l.x").alias("x"), F.col("r.x").alias("y"))
-        pairs = met.filter(_may_link("x", "y", need)).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+        pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = cut(_verified(pairs, index, need), "links")
-        links = found if links is None else links.union(found)
-        if found.isEmpty() and turn >= PIVOT_ROUNDS:
-            break
-        roots = cut(components(links), "roots")
+        if found.isEmpty():
+            continue
+        # links join components, so only the components' roots are connected anew
+        ends = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        roots = cut(roots.join(joined, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "roots")
     return roots
 
 
