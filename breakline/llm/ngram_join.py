@@ -10,7 +10,8 @@ Two sets link only if at least ``NEED`` percent of either one's n-grams are shar
 Pairs come from the index under length, positional and suffix filters and are verified on the whole sets. Within an
 index entry every class is first paired with one pivot only; once links have joined classes into components, rounds
 of a few pivots each follow and at last the remaining pairs of different components. A group of near copies thus costs
-a few pairs for each member. Nothing is capped.
+a few pairs for each member. Pivots are drawn among the classes with the fewest rarer n-grams, which lie in the middle
+of their group, and the remaining pairs are listed where their prefixes first meet. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PIVOTS = (1, 4, 4, 4)
 #: Hash ranges of the suffix filter: a set's signature has a bit for each, odd or even.
 RANGE_BITS = 9
 SET_BATCH_BYTES = 4_000_000
+#: Rarer n-grams of its prefix that an index entry knows: a pair that shares one of them is listed there.
+BEFORE = 8
 
 
 #: A-Z to a-z, and the six bytes between words to a space.
@@ -201,23 +204,26 @@ def _verified(pairs: DataFrame, index: DataFrame, need: int) -> DataFrame:
 
 def class_links(index: DataFrame, need: int) -> DataFrame:
     """(node, root) over the ids of linked classes."""
-    entries = cut(index.select("cid", "n", "signature", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("cid", "n", "signature", F.col("e.tokens").alias("token"), F.col("e.places").alias("place")), "entries")
+    each = index.select("cid", "n", "signature", "tokens", F.posexplode(F.arrays_zip("tokens", "places")).alias("at", "e"))
+    before = F.slice("tokens", F.greatest(F.col("at") - (BEFORE - 1), F.lit(1)), F.least("at", F.lit(BEFORE)))
+    entries = cut(each.select("cid", "n", "signature", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), before.alias("before")), "entries")
     tried = None
     roots = index.select(F.col("cid").alias("node"), F.col("cid").alias("root"))
     for turn in range(len(PIVOTS) + 1):
-        rows = entries.join(roots.withColumnRenamed("node", "cid"), "cid") if turn else entries.withColumn("root", F.col("cid"))
+        known = entries.drop("before") if turn < len(PIVOTS) else entries
+        rows = known.join(roots.withColumnRenamed("node", "cid"), "cid") if turn else known.withColumn("root", F.col("cid"))
         if turn:  # entries of one component only are done
             rows = cut(rows, "rows")
             open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
             rows = rows.join(open_, "token", "left_semi")
-        own = rows.select("token", "root", F.struct("n", "cid", "place", "signature", "root").alias("x"))
+        own = rows.select("token", "root", F.struct("n", "cid", "place", "signature", "root").alias("x"), *[c for c in rows.columns if c == "before"])
         if turn < len(PIVOTS):
-            # in one order for all entries, another one for each pivot, so that a class meets few different pivots
-            keys = [F.struct("x.n", "x.cid")] if not turn else [F.xxhash64("x.cid", F.lit(turn), F.lit(k)) for k in range(PIVOTS[turn])]
+            # few rarer n-grams before this one, in a new draw for each pivot, alike for all entries
+            keys = [F.struct((F.col("x.place") + 1) * (F.pmod(F.xxhash64("x.cid", F.lit(turn), F.lit(k)), F.lit(1024)) + 1024), F.col("x.cid")) for k in range(PIVOTS[turn])]
             pivots = own.groupBy("token").agg(F.array(*[F.min_by("x", k) for k in keys]).alias("ys")).select("token", F.explode("ys").alias("y"))
             met = own.join(pivots, "token").filter("x.root <> y.root").filter(_may_link("x", "y", need))
         else:
-            met = own.alias("l").join(own.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.root") < F.col("r.root")) & _may_link("l.x", "r.x", need)).select(F.col("l.x").alias("x"), F.col("r.x").alias("y"))
+            met = own.alias("l").join(own.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.root") < F.col("r.root")) & _may_link("l.x", "r.x", need) & ~F.arrays_overlap("l.before", "r.before")).select(F.col("l.x").alias("x"), F.col("r.x").alias("y"))
         pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
