@@ -19,23 +19,32 @@ LENGTH = 20
 GRAM = 8
 
 
+#: Bytes of text hashed at once: tables and sums stay small, whatever the batch (a longer word is hashed whole).
+CHUNK = 1 << 18
 _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> list[np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, at least n + 1 of each."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(2 * n, 1 << 20)
+        size = max(n, CHUNK)
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(x))]) for x in (int(M1), pow(int(M1), -1, 2**64))]
     return _powers
 
 
 def word_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of the bytes between each begin and end, from prefix sums."""
-    power, back = powers(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-    return mixed((total[ends] - total[begins]) * back[begins])
+    """Polynomial hash of the bytes between each begin and end, from prefix sums over chunks of whole words."""
+    out, first = np.zeros(len(begins), np.uint64), 0
+    while first < len(begins):
+        start = int(begins[first])
+        last = max(first + 1, int(np.searchsorted(ends, start + CHUNK, "right")))
+        b, e = begins[first:last] - start, ends[first:last] - start
+        power, back = powers(int(e[-1]))
+        total = np.zeros(int(e[-1]) + 1, np.uint64)
+        np.cumsum((raw[start : start + int(e[-1])].astype(np.uint64) + np.uint64(1)) * power[: int(e[-1])], out=total[1:])
+        out[first:last] = mixed((total[e] - total[b]) * back[b])
+        first = last
+    return out
 
 
 def word_bounds(data: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
