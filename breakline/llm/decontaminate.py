@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 Texts are folded to lower-case words. Every 4-word seed of a benchmark item is looked up in all texts in one pass; a
-passage around the places found travels with them. A lone seed opens a candidate only if it is rare: seeds that stand
-alone in many documents are ordinary speech. Seeds in company always do, so an item that a third of all documents
-hold is found in each. Candidates are aligned word by word, which keeps copies with changed, added or missing words.
+passage around the places found is a candidate, however many documents hold the seed. An exact bound drops candidates
+early: the item's words that the passage has, counted with repetition, limit the alignment's score. The rest are aligned
+word by word, which keeps copies with changed, added or missing words; equal passages of a batch are aligned once.
 
 Seeds are broadcast in blocks of bounded size, one pass over the texts for each, whatever the benchmark's size.
 """
@@ -24,9 +24,6 @@ SEED_WORDS = 4
 BLOCK_SEEDS = 500_000
 #: Characters of text that a task searches at once.
 PORTION = 2_000_000
-#: A seed is rare if it stands alone in at most so many documents, or in this share of all.
-RARE_DOCS = 20
-RARE_SHARE = 1e-4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.6
 
@@ -36,28 +33,36 @@ def folded_words(text: str) -> list[bytes]:
 
 
 def _grams(texts: list[str]):
-    """All texts as one run of words: data, begins, ends, each text's first word, seed hashes."""
+    """All texts as one run of words: data, begins, ends, each text's first word, word hashes, seed hashes."""
     folded = [t.lower().encode("utf-8", "surrogatepass").translate(WORDS) for t in texts]
     data = b" " + b" ".join(folded) + b" "
     begins, ends, starts = word_bounds(data, [len(t) for t in folded])
-    return data, begins, ends, starts, word_grams(word_hashes(np.frombuffer(data, np.uint8), begins, ends), SEED_WORDS)
+    hashes = word_hashes(np.frombuffer(data, np.uint8), begins, ends)
+    return data, begins, ends, starts, hashes, word_grams(hashes, SEED_WORDS)
 
 
 def _item_seeds(rows: list[tuple[int, str]]):
-    """Sorted seed hashes with item and place; an item of fewer words than a seed has none."""
-    _, _, _, starts, grams = _grams([t for _, t in rows])
-    seeds, items, places = [], [], []
+    """Sorted seed hashes with item, and each item's word hashes with counts; an item of fewer words than a seed has none."""
+    _, _, _, starts, hashes, grams = _grams([t for _, t in rows])
+    seeds, items, words = [], [], {}
     for (item, _), a, b in zip(rows, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         k = max(0, b - a - SEED_WORDS + 1)
         seeds.append(grams[a : a + k])
         items += [item] * k
-        places.append(np.arange(k))
+        words[item] = np.unique(hashes[a:b], return_counts=True)
     seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
     order = np.argsort(seeds, kind="stable")
-    return seeds[order], np.array(items, np.int64)[order], (np.concatenate(places) if places else np.zeros(0, int))[order], {i: len(folded_words(t)) for i, t in rows}
+    return seeds[order], np.array(items, np.int64)[order], words
 
 
-FOUND = "doc_id long, item_id long, n_docs_words long, first_word long, seeds array<long>, item_places array<int>, doc_places array<int>, passage binary"
+def most(words: tuple[np.ndarray, np.ndarray], passage: np.ndarray) -> float:
+    """The best score that an item of these words can reach in a passage of these word hashes: all that both have match."""
+    own, counts = words
+    at = np.minimum(np.searchsorted(own, passage), len(own) - 1)
+    return int(np.minimum(counts, np.bincount(at[own[at] == passage], minlength=len(own))).sum()) / int(counts.sum())
+
+
+FOUND = "doc_id long, item_id long, first_word long, passage binary"
 
 
 def _portions(batches):
@@ -74,32 +79,34 @@ def _portions(batches):
         yield ids, texts
 
 
-def _search(batches, block):
-    seeds, items, places, lengths = block.value
+def _search(batches, block, least):
+    seeds, items, words = block.value
+    lengths = {item: int(counts.sum()) for item, (_, counts) in words.items()}
     for ids, texts in _portions(batches):
-        data, begins, ends, starts, grams = _grams(texts)
+        data, begins, ends, starts, hashes, grams = _grams(texts)
         at = np.searchsorted(seeds, grams)
         hit = np.flatnonzero(seeds[np.minimum(at, len(seeds) - 1)] == grams) if len(grams) else np.zeros(0, int)
         text = np.searchsorted(starts, hit, "right") - 1
         hit, text = hit[hit + SEED_WORDS <= starts[text + 1]], text[hit + SEED_WORDS <= starts[text + 1]]
-        by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        by_pair: dict[tuple[int, int], list[int]] = {}
         for h, t in zip(hit.tolist(), text.tolist(), strict=True):
             for k in range(int(at[h]), len(seeds)):
                 if seeds[k] != grams[h]:
                     break
-                by_pair.setdefault((t, int(items[k])), []).append((h, k))
+                by_pair.setdefault((t, int(items[k])), []).append(h)
         rows = []
         for (t, item), found in by_pair.items():
             room, group = lengths[item], []
-            for h, k in [*found, (1 << 60, -1)]:  # places further apart than an item are passages of their own
-                if group and h - group[-1][0] > room:
-                    a = max(int(starts[t]), group[0][0] - room)
-                    b = min(int(starts[t + 1]), group[-1][0] + room + SEED_WORDS)
-                    passage = b" ".join(data[x:y] for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True))
-                    rows.append((ids[t], item, int(starts[t + 1] - starts[t]), a - int(starts[t]), [int(s) for s in seeds[[k for _, k in group]].view(np.int64)], [int(places[k]) for _, k in group], [h - int(starts[t]) for h, _ in group], passage))
+            for h in [*found, 1 << 60]:  # places further apart than an item are passages of their own
+                if group and h - group[-1] > room:
+                    a = max(int(starts[t]), group[0] - room)
+                    b = min(int(starts[t + 1]), group[-1] + room + SEED_WORDS)
+                    if most(words[item], hashes[a:b]) >= least:
+                        passage = b" ".join(data[x:y] for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True))
+                        rows.append((ids[t], item, a - int(starts[t]), passage))
                     group = []
-                group.append((h, k))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+                group.append(h)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = [x.split()[0] for x in FOUND.split(", ")]
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -134,7 +141,9 @@ def align(item: list[bytes], passage: list[bytes]) -> tuple[float, int, int]:
 
 def _aligned(batches):
     for batch in batches:
-        scores = [align(folded_words(i.as_py() or ""), (p.as_py() or b"").split()) for i, p in zip(batch.column("item"), batch.column("passage"), strict=True)]
+        pairs = list(zip(batch.column("item").to_pylist(), batch.column("passage").to_pylist(), strict=True))
+        aligned = {(i, p): align(folded_words(i or ""), (p or b"").split()) for i, p in set(pairs)}
+        scores = [aligned[pair] for pair in pairs]
         first = batch.column("first_word").to_pylist()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array([s for s, _, _ in scores], pa.float64()), pa.array([f + a for f, (_, a, _) in zip(first, scores, strict=True)], pa.int64()), pa.array([f + b for f, (_, _, b) in zip(first, scores, strict=True)], pa.int64())], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -157,16 +166,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
         own = spark.sparkContext.broadcast(_item_seeds(rows))
         if not len(own.value[0]):
             continue
-        part = cut(texts.mapInArrow(lambda b, own=own: _search(b, own), FOUND), "found")
+        part = cut(texts.mapInArrow(lambda b, own=own: _search(b, own, least), FOUND), "found")
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
-    found = found.withColumn("alone", F.size(F.array_distinct("item_places")) == 1)
-    lone = found.filter("alone").select(F.col("seeds")[0].alias("seed"), "doc_id").distinct().groupBy("seed").count()
-    many = F.greatest(F.lit(RARE_DOCS), F.lit(RARE_SHARE * docs.count()))
-    common = lone.filter(F.col("count") > many).select("seed")
-    open_ = found.filter("NOT alone").drop("alone").union(found.filter("alone").drop("alone").join(common, F.col("seeds")[0] == F.col("seed"), "left_anti"))
-    scored = open_.join(items.select("item_id", F.col("text").alias("item")), "item_id").select("doc_id", "item_id", "item", "first_word", "passage").mapInArrow(_aligned, "doc_id long, item_id long, score double, first_word long, end_word long")
+    scored = found.join(items.select("item_id", F.col("text").alias("item")), "item_id").select("doc_id", "item_id", "item", "first_word", "passage").mapInArrow(_aligned, "doc_id long, item_id long, score double, first_word long, end_word long")
     best = scored.filter(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("x"))
     return best.select("doc_id", "item_id", "x.score", "x.first_word", "x.end_word")
 

@@ -254,6 +254,26 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(documents(spark, rows), bench).collect()} == {3, 4, 5}
 
 
+def test_decontamination_of_lone_seeds_in_many_documents(spark):
+    """A passage that many documents hold by a single seed is found in each, and nothing below the score is."""
+    item, short, w = "one two three four five six seven eight nine ten eleven twelve", "alpha beta gamma delta", "one two three four five six seven eight nine ten eleven twelve".split()
+    edited = " ".join([*w[:3], "x", *w[4:8], "y", *w[9:]])
+    rows = [(i, f"lead{i} {edited} end", "s") for i in range(40)] + [(100 + i, f"lead{i} {short} end", "s") for i in range(40)] + [(200 + i, f"{' '.join(w[:4])} and no more of it {i}", "s") for i in range(40)]
+    bench = spark.createDataFrame([(7, item), (8, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    scores = {(d, i): decontaminate.align(decontaminate.folded_words(b), decontaminate.folded_words(t))[0] for d, t, _ in rows for i, b in ((7, item), (8, short))}
+    assert got == {k: x for k, x in scores.items() if x >= 0.6} and set(got) == {(i, 7) for i in range(40)} | {(100 + i, 8) for i in range(40)}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_candidate_bound_is_never_below_the_score(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x, y = (rng.integers(0, 4, rng.integers(1, 14)).astype(np.uint64) for _ in range(2))
+    assert decontaminate.most(np.unique(x, return_counts=True), y) >= decontaminate.align([b"%d" % i for i in x], [b"%d" % i for i in y])[0]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_alignment_equals_the_plain_recurrence(seed):
     import random
