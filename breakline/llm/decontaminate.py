@@ -62,7 +62,7 @@ def most(words: tuple[np.ndarray, np.ndarray], passage: np.ndarray) -> float:
     return int(np.minimum(counts, np.bincount(at[own[at] == passage], minlength=len(own))).sum()) / int(counts.sum())
 
 
-FOUND = "doc_id long, item_id long, first_word long, passage binary"
+FOUND = "doc_id long, item long, first_word long, passage binary"
 
 
 def _portions(batches):
@@ -141,28 +141,31 @@ def align(item: list[bytes], passage: list[bytes]) -> tuple[float, int, int]:
 
 def _aligned(batches):
     for batch in batches:
-        pairs = list(zip(batch.column("item").to_pylist(), batch.column("passage").to_pylist(), strict=True))
+        pairs = list(zip(batch.column("item_text").to_pylist(), batch.column("passage").to_pylist(), strict=True))
         aligned = {(i, p): align(folded_words(i or ""), (p or b"").split()) for i, p in set(pairs)}
         scores = [aligned[pair] for pair in pairs]
         first = batch.column("first_word").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array([s for s, _, _ in scores], pa.float64()), pa.array([f + a for f, (_, a, _) in zip(first, scores, strict=True)], pa.int64()), pa.array([f + b for f, (_, _, b) in zip(first, scores, strict=True)], pa.int64())], ["doc_id", "item_id", "score", "first_word", "end_word"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item"), pa.array([s for s, _, _ in scores], pa.float64()), pa.array([f + a for f, (_, a, _) in zip(first, scores, strict=True)], pa.int64()), pa.array([f + b for f, (_, _, b) in zip(first, scores, strict=True)], pa.int64())], ["doc_id", "item", "score", "first_word", "end_word"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): passages of ``docs`` that hold a benchmark item.
 
     One row for each document and item, its best passage; ``score`` (``least`` to 1) is the alignment's share of a
-    verbatim copy's. Items or texts that are null, empty or shorter than a seed meet nothing; rows that repeat a
-    doc_id or an item_id are taken together. Rows with a null doc_id are searched and keep the null.
+    verbatim copy's. Items or texts that are null, empty or shorter than a seed meet nothing. Every distinct text of
+    ``benchmark`` is searched; of rows that repeat a doc_id or an item_id the best passage counts. Rows with a null
+    doc_id are searched and keep the null; so do texts that stand under no item_id but null (one that also has an
+    item_id is reported under that).
     """
     spark = docs.sparkSession
-    items = cut(benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), "items")
+    pairs = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = cut(pairs.groupBy("text").agg((F.count("item_id") > 0).alias("named")).withColumn("item", F.monotonically_increasing_id()), "items")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = items.select("item_id", (F.length("text") + 1).alias("size"))
+    sizes = items.select((F.length("text") + 1).alias("size"))
     blocks = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // (2 * BLOCK_SEEDS)))  # a word and a space: two characters at least
     found = None
     for block in range(blocks):
-        rows = [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
+        rows = [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).select("item", "text").collect()]
         own = spark.sparkContext.broadcast(_item_seeds(rows))
         if not len(own.value[0]):
             continue
@@ -170,8 +173,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
-    scored = found.join(items.select("item_id", F.col("text").alias("item")), "item_id").select("doc_id", "item_id", "item", "first_word", "passage").mapInArrow(_aligned, "doc_id long, item_id long, score double, first_word long, end_word long")
-    best = scored.filter(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("x"))
+    scored = found.join(items.select("item", F.col("text").alias("item_text")), "item").select("doc_id", "item", "item_text", "first_word", "passage").mapInArrow(_aligned, "doc_id long, item long, score double, first_word long, end_word long")
+    names = pairs.join(items, "text").filter("item_id IS NOT NULL OR NOT named").select("item", "item_id")
+    best = scored.filter(F.col("score") >= least).join(names, "item").groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("x"))
     return best.select("doc_id", "item_id", "x.score", "x.first_word", "x.end_word")
 
 

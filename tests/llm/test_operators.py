@@ -265,6 +265,15 @@ def test_decontamination_of_lone_seeds_in_many_documents(spark):
     assert got == {k: x for k, x in scores.items() if x >= 0.6} and set(got) == {(i, 7) for i in range(40)} | {(100 + i, 8) for i in range(40)}
 
 
+def test_decontamination_of_repeated_and_null_item_ids(spark):
+    a, b, c, d = "one two three four five six", "red green blue white black pink", "north south east west up down", "iron gold zinc lead tin mercury"
+    bench = spark.createDataFrame([(7, a), (7, b), (7, b), (8, b), (None, c), (None, d), (None, a), (9, None)], "item_id long, text string")
+    docs = documents(spark, [(1, f"x {a} y", "s"), (2, f"x {b} y", "s"), (3, f"x {c} y", "s"), (4, f"{d} y", "s"), (5, "none of it", "s"), (None, c, "s"), (6, f"{a.replace('four', 'x')} {b}", "s")])
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0, r.score) for r in rows) == [(0, 0, 1.0), (1, 7, 1.0), (2, 7, 1.0), (2, 8, 1.0), (3, 0, 1.0), (4, 0, 1.0), (6, 7, 1.0), (6, 8, 1.0)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [5]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_candidate_bound_is_never_below_the_score(seed):
     import numpy as np
