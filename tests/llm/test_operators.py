@@ -138,6 +138,43 @@ def test_license_scan(spark):
     assert len(licenses.rules()) > 200 and all(0 <= r.score <= 1 for r in out.values())
 
 
+def spellings(parsed):
+    """Shortest matches of a parsed expression: every alternative, options with and without, wildcards empty."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            own = [chr(arg)]
+        elif op == "IN":
+            own = [chr(v) for kind, v in arg if str(kind) == "LITERAL"] or ["7"]
+        elif op == "BRANCH":
+            own = [x for branch in arg[1] for x in spellings(branch)]
+        elif op == "SUBPATTERN":
+            own = spellings(arg[3])
+        elif op == "MAX_REPEAT":
+            own = [""] * (arg[0] == 0) + (spellings(arg[2]) if str(arg[2][0][0]) != "ANY" else [])
+        else:
+            assert op == "ASSERT"
+            own = [""]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_a_minimal_match_of_every_license_rule_yields_its_label():
+    scanner = licenses.Scanner()
+    for rule in scanner.rules:
+        for text in spellings(re._parser.parse(rule.pattern.pattern.decode())):
+            assert rule.label in scanner.scan(text.encode())[5].split(","), (rule.label, text)
+    for phrase, label in licenses.BASE.items():
+        assert scanner.scan(phrase.encode())[4] == label
+
+
+def test_license_names_that_stand_alone(spark):
+    texts = {"Released under the LGPL": "lgpl", "lgpl 2.1": "lgpl-2.1", "agpl-3.0": "agpl-3.0", "the Unlicense": "unlicense", "this product includes PHP software, freely available": "php-3.01", "you just do what the fuck you want to": "wtfpl", "nothing of it": ""}
+    out = [r.labels.split(",") for r in licenses.scan_licenses(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert len(out) == len(texts) and all(label in found for label, found in zip(texts.values(), out, strict=True))
+
+
 def brute_components(rows, n=4, need=85):
     sets, parent = {}, {}
     for k, (_, t, _) in enumerate(rows):
