@@ -1,9 +1,10 @@
 """Main text of web pages by consensus host paths.
 
-First pass: every page scores its containers by the running text that they hold outside of boilerplate and names its
-best one by a generalised path of tags and classes. Spark adds up the votes per host and path (partial sums, so a
+First pass: every page names the smallest container that holds all its running text outside of boilerplate by a
+generalised path of tags and classes. Running text is all but links that stand outside of headings and paragraphs. Spark adds up the votes per host and path (partial sums, so a
 host with a third of all pages is no hot group) and picks each host's winning path. Second pass: the pages are
-extracted again from the containers on their host's path; a page without such a container uses its own best one.
+extracted again from the containers on their host's path; a page uses its own best container where that path is
+absent or does not hold all of its running text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("body main article section div td".split())
 SKIPPED = frozenset("head nav header footer aside form button select iframe object menu dialog".split())
+#: Their text is the article's even where it is a link.
+BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption dd".split())
+LOOSE, BLOCK, LINK = range(3)
 #: Beginnings of words in class, id and role that mark boilerplate.
 BOILER = re.compile(r"(?:^|[\s_-])(?:nav|menu|sidebar|side-bar|foot|head(?:er)?(?:$|[\s_-])|masthead|ad(?:s|v|vert\w*)?(?:$|[\s_-])|sponsor|banner|cookie|consent|notice|gdpr|promo|comment|disqus|respond|reply|share|social|related|recommend|breadcrumb|subscri|newsletter|popup|modal|login|signup|search|pagination|pager|toolbar|widget|copyright|skip|alert|contentinfo|complementary|navigation)", re.I)
 #: A heading, list item or paragraph closes an open paragraph.
@@ -41,26 +45,26 @@ class Page:
     """One walk over the mark-up: text pieces with the innermost container of each, boilerplate left out."""
 
     def __init__(self, source: str):
-        self.pieces: list[tuple[int, str]] = []  # container, text; a space stands for the border of a block
+        self.pieces: list[tuple[int, str, int]] = []  # container, text, kind; a space stands for the border of a block
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, boilerplate
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, LOOSE)]  # tag, container, boilerplate, kind of text
         put = self.pieces.append
         for m in TOKEN.finditer(source):
             text, tag = m[5] or m[6], m[3]
-            _, here, hidden = stack[-1]
+            _, here, hidden, kind = stack[-1]
             if text is not None:
                 if not hidden:
-                    put((here, html.unescape(text) if "&" in text else text))
+                    put((here, html.unescape(text) if "&" in text else text, kind))
                 continue
             if tag is None:
                 continue
             tag = tag.lower()
             if tag not in INLINE and not hidden:
-                put((here, " "))
+                put((here, " ", kind))
             if m[2]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
@@ -69,14 +73,14 @@ class Page:
                 continue
             if tag in VOID or m[4].endswith("/") and tag in INLINE:
                 continue
-            if tag == "body" and any(t == "head" for t, _, _ in stack):
+            if tag == "body" and any(t == "head" for t, *_ in stack):
                 del stack[next(k for k, s in enumerate(stack) if s[0] == "head") :]
-                _, here, hidden = stack[-1]
+                _, here, hidden, kind = stack[-1]
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         del stack[k:]
-                        _, here, hidden = stack[-1]
+                        _, here, hidden, kind = stack[-1]
                         break
                     if stack[k][0] not in INLINE:
                         break
@@ -87,29 +91,45 @@ class Page:
                 self.paths.append(f"{self.paths[here]}/{_step(tag, names)}")
                 self.parents.append(here)
                 here = len(self.paths) - 1
-            stack.append((tag, here, hidden))
+            kind = BLOCK if tag in BLOCKS else LINK if tag == "a" and kind == LOOSE else kind
+            stack.append((tag, here, hidden, kind))
+
+    def running(self) -> list[tuple[int, int, int]]:
+        """Container, length and kind of each piece of running text; of all text on a page of nothing but links."""
+        found = [(c, len(text.strip()), kind) for c, text, kind in self.pieces if any(x.isalnum() for x in text)]
+        return [x for x in found if x[2] != LINK] or found
 
     def best(self) -> tuple[int, float]:
-        """The deepest container with most of the page's text, articles and mains first, and its score."""
-        held = [0.0] * len(self.paths)
-        for c, text in self.pieces:
-            held[c] += len(text.strip())
+        """The smallest container with all of the page's running text, and the length of that text."""
+        held = [0] * len(self.paths)
+        for c, size, _ in self.running():
+            held[c] += size
         for c in range(len(held) - 1, 0, -1):
             held[self.parents[c]] += held[c]
-        worth = [h * (1.5 if re.search(r"/(?:article|main)[^/]*$", p) else 1.0) for h, p in zip(held, self.paths, strict=True)]
-        top = max(range(len(held)), key=lambda c: (worth[c] >= 0.6 * max(worth), self.paths[c].count("/") if worth[c] >= 0.6 * max(worth) else 0, worth[c]))
-        return top, worth[top]
+        top = 0
+        for c in range(1, len(held)):
+            if self.parents[c] == top and held[c] == held[0]:
+                top = c
+        return top, float(held[top])
+
+    def _on(self, path: str) -> list[bool] | None:
+        """Which containers are on ``path`` or within; None if running text lies outside or there is none such."""
+        inside = self._within([p == path for p in self.paths])
+        return inside if any(inside) and all(inside[c] for c, _, _ in self.running()) else None
+
+    def _within(self, inside: list[bool]) -> list[bool]:
+        for c in range(1, len(inside)):
+            inside[c] = inside[c] or inside[self.parents[c]]
+        return inside
 
     def text(self, path: str | None) -> str:
-        """Text of the containers on ``path``, nested ones included; of the best container where there is none."""
-        inside = [p == path for p in self.paths] if path else [False]
-        if not any(inside):
+        """Text of the containers on ``path``, nested ones included; of the best container where the path does not do."""
+        inside = self._on(path) if path else None
+        if inside is None:
             top = self.best()[0]
-            inside = [c == top for c in range(len(self.paths))]
-        for c in range(1, len(self.paths)):
-            inside[c] = inside[c] or inside[self.parents[c]]
+            inside = self._within([c == top for c in range(len(self.paths))])
         out, was = [], True
-        for c, text in self.pieces:
+        for c, text, _ in self.pieces:
             if inside[c]:
                 out.append(text if was else " " + text)
             was = inside[c]

@@ -232,6 +232,21 @@ def test_html_text(spark):
     assert texts[3] == [("", 0)] and texts[4] == [("", 0)] and texts[5] == [("plain <text", 11)] * 2
 
 
+def test_html_text_keeps_lead_and_heading(spark):
+    """Text beside the largest container is the article's, on pages whose host agrees and on pages of another template."""
+    lead, body = "lead " * 35, "body " * 65
+    parts = f"<nav>menu</nav><div class=content><div class=lead>{lead}</div><div class=body>{body}</div></div>"
+    article = f"<ul><li><a href=x>other page</a></li></ul><article><h1>Title</h1><p>first</p><div class=body>{body * 9}</div></article>"
+    plain = f"<div class=content><div class=text><p>{body}</p></div></div>"
+    empty = f"<div class=content><div class=text></div><div class=old><p>{body}</p></div></div>"
+    tiny = f"<div class=content><div class=text>x</div><div class=old><p>{body}</p></div></div>"
+    pages = [(1, "http://a/1", parts), (2, "http://a/2", parts), (3, "http://b/1", article), (4, "http://b/2", article)] + [(10 + i, f"http://c/{i}", plain) for i in range(5)] + [(20, "http://c/x", empty), (21, "http://c/y", tiny), (22, "http://c/z", parts)]
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[1] == out[2] == out[22] == (lead + body).strip()
+    assert out[3] == out[4] == "Title first " + (body * 9).strip()
+    assert out[10] == out[20] == body.strip() and out[21] == "x " + body.strip()
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight, fixed = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, {}
