@@ -241,13 +241,53 @@ class Kernel:
         return np.where(length < self.least, 0.0, length - 2 * (s * s).sum(1) / length)
 
 
-def median_distance(x: np.ndarray, most: int = 2000) -> float:
-    """Median squared distance of pairs; of a fixed sample of rows beyond ``most``."""
+#: Pair distances that are held at once.
+PAIRS = 4_000_000
+
+
+def _distances(x: np.ndarray):
+    """Squared distances of all pairs, some rows at a time."""
+    rows = max(1, PAIRS // (4 * len(x)))
+    for a in range(0, len(x) - 1, rows):
+        own, rest = x[a : a + rows], x[a:]
+        apart = np.zeros((len(own), len(rest)))
+        for k in range(x.shape[1]):
+            apart += (own[:, k, None] - rest[:, k]) ** 2
+        yield apart[np.arange(len(own))[:, None] < np.arange(len(rest))]
+
+
+def _ranked(x: np.ndarray, ranks: list[int]) -> list[float]:
+    """Exact order statistics (ascending, from 0) of the pair distances: ranges of their bits are counted and narrowed
+    until few enough are left to be sorted."""
+    out: list[float] = []
+    values, below = np.zeros(0), 0
+    for rank in ranks:
+        if not below <= rank < below + len(values):
+            low, high, below, left = 0, int(np.float64(np.inf).view(np.int64)), 0, len(x) * (len(x) - 1) // 2
+            while left > PAIRS and low < high:
+                width = (high - low) // 65_536 + 1
+                counts = np.zeros(65_536, np.int64)
+                for d in _distances(x):
+                    bits = d.view(np.int64)
+                    counts += np.bincount((bits[(bits >= low) & (bits <= high)] - low) // width, minlength=65_536)
+                total = np.cumsum(counts)
+                k = int(np.searchsorted(total, rank - below, "right"))
+                below, left = below + int(total[k] - counts[k]), int(counts[k])
+                low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+            if low == high:
+                values = np.broadcast_to(np.int64(low).view(np.float64), left)
+            else:
+                values = np.sort(np.concatenate([d[(d.view(np.int64) >= low) & (d.view(np.int64) <= high)] for d in _distances(x)]))
+        out.append(float(values[rank - below]))
+    return out
+
+
+def median_distance(x: np.ndarray, most: int = 10_000) -> float:
+    """Median squared distance of all pairs; beyond ``most`` rows of the reference's draw of so many."""
     if len(x) > most:
-        x = x[np.sort(np.random.default_rng(0).choice(len(x), most, replace=False))]
-    squares = (x * x).sum(1)
-    apart = np.maximum(squares[:, None] + squares - 2 * x @ x.T, 0)
-    return float(np.median(apart[np.triu_indices(len(x), 1)])) if len(x) > 1 else 0.0
+        x = x[np.random.default_rng(0).choice(len(x), most, replace=False)]
+    pairs = len(x) * (len(x) - 1) // 2
+    return sum(_ranked(x, [(pairs - 1) // 2, pairs // 2])) / 2 if pairs else 0.0
 
 
 class Custom:

@@ -147,6 +147,20 @@ def test_kernel_custom_and_target():
     assert calibrate(lambda b: [1, 2], 5)[0] == 0.0
 
 
+@pytest.mark.parametrize("pairs", [4_000_000, 50_000])
+@pytest.mark.parametrize("kind", ["real", "tied"])
+def test_kernel_bandwidth_of_a_long_series(monkeypatch, pairs, kind):
+    monkeypatch.setattr(costs, "PAIRS", pairs)
+    x = np.random.default_rng(4).normal(size=(2300, 2)) * (1, 3)
+    x = np.round(x) if kind == "tied" else x
+
+    def brute(z):
+        return np.median(((z[:, None, :] - z[None, :, :]) ** 2).sum(-1)[np.triu_indices(len(z), 1)])
+
+    assert np.isclose(costs.median_distance(x), brute(x), rtol=1e-12)
+    assert np.isclose(costs.median_distance(x, most=700), brute(x[np.random.default_rng(0).choice(len(x), 700, replace=False)]), rtol=1e-12)
+
+
 def test_grouped_equals_single_and_order_of_rows_does_not_matter(spark):
     data = generators.generate(spark, "mean", series=6, n=200, k=2, seed=3)
     together = {(r.series_id, r.cp) for r in D.mean(data.rows.orderBy("v"), "series_id", "t", "v").change_points.collect()}
