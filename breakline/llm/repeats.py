@@ -1,22 +1,26 @@
-"""Repeated passages of at least ``length`` symbols in all texts: sampling, sharing and folding of candidates.
+"""Repeated passages of at least ``length`` symbols in all texts: routing, indexing and folding of candidates.
 
 Every window of ``length`` symbols owns an anchor, the leftmost gram with the smallest hash inside it, so equal windows
-own equal anchors wherever they stand. Rows are dealt to batches of a few megabytes by a hash of doc_id, and five
-steps follow, each a Spark shuffle:
+own equal anchors wherever they stand. Anchors only say which windows must meet; which of them are equal is decided by
+the index that the operator names (suffix buckets, FM-index). Rows are dealt to batches of a few megabytes by a hash of
+doc_id and text, and five steps follow, each a Spark shuffle:
 
 1. each batch names its distinct anchors (about one in fourteen positions);
 2. by anchor, those of two or more batches are found;
-3. each batch cuts out the stretches (runs of windows with one anchor) whose anchors are shared, one copy of each;
-4. by anchor, stretches are compared: equal ones by their earliest owner, different ones window by window with the
-   index that the operator names (suffix buckets, FM-index);
-5. each batch removes what steps 3 and 4 found.
+3. each batch indexes its stretches (runs of windows with one anchor) whose anchors are shared, and sends one copy of
+   those that its index names alike;
+4. by anchor, the stretches of all batches are indexed together; a batch is told which of its windows an earlier
+   document of another batch holds;
+5. each batch indexes its candidates again and removes what it was told and what it repeats itself.
 
 A passage that a third of all documents share is one anchor, and one stretch, per batch: hot groups are folded before
-each shuffle. Nothing is capped and no window is skipped; hashes choose candidates, contents decide.
+each shuffle. An anchor of many batches is split by the symbols beside it, so a common phrase with ever new
+surroundings is spread over many tasks. Nothing is capped and no window is skipped; hashes route, contents decide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a batch.
 BATCH_BYTES = 4_000_000
+#: Batches that share an anchor before it is split by its surroundings.
+HOT_BATCHES = 64
 KEY_BITS = np.uint64(2**48 - 1)
 LAST_ID = 2**63 - 1  # stands for a null doc_id
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -57,6 +63,7 @@ class Batch:
     ids: list[int]
     starts: np.ndarray  # first symbol of each text, and the end
     order: np.ndarray  # uint32 > 0 per position: the smallest in a window is its anchor
+    merged = False  # whether the index takes runs of windows of any length; else stretches with their anchors
 
     def key(self, at: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -91,7 +98,17 @@ class Anchors:
         if across_texts:
             text = np.searchsorted(self.batch.starts, self.at[order], "right")
             same &= text[1:] != text[:-1]
-        return np.unique(keys[1:][same])
+        return distinct(keys[1:][same])
+
+    def owner(self, windows: np.ndarray) -> np.ndarray:
+        """Which anchor each window owns."""
+        own = np.searchsorted(self.at, windows)
+        value = self.batch.order[self.at]
+        left = np.flatnonzero(value[own] != self.smallest[windows])
+        while len(left):
+            own[left] += 1
+            left = left[value[own[left]] != self.smallest[windows[left]]]
+        return own
 
     def stretches(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first window, last window, key) of the runs of windows whose anchor's key is among the sorted ``keys``."""
@@ -106,12 +123,7 @@ class Anchors:
         np.add.at(near, at + 1, -1)
         m = len(self.smallest)
         windows = np.flatnonzero((np.cumsum(near)[:m] > 0) & (self.smallest > 0))
-        own = np.cumsum(self.is_anchor, dtype=np.int64)[windows] - self.is_anchor[windows]
-        value = self.batch.order[self.at]
-        left = np.flatnonzero(value[own] != self.smallest[windows])
-        while len(left):
-            own[left] += 1
-            left = left[value[own[left]] != self.smallest[windows[left]]]
+        own = self.owner(windows)
         keep = wanted[own]
         windows, own = windows[keep], own[keep]
         if not len(windows):
@@ -156,15 +168,39 @@ def _first(table: pa.Table, name: str) -> int:
     return table.column(name)[0].as_py()
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def spans(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (counts[0] of them), then those of first[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - first, counts)
+
+
+def earliest(classes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For each window of a class (>= 0) the smallest rank in its class; its own rank where it stands alone."""
+    out = ranks.copy()
+    shared = np.flatnonzero(classes >= 0)
+    order = shared[np.argsort(classes[shared], kind="stable")]
+    if len(order):
+        new = np.flatnonzero(np.r_[True, classes[order][1:] != classes[order][:-1]])
+        out[order] = np.repeat(np.minimum.reduceat(ranks[order], new), np.diff(np.r_[new, len(order)]))
+    return out
+
+
 @dataclass(frozen=True)
 class Job:
-    """What an operator asks for. ``read``: texts to a batch of symbols. ``same_text``: an earlier place in the same
-    text counts. ``resolve``: (contents, owners) to, per content, the windows that an earlier owner's content holds."""
+    """What an operator asks for. ``read``: texts to a batch of symbols. ``classes``: contents (and the
+    places of their anchors) to a number for each of their windows, equal for equal windows, -1 for one without an equal. ``same_text``: an earlier place in the
+    same text counts."""
 
     length: int
     gram: int
     read: object
-    resolve: object
+    classes: object
     same_text: bool
     n: int  # batches, and groups of anchors
 
@@ -177,7 +213,7 @@ class Job:
         return Anchors(batch, self.length, self.gram)
 
     def name_anchors(self, table: pa.Table) -> pa.Table:
-        keys = np.unique(self.anchors(self.open(table)).keys)
+        keys = distinct(self.anchors(self.open(table)).keys)
         group = (keys % np.uint64(self.n)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         keys, group = keys[order], group[order]
@@ -187,66 +223,113 @@ class Job:
         return pa.table({"bucket": pa.array(group[new], pa.int32()), "batch": pa.array([me] * len(new), pa.int32()), "keys": pa.array([_pack(keys[a:b]) for a, b in zip(new, ends, strict=True)], pa.binary())})
 
     def share_anchors(self, table: pa.Table) -> pa.Table:
+        """To each batch, the anchors that other batches have too, those of many batches apart."""
         lists = [_unpack(k) for k in table.column("keys").to_pylist()]
         keys = np.sort(np.concatenate(lists))
-        shared = np.unique(keys[1:][keys[1:] == keys[:-1]])
-        batches, out = [], []
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        batches = np.diff(np.r_[first, len(keys)])
+        shared, batches = keys[first[batches > 1]], batches[batches > 1]
+        to, few, many = [], [], []
         for b, own in zip(table.column("batch").to_pylist(), lists, strict=True):
-            if len(shared) and len(kept := own[shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own]):
-                batches.append(b)
-                out.append(_pack(kept))
-        return pa.table({"batch": pa.array(batches, pa.int32()), "keys": pa.array(out, pa.binary())})
-
-    def _folded(self, batch: Batch, a: Anchors, keys: np.ndarray):
-        """Distinct stretches in order of first place: content -> [key, places as (text, first, last window)]."""
-        first, last, key = a.stretches(keys)
+            if len(shared):
+                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+                kept, hot = shared[at] == own, batches[at] > HOT_BATCHES
+                if kept.any():
+                    to.append(b)
+                    few.append(_pack(own[kept & ~hot]))
+                    many.append(_pack(own[kept & hot]))
+        return pa.table({"batch": pa.array(to, pa.int32()), "keys": pa.array(few, pa.binary()), "hot": pa.array(many, pa.binary())})
+
+    def indexed(self, batch: Batch, anchors: Anchors, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, class, rank) of the windows of stretches (and between neighbouring ones, if the operator's index
+        takes runs of any length), by position. Ranks order owners."""
+        if not len(first):
+            return (np.zeros(0, np.int64),) * 3
         text = np.searchsorted(batch.starts, first, "right") - 1
-        out: dict[bytes, tuple[int, list[tuple[int, int, int]]]] = {}
-        for f, l, k, t in zip(first.tolist(), last.tolist(), key.tolist(), text.tolist(), strict=True):
-            c = batch.content(f, l + self.length)
-            if c in out:
-                out[c][1].append((t, f, l))
-            else:
-                out[c] = k, [(t, f, l)]
-        return out
+        if batch.merged:
+            new = np.flatnonzero(np.r_[True, (first[1:] > last[:-1] + self.length) | (text[1:] != text[:-1])])
+            first, last, text = first[new], last[np.r_[new[1:] - 1, len(last) - 1]], text[new]
+        at = spans(first, last - first + 1)
+        contents = [batch.content(x, y + self.length) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+        classes = self.classes(contents) if batch.merged else self.classes(contents, anchors.at[anchors.owner(first)] - first)
+        _, rank = np.unique(np.array(batch.ids, np.int64), return_inverse=True)
+        owner = np.repeat(text, last - first + 1)
+        return at, classes, self.ranks(rank[owner], at - batch.starts[owner])
+
+    def ranks(self, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return doc.astype(np.int64) << 32 | start if self.same_text else doc.astype(np.int64)
+
+    def split(self, batch: Batch, a: Anchors, first: np.ndarray, last: np.ndarray, key: np.ndarray, hot: np.ndarray):
+        """Stretches around hot anchors are cut in two: windows with enough symbols after the gram go by gram and
+        those, the others by gram and as many symbols before it."""
+        beside = (a.w - 1) // 2
+        cut = np.flatnonzero(_among(hot, key))
+        if not len(cut):
+            return first, last, key
+        at = a.at[a.owner(first[cut])]
+        here = key.copy()
+        rows = [(first, last, here)]
+        middle = at - beside  # the first window with at most ``beside`` symbols before its gram
+        named = lambda x, y, side: int.from_bytes(hashlib.blake2b(side + batch.content(x, y), digest_size=6).digest(), "little")
+        for k, f, l, g, m in zip(cut.tolist(), first[cut].tolist(), last[cut].tolist(), at.tolist(), middle.tolist(), strict=True):
+            before = named(g - beside, g + self.gram, b"<") if f < m else 0
+            after = named(g, g + self.gram + beside, b">") if l >= m else 0
+            here[k] = before if f < m else after
+            if f < m <= l:
+                rows.append((np.array([m]), np.array([l]), np.array([after], np.uint64)))
+        last = last.copy()
+        both = cut[(first[cut] < middle) & (middle <= last[cut])]
+        last[both] = middle[(first[cut] < middle) & (middle <= last[cut])] - 1
+        rows[0] = first, last, here
+        first, last, key = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.argsort(first)
+        return first[order], last[order], key[order]
 
     def cut_stretches(self, texts: pa.Table, shared: pa.Table) -> pa.Table:
-        if not texts.num_rows:
+        if not texts.num_rows or not shared.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "stretches": pa.array([], pa.binary())})
         batch = self.open(texts)
         a = self.anchors(batch)
-        keys = np.unique(np.concatenate([*(_unpack(k) for k in shared.column("keys").to_pylist()), a.repeated(not self.same_text)]))
-        found = self._folded(batch, a, keys)
-        rows = [(k % self.n, places[0][1], batch.ids[places[0][0]], places[0][1] - int(batch.starts[places[0][0]]) if self.same_text else 0, k, c) for c, (k, places) in found.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
+        few, hot = (distinct(np.concatenate([_unpack(k) for k in shared.column(c).to_pylist()])) for c in ("keys", "hot"))
+        first, last, key = self.split(batch, a, *a.stretches(distinct(np.r_[few, hot])), hot)
+        at, classes, rank = self.indexed(batch, a, first, last)
+        # stretches are shorter than two windows: equal first and last windows mean equal stretches
+        f, l = np.searchsorted(at, first), np.searchsorted(at, last)
+        alone = np.where((classes[f] < 0) | (classes[l] < 0), np.arange(len(f)) + 1, 0)
+        order = np.lexsort((rank[f], alone, classes[l], classes[f], last - first))
+        parts = [x[order] for x in (last - first, classes[f], classes[l], alone)]
+        lead = order[np.flatnonzero(np.r_[True, np.any([p[1:] != p[:-1] for p in parts], 0)])] if len(order) else order
+        text = np.searchsorted(batch.starts, first[lead], "right") - 1
+        begin = first[lead] - batch.starts[text] if self.same_text else np.zeros(len(lead), np.int64)
+        contents = [batch.content(x, y + self.length) for x, y in zip(first[lead].tolist(), last[lead].tolist(), strict=True)]
+        anchor = a.at[a.owner(first[lead])] - first[lead]
+        columns = ((key[lead] % np.uint64(self.n)).astype(np.int32), first[lead], np.array(batch.ids, np.int64)[text], begin, anchor, contents)
         buckets, blobs = _dealt(pa.table({k: pa.array(c, t) for (k, t), c in zip({"bucket": pa.int32(), **STRETCH}.items(), columns, strict=True)}), "bucket")
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "batch": pa.array([_first(texts, "batch")] * len(blobs), pa.int32()), "stretches": pa.array(blobs, pa.binary())})
 
     def compare(self, blobs: pa.Table) -> pa.Table:
+        """To each batch, the windows of its stretches that have an earlier owner in another batch and none as early here."""
         found = [pa.ipc.open_stream(b).read_all() for b in blobs.column("stretches").to_pylist()]
         table, batches = pa.concat_tables(found).combine_chunks(), np.repeat(blobs.column("batch").to_numpy(), [f.num_rows for f in found])
-        contents, keys = table.column("content").dictionary_encode(), table.column("key").to_numpy()
-        if isinstance(contents, pa.ChunkedArray):
-            contents = contents.combine_chunks()
-        code, distinct = contents.indices.to_numpy(), contents.dictionary.to_pylist()
-        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
-        order = np.lexsort((start, doc, code))
-        lead = order[np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])]  # earliest owner by content
-        lead_doc, lead_start, lead_key = doc[lead], start[lead], keys[lead]
-        _, which, many = np.unique(lead_key, return_inverse=True, return_counts=True)
-        mixed_keys = np.flatnonzero(many[which] > 1)  # anchors with different stretches
-        masks: list[bytes | None] = [None] * len(distinct)
-        if len(mixed_keys):
-            removed = self.resolve([distinct[i] for i in mixed_keys], lead_doc[mixed_keys], lead_start[mixed_keys])
-            for i, mask in zip(mixed_keys.tolist(), removed, strict=True):
-                if mask.any():
-                    masks[i] = np.packbits(mask).tobytes()
-        mask = [masks[c] for c in code.tolist()]
-        moved = (lead_doc[code] != doc) | (lead_start[code] != start)
-        tell = np.flatnonzero(moved | np.array([m is not None for m in mask], bool))
-        told = pa.table({"batch": pa.array(batches[tell]), "at": table.column("at").take(pa.array(tell)), "doc": pa.array(lead_doc[code[tell]]), "start": pa.array(lead_start[code[tell]]), "mask": pa.array([mask[i] for i in tell.tolist()], pa.binary())})
-        owners, out = _dealt(told, "batch")
-        return pa.table({"batch": pa.array(owners, pa.int32()), "told": pa.array(out, pa.binary())})
+        contents = table.column("content").to_pylist()
+        classes = self.classes(contents) if self.read.merged else self.classes(contents, table.column("anchor").to_numpy().astype(np.int64))
+        counts = self.windows(contents)
+        _, doc = np.unique(table.column("doc").to_numpy(), return_inverse=True)
+        first = np.r_[0, np.cumsum(counts)]
+        stretch = np.repeat(np.arange(len(contents)), counts)
+        rank = self.ranks(doc[stretch], table.column("start").to_numpy()[stretch] + np.arange(len(stretch)) - first[stretch])
+        _, batch = np.unique(batches, return_inverse=True)
+        group = np.where(classes < 0, -1, classes * (int(batch.max()) + 1) + batch[stretch])  # a class within a batch
+        owners = distinct(group[rank == earliest(classes, rank)])
+        gone = (classes >= 0) & ~_among(owners, group)
+        tell = np.flatnonzero(np.add.reduceat(gone, first[:-1]) > 0)
+        masks = [np.packbits(gone[x:y]).tobytes() for x, y in zip(first[tell].tolist(), first[tell + 1].tolist(), strict=True)]
+        told = pa.table({"batch": pa.array(batches[tell]), "at": table.column("at").take(pa.array(tell)), "n": pa.array(counts[tell], pa.int32()), "mask": pa.array(masks, pa.binary())})
+        to, out = _dealt(told, "batch")
+        return pa.table({"batch": pa.array(to, pa.int32()), "told": pa.array(out, pa.binary())})
+
+    def windows(self, contents: list[bytes]) -> np.ndarray:
+        return np.array([self.read.symbols(c) for c in contents], np.int64) - self.length + 1
 
     def remove(self, texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -254,50 +337,52 @@ class Job:
         told = _rows(told.column("told").to_pylist(), TOLD)
         batch = self.open(texts)
         a = self.anchors(batch)
-        at = np.sort(told.column("at").to_numpy().astype(np.int64)) if told.num_rows else np.zeros(0, np.int64)
+        head, count = told.column("at").to_numpy().astype(np.int64), told.column("n").to_numpy().astype(np.int64)
         keys = a.repeated(not self.same_text)
-        if len(at):
-            own = np.searchsorted(a.at, at)
-            value = batch.order[a.at]
-            left = np.flatnonzero(value[own] != a.smallest[at])
-            while len(left):
-                own[left] += 1
-                left = left[value[own[left]] != a.smallest[at[left]]]
-            keys = np.unique(np.concatenate([keys, a.keys[own]]))
-        verdict = {r["at"]: r for r in told.to_pylist()}
-        cover = np.zeros(int(batch.starts[-1]) + 1, np.int32)
-        for places in (p for _, p in self._folded(batch, a, keys).values()):
-            r = verdict.get(places[0][1])
-            doc, start = (r["doc"], r["start"]) if r else (batch.ids[places[0][0]], places[0][1] - int(batch.starts[places[0][0]]) if self.same_text else 0)
-            for t, f, l in places:
-                if batch.ids[t] > doc or self.same_text and (batch.ids[t] != doc or f - int(batch.starts[t]) != start or f != places[0][1]):
-                    cover[f] += 1
-                    cover[l + self.length] -= 1
-                elif r and r["mask"] is not None:
-                    for i in np.flatnonzero(np.unpackbits(np.frombuffer(r["mask"], np.uint8))[: l - f + 1]).tolist():
-                        cover[f + i] += 1
-                        cover[f + i + self.length] -= 1
-        gone = np.cumsum(cover)[:-1] > 0
+        if len(head):
+            keys = distinct(np.r_[keys, a.keys[a.owner(np.sort(head))]])
+        first, last, _ = a.stretches(keys)
+        at, classes, rank = self.indexed(batch, a, first, last)
+        gone = rank > earliest(classes, rank)
+        if len(head):
+            bits = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[:k] for m, k in zip(told.column("mask").to_pylist(), count.tolist(), strict=True)])
+            hit = np.searchsorted(at, spans(head, count)[bits.astype(bool)])
+            gone[hit] = True
+            gone |= (classes >= 0) & _among(distinct(classes[hit]), classes)
+        cover = np.zeros(int(batch.starts[-1]) + 1, np.int64)
+        cover[at[gone]] += 1  # windows are distinct places
+        np.subtract.at(cover, at[gone] + self.length, 1)
+        removed = np.cumsum(cover)[:-1] > 0
         rows = []
         for t, (b, e) in enumerate(zip(batch.starts[:-1].tolist(), batch.starts[1:].tolist(), strict=True)):
-            own = gone[b:e]
-            edge = np.flatnonzero(np.diff(np.r_[False, own, False]))
-            rows.append((None if batch.ids[t] == LAST_ID else batch.ids[t], e - b, edge[::2].tolist(), edge[1::2].tolist(), batch.kept(t, gone[b:e])))
+            own = removed[b:e]
+            edge = np.flatnonzero(np.diff(np.r_[False, own, False])) if own.any() else np.zeros(0, np.int64)
+            rows.append((None if batch.ids[t] == LAST_ID else batch.ids[t], e - b, edge[::2].tolist(), edge[1::2].tolist(), batch.kept(t, own)))
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(KEPT.items(), zip(*rows, strict=True), strict=True)})
 
 
-STRETCH = {"at": pa.int32(), "doc": pa.int64(), "start": pa.int32(), "key": pa.int64(), "content": pa.binary()}
-TOLD = {"at": pa.int32(), "doc": pa.int64(), "start": pa.int32(), "mask": pa.binary()}
+def _among(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
+STRETCH = {"at": pa.int32(), "doc": pa.int64(), "start": pa.int32(), "anchor": pa.int32(), "content": pa.binary()}
+TOLD = {"at": pa.int32(), "n": pa.int32(), "mask": pa.binary()}
 KEPT = {"doc_id": pa.int64(), "n_symbols": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept": pa.binary()}
 
 
-def remove_repeats(docs: DataFrame, length: int, gram: int, read, resolve, same_text: bool) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_symbols, starts, ends (removed runs, half open), kept (bytes)."""
+def remove_repeats(docs: DataFrame, length: int, gram: int, read, classes, same_text: bool) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_symbols, starts, ends (removed runs, half open), kept (bytes).
+
+    Null and repeated doc_ids are dealt like others: a row goes by doc_id and text. Rows that repeat a doc_id have one
+    rank (with ``same_text``: a window that starts at a smaller symbol comes first, in whichever row).
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    job = Job(length, gram, read, resolve, same_text, max(1, -(-size // BATCH_BYTES)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(job.n)).cast("int").alias("batch"))
+    job = Job(length, gram, read, classes, same_text, max(1, -(-size // BATCH_BYTES)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(job.n)).cast("int").alias("batch"))
     named = texts.groupBy("batch").applyInArrow(lambda t: job.name_anchors(t), "bucket int, batch int, keys binary")
-    shared = named.groupBy("bucket").applyInArrow(lambda t: job.share_anchors(t), "batch int, keys binary")
+    shared = named.groupBy("bucket").applyInArrow(lambda t: job.share_anchors(t), "batch int, keys binary, hot binary")
     cut = texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, u: job.cut_stretches(t, u), "bucket int, batch int, stretches binary")
     told = cut.groupBy("bucket").applyInArrow(lambda t: job.compare(t), "batch int, told binary")
     return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda t, u: job.remove(t, u), "doc_id long, n_symbols long, starts array<long>, ends array<long>, kept binary")

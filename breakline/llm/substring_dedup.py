@@ -1,8 +1,10 @@
 r"""Substring dedup on words: words of windows that stand earlier in the corpus are removed.
 
-Different stretches around one anchor are compared with a compressed FM-index of their shard: the Burrows-Wheeler
-transform of the shard's words as bit vectors of a wavelet matrix. Every window is streamed through it by backward
-search; the interval it ends with holds all its places, and windows with an earlier place are reported.
+Which windows are equal is decided by compressed FM-indexes, one for each batch and one for each shard of stretches that
+batches share: the runs of the words' Burrows-Wheeler transform with a wavelet tree over them. Texts are streamed through
+the index by backward search, which gives their matching statistics: from each word on, how many words stand elsewhere
+too. Places of 20 or more are reported with their interval; all windows that end in one interval are its places, and
+those with an earlier one go.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import KEY_BITS, M1, Batch, mixed, remove_repeats
+from .repeats import KEY_BITS, M1, Batch, mixed, remove_repeats, spans
 from .suffix_dedup import removed
 
 LENGTH = 20
@@ -86,6 +88,12 @@ class Words(Batch):
     def content(self, a: int, b: int) -> bytes:
         return self.data[self.begins[a] : self.ends[b - 1]]
 
+    merged = True
+
+    @staticmethod
+    def symbols(content: bytes) -> int:
+        return content.count(b" ") + 1
+
     def kept(self, t: int, gone: np.ndarray) -> bytes:
         a, b = int(self.starts[t]), int(self.starts[t + 1])
         if a == b:
@@ -108,74 +116,142 @@ class BitVector:
         return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
 
 
-class FMIndex:
-    """Backward search over integer symbols; the text ends with 0, which stands nowhere else inside a pattern."""
+class WaveletTree:
+    """Ranks of symbols in a sequence: a level of bits for each bit of the symbols, zeros before ones."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        n = len(text)
-        rank, size = text.astype(np.int64), 1
-        while size < depth:  # suffixes sorted over at least ``depth`` symbols, by doubling
-            later = np.r_[rank[size:], np.full(min(size, n), -1)] + 1
-            _, rank = np.unique(rank * (n + int(text.max()) + 2) + later, return_inverse=True)
-            size *= 2
-        self.order = np.argsort(rank, kind="stable")
-        last = text[self.order - 1]  # Burrows-Wheeler transform
-        self.smaller = np.r_[0, np.cumsum(np.bincount(text))]
+    def __init__(self, symbols: np.ndarray, top: int):
         self.levels: list[tuple[int, BitVector, int]] = []
-        for bit in reversed(range(max(1, int(text.max()).bit_length()))):
-            ones = (last >> bit & 1).astype(bool)
-            self.levels.append((bit, BitVector(ones), int(n - ones.sum())))
-            last = np.r_[last[~ones], last[ones]]
-
-    def occurrences(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often each symbol stands among the first i of the transform."""
-        low = np.zeros_like(i)
+        for bit in reversed(range(max(1, top.bit_length()))):
+            ones = (symbols >> bit & 1).astype(bool)
+            self.levels.append((bit, BitVector(ones), int(len(symbols) - ones.sum())))
+            symbols = np.r_[symbols[~ones], symbols[ones]]
+        self.begin = self._walk(np.arange(top + 1), np.zeros(top + 1, np.int64))
+
+    def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for bit, ones, zeros in self.levels:
-            up = (symbol >> bit & 1).astype(bool)
-            a, b = ones.rank(low), ones.rank(i)
-            low, i = np.where(up, zeros + a, low - a), np.where(up, zeros + b, i - b)
-        return i - low
-
-    def search(self, text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of suffixes that begin with text[at : at + length]."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
-        for j in reversed(range(length)):
-            c = text[at + j]
-            low, high = self.smaller[c] + self.occurrences(c, low), self.smaller[c] + self.occurrences(c, high)
-        return low, high
-
-
-def earlier_windows(contents: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per content, which of its windows have an earlier place: smaller doc_id, or the same and an earlier start."""
+            up = ones.rank(i)
+            i = np.where(symbol >> bit & 1, zeros + up, i - up)
+        return i
+
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often each symbol stands among the first i."""
+        return self._walk(symbol, i) - self.begin[symbol]
+
+
+class FMIndex:
+    """A shard's words, compressed: the runs of their Burrows-Wheeler transform with a wavelet tree over the runs' words.
+    0 ends each content and is never searched for. Suffixes are sorted over ``depth`` words; longer patterns are not
+    asked for, and the suffix array itself isn't kept."""
+
+    def __init__(self, text: np.ndarray, depth: int):
+        n, self.depth = len(text), depth
+        ids, d = [text.astype(np.int64)], 1
+        names = [(ids[0], 1)]
+        while d < depth:  # each round reads the names of the one before at a later place
+            step = min(d, depth - d)
+            at = np.minimum(np.arange(n) + step, n)
+            later = np.r_[names[-1][0] + 1, 0][at]
+            _, name = np.unique(names[-1][0] * (n + int(text.max()) + 2) + later, return_inverse=True)
+            d += step
+            names.append((name, d))
+        order = np.argsort(names[-1][0], kind="stable")
+        a, b = order[:-1].copy(), order[1:].copy()
+        same = np.zeros(n - 1, np.int64)
+        for name, size in reversed(names):  # words that neighbours share: the largest size that agrees, then what follows
+            fits = (a + size <= n) & (b + size <= n) & (same + size < depth)
+            fits &= name[np.minimum(a, n - 1)] == name[np.minimum(b, n - 1)]
+            same += np.where(fits, size, 0)
+            a += np.where(fits, size, 0)
+            b += np.where(fits, size, 0)
+        new = np.r_[True, same < depth - 1]
+        self.group = np.cumsum(new, dtype=np.int32) - 1  # of suffixes that share all words but one of a pattern
+        self.bound = np.r_[np.flatnonzero(new), n]
+        last = text[order - 1]
+        self.n, self.smaller = n, np.r_[0, np.cumsum(np.bincount(text))]
+        self.starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+        self.words = last[self.starts]
+        lengths = np.diff(np.r_[self.starts, n])
+        by = np.argsort(self.words, kind="stable")
+        self.total = np.r_[0, np.cumsum(lengths[by])]  # places in the runs before a run, word by word
+        self.runs = np.r_[0, np.cumsum(np.bincount(self.words, minlength=len(self.smaller) - 1))]
+        self.tree = WaveletTree(self.words, int(text.max()))
+
+    def occurrences(self, word: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often each word stands among the first i of the transform."""
+        run = np.searchsorted(self.starts, i, "right") - 1
+        k = self.runs[word]
+        before = self.total[k + self.tree.rank(word, run)] - self.total[k]
+        return before + np.where(self.words[run] == word, i - self.starts[run], 0)
+
+    def extended(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the matches with one more word in front."""
+        both = self.occurrences(np.r_[word, word], np.r_[low, high])
+        return self.smaller[word] + both[: len(word)], self.smaller[word] + both[len(word) :]
+
+    def matching(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the lanes text[begin:end], streamed from the right, held at ``depth`` words: the
+        places from which that many words stand twice in the index or more, with their lane and the interval's start.
+
+        A lane's match grows to the left. One of ``depth`` words is reported and goes on without its last word; where
+        a match can't grow, no longer one ends at this place, and the search begins anew one word before.
+        """
+        live = np.flatnonzero(end - begin >= self.depth)
+        lane, begin, stop = live, begin[live], end[live]
+        left, low, high = stop.copy(), np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
+        found = []
+        while len(lane):
+            word = text[left - 1]
+            low, high = self.extended(word, low, high)
+            met = high - low > 1
+            left = left - met
+            full = met & (stop - left == self.depth)
+            if full.any():
+                found.append((lane[full], left[full], low[full]))
+                group = self.group[low[full]]
+                low[full], high[full] = self.bound[group], self.bound[group + 1]
+            stop = stop - (full | ~met)
+            left = np.where(met, left, stop)
+            low, high = np.where(met, low, 0), np.where(met, high, self.n)
+            on = stop - begin >= self.depth
+            if not on.all():
+                lane, begin, stop, left, low, high = lane[on], begin[on], stop[on], left[on], low[on], high[on]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+#: Windows of a lane: lanes are streamed side by side, each from ``length - 1`` words behind its last window on.
+LANE = 16
+
+
+def window_classes(contents: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """For each window of the contents, one after another: its interval in the index of all, -1 where it stands alone."""
     names: dict[bytes, int] = {}
     ids = [[names.setdefault(w, len(names) + 1) for w in c.split(b" ")] for c in contents]
+    if not ids:
+        return np.zeros(0, np.int64)
     text = np.array([x for words in ids for x in (*words, 0)], np.int64)
-    begins = np.r_[0, np.cumsum([len(w) + 1 for w in ids])]
-    counts = np.diff(begins) - length
-    owner = np.repeat(np.arange(len(contents)), counts)
-    first = np.r_[0, np.cumsum(counts)]
-    offset = np.arange(first[-1]) - first[owner]
+    sizes = np.array([len(w) for w in ids], np.int64)
     index = FMIndex(text, length)
-    low, high = index.search(text, offset + begins[owner], length)
-    gone = np.zeros(len(owner), bool)
-    many = np.flatnonzero(high - low > 1)
-    if len(many):
-        place = np.lexsort((start[owner[many]] + offset[many], doc[owner[many]]))  # earliest first
-        order = many[place]
-        _, earliest = np.unique(low[order], return_index=True)  # one interval per distinct window
-        gone[many] = True
-        gone[order[earliest]] = False
-    return [gone[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    many = sizes - length + 1
+    lanes = -(-many // LANE)
+    owner = np.repeat(np.arange(len(ids)), lanes)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    begin = begins[owner] + spans(np.zeros(len(ids), np.int64), lanes) * LANE
+    end = np.minimum(begin + LANE + length - 1, (begins + sizes)[owner])
+    lane, place, first = index.matching(text, begin, end)
+    own = owner[lane]
+    classes = np.full(int(many.sum()), -1, np.int64)
+    classes[(np.cumsum(many) - many)[own] + place - begins[own]] = first
+    return classes
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, starts, ends (removed runs of words), kept (the rest, bytes).
 
     A null text has no words. A word goes when a window of 20 words over it also starts earlier: in a row with a
-    smaller doc_id (null: larger than all), or earlier in the same row; windows are judged on the input. Of rows that
-    repeat a doc_id, those whose texts sort first count as earlier.
+    smaller doc_id (null: larger than all), or earlier in the same row; windows are judged on the input. Rows that repeat
+    a doc_id (or have none) are read as one document: the window that starts at the smaller word is the earlier one.
     """
-    return remove_repeats(docs, LENGTH, GRAM, Words, earlier_windows, same_text=True).withColumnRenamed("n_symbols", "n_words")
+    return remove_repeats(docs, LENGTH, GRAM, Words, window_classes, same_text=True).withColumnRenamed("n_symbols", "n_words")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes of passages that a document with a smaller doc_id holds too are removed.
 
-Different stretches around one anchor are compared by bucket-pointer refinement: positions are put into buckets by
-their first eight bytes; a bucket is split by sorting on the bucket identifiers at later offsets, and positions alone
-in their bucket are settled and leave, until the buckets hold suffixes that agree over the whole length.
+Which windows are equal is decided by bucket-pointer refinement, in each batch and among the stretches that batches
+share: suffixes are put into buckets by their first eight bytes; buckets are refined by sorting on the bucket identifiers
+of later offsets, the new identifiers are written back, and the next refinement, twice as deep, reads those. The suffix
+array is sparse: suffixes at anchors, and backwards from anchors, are sorted, since every window has its anchor inside.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import KEY_BITS, M1, Batch, grams_at, mixed, remove_repeats
+from .repeats import KEY_BITS, M1, Batch, distinct, grams_at, mixed, remove_repeats
 
 LENGTH = 50
 GRAM = 24
@@ -35,48 +36,81 @@ class Bytes(Batch):
     def content(self, a: int, b: int) -> bytes:
         return self.data[a:b]
 
+    symbols = len
+    merged = False
+
     def kept(self, t: int, gone: np.ndarray) -> bytes:
         a, b = int(self.starts[t]), int(self.starts[t + 1])
         return np.frombuffer(self.data, np.uint8)[a:b][~gone].tobytes() if gone.any() else self.data[a:b]
 
 
-def refine(buckets: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Final bucket of each position in ``at``: equal for positions that agree over ``length`` bytes, -1 if alone.
-
-    ``buckets``: identifier of the Q bytes from every position.
+class BucketPointers:
+    """Bucket identifiers of positions in a text: equal for positions that agree over the depth they are refined to,
+    ordered as their suffixes. Suffixes are sorted from the positions that are asked for."""
+
+    def __init__(self, data: np.ndarray, reach: int):
+        self.data = np.r_[data, np.zeros(reach + Q, np.uint8)]
+        self.pointer = np.zeros(len(data) + reach, np.int64)
+
+    def refine(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Sort the distinct positions ``at`` by their ``length`` first bytes; their pointers are written back.
+
+        Up to Q bytes make the initial buckets. Deeper ones come from buckets of half the depth, refined before at
+        these positions and at the later offset, by sorting on both identifiers.
+        """
+        if length <= Q:
+            grams = np.ndarray((len(self.data) - Q + 1,), ">u8", self.data, strides=(1,))[at].astype(np.uint64)
+            key = grams >> np.uint64(8 * (Q - length))
+        else:
+            depth = Q
+            while 2 * depth < length:
+                depth *= 2
+            self.refine(distinct(np.r_[at, at + length - depth]), depth)
+            key = self.pointer[at] << 32 | self.pointer[at + length - depth]
+        order = np.argsort(key)
+        key = key[order]
+        self.pointer[at[order]] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(at)), 0))
+        return at[order]
+
+
+def shared_depths(data: np.ndarray, at: np.ndarray, depths: range) -> dict[int, np.ndarray]:
+    """For each depth and position: the first suffix that agrees with this one over that many bytes, as a slot of the
+    suffix array."""
+    length = depths[-1]
+    found = BucketPointers(data, length)
+    order = found.refine(at, length)
+    rows = found.data[order[:, None] + np.arange(length)]
+    differs = rows[1:] != rows[:-1]
+    same = np.r_[0, np.where(differs.any(1), differs.argmax(1), length)]  # longest common prefix with the suffix before
+    back = np.argsort(order)  # ``at`` ascends
+    slots = np.arange(len(at))
+    return {d: np.maximum.accumulate(np.where(same < d, slots, 0))[back] for d in depths}
+
+
+def window_classes(contents: list[bytes], anchors: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For each window of the contents, one after another: a number that equal windows share, -1 where it stands alone.
+
+    Each content has its anchor in all of its windows. So the suffixes at anchors are sorted, and those of the reversed
+    text: windows are equal if as many bytes stand before their anchors and both intervals, of that many bytes before
+    and of the rest from the anchor on, are the same.
     """
-    out = np.full(len(at), -1, np.int64)
-    left = np.arange(len(at))
-    current = buckets[at].astype(np.int64)
-    top = int(buckets.max()) + 1 if len(buckets) else 1
-    for offset in [*range(Q, length - Q + 1, Q), *([length - Q] if length % Q else [])]:
-        pair = current * top + buckets[at[left] + offset]
-        _, current, many = np.unique(pair, return_inverse=True, return_counts=True)
-        stay = many[current] > 1
-        left, current = left[stay], current[stay]
-        if not len(left):
-            return out
-    out[left] = current
-    return out
-
-
-def earlier_windows(contents: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per content, which of its windows also stand in a content of a smaller owner."""
-    data = b"".join(contents) + bytes(64)
-    begins = np.r_[0, np.cumsum([len(c) for c in contents])]
-    _, buckets = np.unique(grams_at(data, int(begins[-1])), return_inverse=True)
-    counts = np.diff(begins) - length + 1
-    owner = np.repeat(np.arange(len(contents)), counts)
-    first = np.r_[0, np.cumsum(counts)]
-    at = np.arange(first[-1]) - first[owner] + begins[owner]
-    bucket = refine(buckets, at, length)
-    gone = np.zeros(len(at), bool)
-    shared = np.flatnonzero(bucket >= 0)
-    if len(shared):
-        least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, bucket[shared], doc[owner[shared]])
-        gone[shared] = least[bucket[shared]] < doc[owner[shared]]
-    return [gone[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    if not contents:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    sizes = np.array([len(c) for c in contents], np.int64)
+    at = np.cumsum(sizes) - sizes + anchors
+    after = shared_depths(data, at, range(gram, length + 1))
+    before = {d: slots[::-1] for d, slots in shared_depths(data[::-1], (len(data) - at)[::-1], range(length - gram + 1)).items()}
+    many = sizes - length + 1
+    first = np.cumsum(many) - many
+    classes, used = np.full(int(many.sum()), -1, np.int64), 0
+    for r in range(length - gram + 1):  # bytes of the window before the anchor
+        own = np.flatnonzero((anchors >= r) & (anchors - r < many))
+        pair = before[r][own] << 32 | after[length - r][own]
+        _, name, count = np.unique(pair, return_inverse=True, return_counts=True)
+        classes[first[own] + anchors[own] - r] = np.where(count[name] > 1, used + name, -1)
+        used += len(count)
+    return classes
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -85,7 +119,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     Texts are UTF-8 bytes, null is empty. A byte goes when a 50-byte string over it also starts in a row with a smaller
     doc_id (null: larger than all); strings are judged on the input. Rows that repeat a doc_id do not remove each other.
     """
-    return remove_repeats(docs, LENGTH, GRAM, Bytes, earlier_windows, same_text=False).withColumnRenamed("n_symbols", "n_bytes")
+    return remove_repeats(docs, LENGTH, GRAM, Bytes, window_classes, same_text=False).withColumnRenamed("n_symbols", "n_bytes")
 
 
 def removed(starts: str = "starts", ends: str = "ends"):

@@ -46,52 +46,145 @@ def sha(b):
     return hashlib.sha256(b).hexdigest()
 
 
-def test_suffix_dedup(docs, rows, batches):
-    got = {r.doc_id: (r.n_bytes, list(r.starts), list(r.ends), bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs).collect()}
-    least = {}
-    for i, t, _ in sorted(rows, key=lambda r: r[0] if r[0] is not None else 2**62):
+def brute_suffix_dedup(rows):
+    """Per row (doc_id, bytes, removed spans, rest): a null doc_id is larger than all."""
+    least, out = {}, []
+    ordered = sorted(rows, key=lambda r: r[0] if r[0] is not None else 2**62)
+    for i, t, _ in ordered:
+        b, own = (t or "").encode(), i if i is not None else 2**62
+        for p in range(len(b) - 49):
+            least.setdefault(b[p : p + 50], own)
+    for i, t, _ in ordered:
         b, own = (t or "").encode(), i if i is not None else 2**62
         gone = bytearray(len(b))
         for p in range(len(b) - 49):
-            if least.setdefault(b[p : p + 50], own) < own:
+            if least[b[p : p + 50]] < own:
                 gone[p : p + 50] = b"\1" * 50
         spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
-        assert got[i] == (len(b), [a for a, _ in spans], [e for _, e in spans], bytes(x for x, g in zip(b, gone, strict=True) if not g)), i
+        out.append((i, len(b), [a for a, _ in spans], [e for _, e in spans], bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return out
 
 
-def test_substring_dedup(docs, rows, batches):
-    got = {r.doc_id: (r.n_words, sum(e - s for s, e in zip(r.starts, r.ends, strict=True)), bytes(r.kept)) for r in substring_dedup.substring_dedup(docs).collect()}
-    seen = set()
-    for i, t, _ in sorted(rows, key=lambda r: r[0] if r[0] is not None else 2**62):
+def brute_substring_dedup(rows):
+    """Per row (doc_id, words, removed words, rest); rows of one doc_id are one document."""
+    least, out = {}, []
+    own = lambda i, p: (i if i is not None else 2**62, p)
+    for i, t, _ in rows:
         w = (t or "").encode().split()
-        gone = bytearray(len(w))
         for p in range(len(w) - 19):
             key = tuple(w[p : p + 20])
-            if key in seen:
+            least[key] = min(own(i, p), least.get(key, own(i, p)))
+    for i, t, _ in rows:
+        w = (t or "").encode().split()
+        gone = bytearray(len(w))
+        for p in range(len(w) - 19):
+            if least[tuple(w[p : p + 20])] < own(i, p):
                 gone[p : p + 20] = b"\1" * 20
-            seen.add(key)
-        assert got[i] == (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g)), i
+        out.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+def both_dedups(df):
+    one = [(r.doc_id, r.n_bytes, list(r.starts), list(r.ends), bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df).collect()]
+    three = [(r.doc_id, r.n_words, sum(e - s for s, e in zip(r.starts, r.ends, strict=True)), bytes(r.kept)) for r in substring_dedup.substring_dedup(df).collect()]
+    return one, three
+
+
+def assert_dedups(df, rows):
+    one, three = both_dedups(df)
+    assert sorted(map(repr, one)) == sorted(map(repr, brute_suffix_dedup(rows)))
+    assert sorted(map(repr, three)) == sorted(map(repr, brute_substring_dedup(rows)))
+
+
+def test_suffix_and_substring_dedup(docs, rows, batches):
+    assert_dedups(docs, rows)
+
+
+def test_dedups_of_null_and_repeated_ids(spark, rows, monkeypatch):
+    """A third of the rows without an id, ids that repeat with other texts and with the same text."""
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 20_000)
+    mixed = [(None if k % 3 == 0 else k // 4, t, s) for k, (_, t, s) in enumerate(rows[:60])]
+    mixed += mixed[:12] + [(7, rows[5][1], "s"), (7, "x " + rows[5][1], "s"), (7, rows[5][1], "s"), (1, None, "s"), (1, "", "s")]
+    assert_dedups(documents(spark, mixed), mixed)
+
+
+def test_dedups_of_a_common_phrase_with_ever_new_surroundings(spark, monkeypatch):
+    """Anchors of many batches are split by what stands beside them; nothing is lost."""
+    import random
+
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 2_000)
+    monkeypatch.setattr(repeats, "HOT_BATCHES", 2)
+    rng = random.Random(3)
+    phrase = "one common phrase that stands in most of the texts here"
+    rows = []
+    for i in range(150):
+        side = lambda: " ".join(rng.choice(("alpha", "beta", "gamma")) + str(rng.randint(0, 2)) for _ in range(rng.randint(0, 12)))
+        rows.append((i, f"{side()} {phrase} {side()}", "s"))
+    assert_dedups(documents(spark, rows), rows)
+
+
+def windows(contents, cut, length):
+    return [tuple(cut(c)[i : i + length]) for c in contents for i in range(len(cut(c)) - length + 1)]
+
+
+def same_partition(classes, keys):
+    """Equal numbers for equal windows, -1 for those without an equal."""
+    count, named = collections.Counter(keys), {}
+    for c, k in zip(classes.tolist(), keys, strict=True):
+        assert (c == -1) == (count[k] == 1) and (c == -1 or named.setdefault(k, c) == c)
+    return len(set(named.values())) == len(named)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_matching_statistics_find_equal_windows(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    base = [b"w%d" % x for x in rng.integers(0, 3, 300)]
+    contents = []
+    for _ in range(rng.integers(1, 8)):
+        a = rng.integers(0, 100)
+        contents.append(b" ".join(base[a : a + rng.integers(20, 180)] + [b"w%d" % x for x in rng.integers(0, 3, rng.integers(0, 40))]))
+    assert same_partition(substring_dedup.window_classes(contents), windows(contents, bytes.split, 20))
 
 
 def test_fm_index_counts_all_places():
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    text = np.r_[rng.integers(1, 4, 300), 0]
+    text = np.r_[np.random.default_rng(0).integers(1, 4, 300), 0]
     index = substring_dedup.FMIndex(text, 5)
-    low, high = index.search(text, np.arange(290), 5)
-    windows = [tuple(text[i : i + 5]) for i in range(297)]
-    assert (high - low).tolist() == [windows.count(windows[i]) for i in range(290)]
+    low, high = np.zeros(290, int), np.full(290, 301)
+    for k in range(4, -1, -1):
+        low, high = index.extended(text[np.arange(290) + k], low, high)
+    every = windows([text[:300].tolist()], list, 5)
+    assert (high - low).tolist() == [every.count(every[i]) for i in range(290)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_bucket_refinement_names_equal_windows(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    some = lambda n: bytes(rng.integers(97, 99, n).astype(np.uint8))
+    gram, before, after = some(24), [some(26) for _ in range(3)], [some(26) for _ in range(3)]
+    contents, anchors = [], []
+    for _ in range(rng.integers(1, 30)):
+        anchors.append(int(rng.integers(0, 27)))
+        contents.append(before[rng.integers(3)][26 - anchors[-1] :] + gram + after[rng.integers(3)][: int(rng.integers(26 - anchors[-1], 27))])
+    assert same_partition(suffix_dedup.window_classes(contents, np.array(anchors)), windows(contents, list, 50))
 
 
-def test_bucket_refinement_names_equal_windows():
+@pytest.mark.parametrize("length", (3, 8, 13, 26, 50, 70))
+def test_bucket_pointers_sort_suffixes(length):
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    piece = bytes(rng.integers(97, 100, 60).astype(np.uint8))
-    contents = [b"x" + piece, piece + b"y", bytes(rng.integers(97, 123, 70).astype(np.uint8))]
-    gone = suffix_dedup.earlier_windows(contents, np.array([1, 2, 3]), np.zeros(3, int))
-    assert not gone[0].any() and gone[1].tolist() == [True] * 11 + [False] and not gone[2].any()
+    rng = np.random.default_rng(length)
+    data = np.tile(rng.integers(97, 99, 40).astype(np.uint8), 5)
+    at = np.unique(rng.integers(0, 200, 60))
+    found = suffix_dedup.BucketPointers(data, length)
+    order, key = found.refine(at, length), lambda i: (data.tobytes() + bytes(80))[i : i + length]
+    assert [key(i) for i in order] == sorted(key(i) for i in at)
+    assert all((found.pointer[i] == found.pointer[j]) == (key(i) == key(j)) for i in at for j in at)
 
 
 def test_token_counts(docs, rows):
