@@ -2,7 +2,8 @@
 
 Folding maps look-alike letters of other scripts and digits written for letters to the letter meant, and everything
 between words to one space. The lexicon holds words and beginnings of words with the log-odds that labelled toxic
-documents have them; words that start like an entry but stand in clean documents are exceptions and count nothing.
+documents have them. Exceptions count nothing: words that start like an entry but stand in clean documents, and phrases
+of two words around an entry (one before or after it) that do.
 The lexicon is learned from a bounded sample of labelled rows (``SAMPLE``), counted by Spark with the counts of each
 batch summed before the shuffle; scoring is one pass over all rows without a shuffle.
 """
@@ -21,9 +22,11 @@ from .common import cut, table
 
 #: Labelled rows that the lexicon and the two curves are fitted on, at most: those with the smallest hashed doc_ids.
 SAMPLE = 16_000
-#: Entries of the lexicon at most, and documents that an entry must stand in.
-ENTRIES = 500
+#: Toxic documents that an entry must stand in, log-odds it must reach, and clean documents and log-odds of an exception.
 SUPPORT = 4
+ODDS = 2.5
+CLEAN = 2
+CLEAN_ODDS = 1.0
 PREFIXES = (4, 5, 6, 7, 8)
 
 #: Letters of other scripts that look like Latin ones, and signs written for letters.
@@ -44,6 +47,11 @@ def fold(text: str) -> str:
     return text.lower().translate(FOLD)
 
 
+def spaced(text: str) -> str:
+    """Folded words with a space before, between and after them."""
+    return " " + " ".join(fold(text).split()) + " "
+
+
 def features(words: set[str]) -> set[str]:
     """Whole words as "word " and their beginnings as "word"."""
     out = {w + " " for w in words if len(w) > 2}
@@ -52,11 +60,11 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
-def _counted(batches):
+def _counted(batches, found_in):
     for batch in batches:
         docs, toxic = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = features(set(fold(text or "").split()))
+            found = found_in(text or "")
             docs.update(found)
             if label:
                 toxic.update(found)
@@ -78,24 +86,41 @@ class Model:
 
         a = ahocorasick.Automaton()
         for entry, weight in self.entries.items():
-            a.add_word(" " + entry, (len(entry), weight))
+            a.add_word(" " + entry, (len(entry), weight, entry.find(" ", 0, -1) + 1))
         if self.entries:
             a.make_automaton()
         return a
 
-    def describe(self, text: str, a) -> tuple[float, float, int]:
-        """Sum of weights, number of hits, number of words. At a word, the longest entry decides."""
-        folded = " " + " ".join(fold(text).split()) + " "
-        words = folded.count(" ") - 1 if folded != "  " else 0
-        if not self.entries or not words:
-            return 0.0, 0, words
+    def hits(self, folded: str, a) -> dict[int, float]:
+        """Weights by the place before each word hit. At a word the longest entry decides; an exception phrase clears
+        both of its words."""
         at: dict[int, tuple[int, float]] = {}
-        for end, (n, weight) in a.iter(folded):
+        clear: set[int] = set()
+        for end, (n, weight, second) in a.iter(folded):
             start = end - n
-            if start not in at or at[start][0] < n:
+            if second:
+                clear |= {start, start + second}
+            elif start not in at or at[start][0] < n:
                 at[start] = n, weight
-        hits = [w for _, w in at.values() if w > 0]
-        return sum(hits), len(hits), words
+        return {start: weight for start, (_, weight) in at.items() if weight > 0 and start not in clear}
+
+    def describe(self, text: str, a) -> tuple[float, int, int]:
+        """Sum of weights, number of hits, number of words."""
+        folded = spaced(text)
+        words = folded.count(" ") - 1 if folded != "  " else 0
+        found = self.hits(folded, a) if self.entries and words else {}
+        return sum(found.values()), len(found), words
+
+    def phrases(self, text: str, a) -> set[str]:
+        """The word pairs around each hit of a text."""
+        folded, out = spaced(text), set()
+        for start in self.hits(folded, a) if self.entries else ():
+            end = folded.index(" ", start + 1)
+            if end + 1 < len(folded):
+                out.add(folded[start + 1 : folded.index(" ", end + 1) + 1])
+            if start:
+                out.add(folded[folded.rindex(" ", 0, start) + 1 : end + 1])
+        return out
 
     def score(self, strength: float, hits: int, words: int) -> float:
         x = inputs(strength, hits, words)
@@ -108,22 +133,17 @@ def inputs(strength: float, hits: int, words: int) -> tuple[float, ...]:
     return 1.0, math.log1p(strength), min(1.0, 10 * strength / max(10.0, math.sqrt(words) * 10)), math.log1p(words) / 10
 
 
-def lexicon(rows: list[tuple[str, int, int]], n: int, n_toxic: int) -> dict[str, float]:
-    """Entries from (feature, docs, toxic docs): smoothed log-odds, best first, without those that another implies."""
-    base = math.log((n_toxic + 0.5) / (n - n_toxic + 0.5))
-    stats = {f: (d, t) for f, d, t in rows}
-    odds = lambda d, t: math.log((t + 0.1) / (d - t + 0.1)) - base
-    good = sorted((f for f, (d, t) in stats.items() if t >= SUPPORT and odds(d, t) >= 2.5), key=lambda f: (-stats[f][1], len(f), f))
+def log_odds(docs: Column, toxic: Column, n: int, n_toxic: int) -> Column:
+    """Smoothed, against those of all labelled rows."""
+    return F.log((toxic + 0.1) / (docs - toxic + 0.1)) - math.log((n_toxic + 0.5) / (n - n_toxic + 0.5))
+
+
+def lexicon(rows: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Entries from (feature, toxic docs, log-odds), widest first, without those that another implies."""
     out: dict[str, float] = {}
-    for f in good:
-        if len(out) >= ENTRIES:
-            break
-        if any(f[:k] in out for k in range(min(PREFIXES), len(f))):
-            continue
-        out[f] = odds(*stats[f])
-    for f, (d, t) in stats.items():  # exception phrases: clean words that begin like an entry
-        if f.endswith(" ") and d - t >= 2 and odds(d, t) < 1 and any(f[:k] in out for k in range(min(PREFIXES), len(f))):
-            out[f] = 0.0
+    for f, _, odds in sorted(rows, key=lambda r: (-r[1], len(r[0]), r[0])):
+        if not any(f[:k] in out for k in range(min(PREFIXES), len(f))):
+            out[f] = odds
     return out
 
 
@@ -160,22 +180,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         return Model(prior=0.0 if not n_toxic else 1.0, curve=(-4.0 if not n_toxic else 4.0, 0.0, 0.0, 0.0))
-    counts = rows.mapInArrow(_counted, "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-    counts = cut(counts.filter(f"docs >= 2"), "features")
-    likely = F.col("toxic") * 3 >= F.col("docs")
-    top = counts.filter((F.col("toxic") >= SUPPORT) & likely).orderBy(F.desc("toxic"), F.length("feature"), "feature").limit(20 * ENTRIES).collect()
-    model = Model(lexicon([tuple(r) for r in top], n, n_toxic), prior=n_toxic / n)
-    begins = {e for e in model.entries if not e.endswith(" ")}
+    odds = log_odds(F.col("docs"), F.col("toxic"), n, n_toxic)
+    counted = lambda found_in: rows.mapInArrow(lambda b: _counted(b, found_in), "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    counts = cut(counted(lambda text: features(set(fold(text).split()))).filter("docs >= 2"), "features")
+    # what reaches the driver are features of the bounded sample that clear the bars
+    good = counts.filter((F.col("toxic") >= SUPPORT) & (odds >= ODDS)).select("feature", "toxic", odds).collect()
+    model = Model(lexicon([tuple(r) for r in good]), prior=n_toxic / n)
+    clean = (F.col("docs") - F.col("toxic") >= CLEAN) & (odds < CLEAN_ODDS)
+    begins = [(e,) for e in model.entries if not e.endswith(" ")]
     if begins:
-        heads = F.array(*[F.substring("feature", 1, k) for k in PREFIXES])
-        clean = counts.filter(F.col("feature").endswith(" ") & (F.col("docs") - F.col("toxic") >= 2) & ~likely & F.arrays_overlap(heads, F.array(*[F.lit(b) for b in sorted(begins)])))
-        words = clean.orderBy(F.desc("docs"), "feature").limit(10 * ENTRIES).collect()
-        model.entries = lexicon([tuple(r) for r in top] + [tuple(r) for r in words], n, n_toxic)
+        heads = counts.filter(F.col("feature").endswith(" ") & clean).select("feature", F.explode(F.array(*[F.substring("feature", 1, k) for k in PREFIXES])).alias("head"))
+        model.entries |= {r[0]: 0.0 for r in heads.join(docs.sparkSession.createDataFrame(begins, "head string"), "head").select("feature").distinct().collect()}
+    if model.entries:
+        first = model
+
+        def around(text: str) -> set[str]:
+            return first.phrases(text, _automaton(first))
+
+        model = Model(first.entries | {r[0]: 0.0 for r in counted(around).filter(clean).select("feature").collect()}, prior=first.prior)
     described = rows.mapInArrow(lambda b: _described(b, model, ("toxic",)), "toxic int, strength double, hits int, words int").collect()  # at most ``sample`` rows of numbers
     model.curve = fit_curve([inputs(r["strength"], r["hits"], r["words"]) for r in described], [r["toxic"] for r in described])
     return model
 
 
+_built: dict[int, tuple] = {}
+
+
+def _automaton(model: Model):
+    """A model's automaton, built once per worker."""
+    if id(model) not in _built:
+        _built.clear()
+        _built[id(model)] = model, model.automaton()
+    return _built[id(model)][1]
+
+
 def _described(batches, model: Model, keep: tuple[str, ...], scored: bool = False):
     a = model.automaton()
     for batch in batches:
