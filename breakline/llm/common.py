@@ -13,9 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session may do without; a cluster
+    where it is unset is an error, since its executors would not see the driver's own folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = f"file://{tempfile.mkdtemp(prefix='breakline-')}"
@@ -30,8 +33,19 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever case it is compared in."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells all rows apart, and its name. Rows are numbered by where they are read, so the
+    numbers hold for tables that are read (as in the pipeline); results of a shuffle are to be written first."""
+    name = fresh(docs, "row")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def lower_az(text: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered, table
 from .licenses import WORDS
 from .substring_dedup import word_bounds, word_grams, word_hashes
 
@@ -180,9 +180,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` without a benchmark passage, all columns. doc_id identifies a row."""
-    hit = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """The rows of ``docs`` without a benchmark passage, all columns. Each row is judged by its own text, whatever its doc_id."""
+    rows, row = numbered(docs)
+    hit = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(hit, row, "left_anti").select(docs.columns)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

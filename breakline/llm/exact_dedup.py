@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az, table
+from .common import cut, lower_az, numbered, table
 
 BLOCK = 4096
 
@@ -25,21 +25,25 @@ def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """``named_documents`` without the rows' numbers."""
+    return named_documents(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")), block).drop("rid")
+
+
+def named_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, rid: its number): rid, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. A null text counts as empty. Of equal texts the row with
     the largest doc_id stays; among rows that repeat that doc_id one stays; null doc_ids come last. An empty table
     gives no rows. Other columns of ``docs`` are not read.
     """
     text = lower_az(F.coalesce(F.col("text"), F.lit("")))
-    raw = docs.select("doc_id", text.cast("binary").alias("b"))
+    raw = docs.select("rid", "doc_id", text.cast("binary").alias("b"))
     size = F.octet_length("b")
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / block).cast("int") - 1, F.lit(0))), lambda i: F.substring(F.col("b"), i * block + 1, F.lit(block)))
     content = raw.select(F.explode(pieces).alias("block")).distinct()
     digest = lambda c: F.unhex(F.sha2(c, 256))
     names = cut(_named(content, ["block"]).select(digest("block").alias("digest"), "name"), "names")
     clash = not names.groupBy("digest").count().filter("count > 1").isEmpty()
-    raw = raw.withColumn("rid", F.monotonically_increasing_id())
     if clash:  # two blocks under one digest: the blocks themselves are joined, so the row numbers must hold
         raw = cut(raw, "raw")
     base = cut(raw.select("rid", "doc_id", F.sha2("b", 256).alias("text_sha256"), F.transform(pieces, digest).alias("digests")), "base")
@@ -66,19 +70,14 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     best = F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "doc_id", "rid"))
     owned = done.join(base.select("rid", "doc_id", "text_sha256"), "rid")
     groups = owned.groupBy("depth", "n", "name").agg(best.alias("top"), F.count("*").alias("group_size"))
-    return owned.join(groups, ["depth", "n", "name"]).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256")
+    return owned.join(groups, ["depth", "n", "name"]).select("rid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256")
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, all columns; rows that repeat a doc_id are told apart by text."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_text"))
-    sha = F.sha2(lower_az(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    out = docs.withColumn("_sha", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_text")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
-    if repeated.isEmpty():
-        return out.drop("_sha")
-    among = F.col("doc_id").eqNullSafe(F.col("_again"))
-    return out.join(repeated, among, "left_anti").union(out.join(repeated, among, "left_semi").dropDuplicates(["doc_id", "_sha"])).drop("_sha")
+    """The rows of ``docs`` that ``exact_dedup`` keeps, all columns; of rows that are equal in doc_id too, one."""
+    rows, row = numbered(docs)
+    dropped = named_documents(rows.select("doc_id", "text", F.col(row).alias("rid"))).filter("NOT kept").select(F.col("rid").alias(row))
+    return rows.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, running, table
+from .common import cut, numbered, running, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-ROUNDS = 200
 
 
 def word_count(text: Column) -> Column:
@@ -29,18 +28,20 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MAX_EPOCHS)
     """``sources`` (source, weight, source_size) with ``target``: ``share`` of all sizes dealt by weight, none above
     ``most`` times its size; what exceeds that is dealt again among the others by weight.
 
-    A source whose ``most * size / weight`` is at or below the level stands at its stop; the level only rises, so a
-    few rounds of one aggregate row each find it. Nothing but three sums reaches the driver.
+    Targets are the lesser of a source's stop, ``most * size``, and its weight times one level. In order of the level at
+    which sources stop, prefix sums give what all would take at each of these levels; the sources whose level the goal
+    reaches stand at their stop, and the rest is dealt by weight. One sort, whatever the number of sources; one row of
+    sums reaches the driver.
     """
-    level, stop = 0.0, F.col("source_size") * most
-    held = -1
-    for _ in range(ROUNDS):
-        at_stop = stop <= F.col("weight") * level
-        row = sources.agg(F.sum("source_size").alias("all"), F.coalesce(F.sum(F.when(at_stop, stop)), F.lit(0.0)).alias("stopped"), F.coalesce(F.sum(F.when(~at_stop, F.col("weight"))), F.lit(0)).alias("free"), F.count(F.when(at_stop, 1)).alias("n")).first()
-        if not row["free"] or row["n"] == held:
-            break
-        held, level = row["n"], max(level, (share * row["all"] - row["stopped"]) / row["free"])
-    return sources.withColumn("target", F.least(stop.cast("double"), F.col("weight") * F.lit(float(level))))
+    stop = F.col("source_size") * float(most)
+    total = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    goal, weight = share * (total["size"] or 0), total["weight"] or 0
+    ranked = running(sources.withColumns({"_stop": stop, "_level": stop / F.col("weight")}), [F.col("_level"), F.col("_no_source"), F.col("source")], {"_stopped": F.col("_stop"), "_passed": F.col("weight")}, "levels")
+    at_level = F.col("_stopped") + F.col("_stop") + F.col("_level") * (weight - F.col("_passed") - F.col("weight"))
+    held = at_level <= goal
+    sums = ranked.agg(F.coalesce(F.sum(F.when(held, F.col("_stop"))), F.lit(0.0)).alias("stopped"), F.coalesce(F.sum(F.when(~held, F.col("weight"))), F.lit(0)).alias("free")).first()
+    level = (goal - sums["stopped"]) / sums["free"] if sums["free"] else float("inf")
+    return sources.withColumn("target", F.least(stop, F.col("weight") * F.lit(float(level))))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -51,14 +52,20 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     doc_ids are separate rows with one key; ties of the key go by doc_id, then by row. The last document that fits a
     target in part gives that many words. An empty table gives no rows.
     """
+    rows, row = numbered(docs.select("doc_id", "source", "text"))
+    return planned(rows.withColumnRenamed(row, "rid"), quality, weights, share, most, seed).drop("rid")
+
+
+def planned(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """``mix`` with the rows' numbers: ``docs`` has rid, doc_id, source and text."""
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(2**53)) + 0.5) / float(2**53)
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.log(u)).alias("_key")), "sizes")  # texts are read once
+    rows = cut(docs.select("rid", "doc_id", "source", word_count(F.col("text")).alias("size"), (-F.log(u)).alias("_key")), "sizes")  # texts are read once
     if quality is not None:
         own = quality.filter("weight > 0").select(F.col("doc_id").alias("_rated"), F.col("weight").alias("_weight"))
         rows = rows.join(own, F.col("doc_id") == F.col("_rated"), "left").withColumn("_key", F.col("_key") / F.coalesce("_weight", F.lit(1.0)))
         rows = rows.drop("_rated", "_weight")
     rows = rows.withColumn("_no_source", F.col("source").isNull())
-    dealt = cut(running(rows, [F.col("_no_source"), F.col("source"), F.col("_key"), F.col("doc_id")], {"before": F.col("size")}, "mix"), "mix")
+    dealt = cut(running(rows, [F.col("_no_source"), F.col("source"), F.col("_key"), F.col("doc_id"), F.col("rid")], {"before": F.col("size")}, "mix"), "mix")
     by_source = dealt.groupBy("_no_source", "source").agg(F.sum("size").alias("source_size"), F.min("before").alias("start"))
     ranked = running(by_source, [F.col("_no_source"), F.col("source")], {"rank": F.lit(1)}, "sources")
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -68,7 +75,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0)
     rest = goal - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("before") - F.col("start"))))
-    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select("rid", "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -82,9 +89,9 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the mix takes, all columns, with their size and the words taken (repeats counted).
-
-    Rows that repeat both a doc_id and a size share the larger of their counts.
-    """
-    plan = mix(docs, label_weights(labels)).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken")
-    return docs.join(plan.groupBy("_id", "size").agg(F.max("taken").alias("taken")), F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("size"))).drop("_id")
+    """The documents that the mix takes, all columns, with ``size`` and ``taken`` (words, repeats counted); columns of
+    ``docs`` that have these names give way to them."""
+    rows, row = numbered(docs)
+    plan = planned(rows.select(F.col(row).alias("rid"), "doc_id", "source", "text"), label_weights(labels)).filter("taken > 0").select(F.col("rid").alias(row), "size", "taken")
+    own = [c for c in docs.columns if c.lower() not in ("size", "taken")]
+    return rows.select(row, *own).join(plan, row).select(*own, "size", "taken")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered, table
 from .components import components
 from .repeats import BATCH_BYTES, KEY_BITS, _pack, _unpack
 from .substring_dedup import word_bounds, word_grams, word_hashes
@@ -33,6 +33,8 @@ NEED = 85
 SAMPLED = np.uint64(2**64 // 3)
 #: Pivots that an index entry's classes are paired with in each round before the rest is paired off.
 PIVOTS = (1, 4, 4, 4)
+#: Classes of an index entry whose remaining pairs one task lists; a larger entry is dealt to several.
+SPREAD = 2_000
 #: Hash ranges of the suffix filter: a set's signature has a bit for each, odd or even.
 RANGE_BITS = 9
 SET_BATCH_BYTES = 4_000_000
@@ -127,7 +129,7 @@ def _sampled(rows: pa.Table, n: int, buckets: int) -> pa.Table:
 def _survivors(rows: pa.Table, back: pa.Table, n: int, need: int) -> pa.Table:
     """A row for each document; ``fp`` of those that may have partners, the set with the first of each ``fp``."""
     if not rows.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "fp": pa.array([], pa.binary()), "set": pa.array([], pa.binary())})
+        return pa.table({"rid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "fp": pa.array([], pa.binary()), "set": pa.array([], pa.binary())})
     ids, sets = _read(rows, n)
     common, _ = _told(back)
     fps, kept, seen = [], [], set()
@@ -142,7 +144,7 @@ def _survivors(rows: pa.Table, back: pa.Table, n: int, need: int) -> pa.Table:
         fps.append(fp)
         kept.append(None if fp in seen else s.astype("<u8").tobytes())
         seen.add(fp)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array(fps, pa.binary()), "set": pa.array(kept, pa.binary())})
+    return pa.table({"rid": rows.column("rid"), "doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array(fps, pa.binary()), "set": pa.array(kept, pa.binary())})
 
 
 def _counted(rows: pa.Table, buckets: int) -> pa.Table:
@@ -223,7 +225,11 @@ def class_links(index: DataFrame, need: int) -> DataFrame:
             pivots = own.groupBy("token").agg(F.array(*[F.min_by("x", k) for k in keys]).alias("ys")).select("token", F.explode("ys").alias("y"))
             met = own.join(pivots, "token").filter("x.root <> y.root").filter(_may_link("x", "y", need))
         else:
-            met = own.alias("l").join(own.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.root") < F.col("r.root")) & _may_link("l.x", "r.x", need) & ~F.arrays_overlap("l.before", "r.before")).select(F.col("l.x").alias("x"), F.col("r.x").alias("y"))
+            many = own.groupBy("token").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
+            own = cut(own.join(many, "token"), "own")
+            left = own.withColumn("part", F.pmod(F.xxhash64("x.cid"), F.col("parts")).cast("int"))
+            right = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            met = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.root") < F.col("r.root")) & _may_link("l.x", "r.x", need) & ~F.arrays_overlap("l.before", "r.before")).select(F.col("l.x").alias("x"), F.col("r.x").alias("y"))
         pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -247,11 +253,17 @@ def jaccard_classes(docs: DataFrame, n: int = N, need: int = NEED) -> DataFrame:
     the smallest doc_id reachable by links of at least ``need`` percent, null doc_ids aside; a row without links
     keeps its own. Rows that repeat a doc_id are told apart. An empty table gives no rows.
     """
+    return linked_rows(docs.select("doc_id", "text", F.lit(0).cast("long").alias("rid")), n, need).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, n: int = N, need: int = NEED) -> DataFrame:
+    """``jaccard_classes`` of ``docs`` (doc_id, text, rid: a number of the caller's, passed on) with rid and ``root``, the
+    number of the row's component (null: no row is like it)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     many = max(1, -(-size // BATCH_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(many)).cast("int").alias("batch"))
+    texts = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(many)).cast("int").alias("batch"))
     shared = texts.groupBy("batch").applyInArrow(lambda t: _sampled(t, n, many), PACKED).groupBy("bucket").applyInArrow(lambda t: _shared(t), BACK)
-    base = cut(texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, u: _survivors(t, u, n, need), "doc_id long, n long, fp binary, set binary"), "base")
+    base = cut(texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, u: _survivors(t, u, n, need), "rid long, doc_id long, n long, fp binary, set binary"), "base")
     folded = base.filter("set IS NOT NULL").groupBy("fp").agg(F.first("set").alias("set"))
     volume = base.agg(F.sum(F.octet_length("set"))).first()[0] or 0
     some = max(1, -(-volume // SET_BATCH_BYTES))
@@ -262,14 +274,18 @@ def jaccard_classes(docs: DataFrame, n: int = N, need: int = NEED) -> DataFrame:
     least = base.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = least.join(sets.select("fp", "cid"), "fp").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("fp", "least", F.coalesce("root", "cid").alias("root"))
     classes = cut(classes, "classes")
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "component_id")
-    return base.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return base.join(named, F.col("fp") == F.col("_fp"), "left").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def keep_one_of_each(docs: DataFrame, n: int = N, need: int = NEED) -> DataFrame:
-    """The rows of ``docs`` that lead their component (smallest doc_id), all columns. doc_id identifies a row."""
-    lead = jaccard_classes(docs.select("doc_id", "text"), n, need).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_lead"))
-    return docs.join(lead, docs["doc_id"].eqNullSafe(lead["_lead"]), "left_semi")
+    """The rows of ``docs`` that lead their component (smallest doc_id, null last; one of the rows that share it), and
+    those without a like, all columns."""
+    rows, row = numbered(docs)
+    linked = cut(linked_rows(rows.select("doc_id", "text", F.col(row).alias("rid")), n, need).filter("root IS NOT NULL").select("rid", "doc_id", "root"), "linked")
+    lead = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("lead")).select("lead.rid")
+    dropped = linked.join(lead, "rid", "left_anti").select(F.col("rid").alias(row))
+    return rows.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
