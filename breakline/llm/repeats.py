@@ -43,12 +43,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slide(x: np.ndarray, w: int, op) -> np.ndarray:
+#: Positions worked on at once: what passes over them again and again should stay in a core's cache.
+CHUNK = 1 << 16
+
+
+def slide(x: np.ndarray, w: int, op, out: np.ndarray | None = None) -> np.ndarray:
     """op over every w neighbours, by doubling."""
-    m, s, n = x, 1, len(x) - w + 1
-    while 2 * s <= w:
-        m, s = op(m[:-s], m[s:]), 2 * s
-    return op(m[:n], m[w - s : w - s + n]) if s < w else m
+    n = len(x) - w + 1
+    out = np.empty(n, x.dtype) if out is None else out
+    for a in range(0, n, CHUNK):
+        m, s, k = x[a : a + CHUNK + w - 1], 1, min(CHUNK, n - a)
+        while 2 * s <= w:
+            m, s = op(m[:-s], m[s:]), 2 * s
+        out[a : a + k] = op(m[:k], m[w - s : w - s + k])
+    return out
 
 
 def grams_at(buffer: bytes, n: int) -> np.ndarray:
@@ -73,19 +81,33 @@ class Batch:
 
 
 class Anchors:
+    """Each anchor of a batch with the run of windows that own it."""
+
     def __init__(self, batch: Batch, length: int, gram: int):
         self.batch, self.length, self.w = batch, length, length - gram + 1
-        v, n = batch.order, len(batch.order)
-        self.at, self.keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        v, n, w = batch.order, len(batch.order), length - gram + 1
+        self.at = self.first = self.last = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
         if n < length:
             return
-        smallest = slide(v, self.w, np.minimum)[: n - length + 1].copy()
-        for a, b in zip(batch.starts[:-1], batch.starts[1:], strict=True):  # windows that would leave their text
-            smallest[max(a, b - length + 1) : b] = 0
-        reach = slide(np.concatenate([np.zeros(self.w - 1, v.dtype), smallest, np.zeros(length - 1, v.dtype)]), self.w, np.maximum)
-        self.is_anchor = reach == v
-        self.smallest = smallest
-        self.at = np.flatnonzero(self.is_anchor)
+        ends = batch.starts[1:]
+        smallest = np.zeros(n + w - 1, v.dtype)  # of the windows that stay in their text, shifted by w - 1; else 0
+        slide(v[: n - gram + 1], w, np.minimum, smallest[w - 1 : w - 1 + n - length + 1])
+        for a, b in zip(batch.starts[:-1].tolist(), ends.tolist(), strict=True):
+            smallest[w - 1 + max(a, b - length + 1) : w - 1 + b] = 0
+        at = np.flatnonzero(slide(smallest, w, np.maximum) == v)
+        if not len(at):
+            return
+        # an anchor's windows follow those of the anchor before it, until it is left behind or a smaller one comes in
+        value, text = v[at], np.searchsorted(batch.starts, at, "right")
+        other = np.flatnonzero(np.r_[(value[1:] != value[:-1]) | (text[1:] != text[:-1]), True])  # last of each run of equals
+        after = np.minimum(other[np.searchsorted(other, np.arange(len(at)))] + 1, len(at) - 1)
+        smaller = (value[after] < value) & (text[after] == text)
+        last = np.minimum(np.minimum(at, np.where(smaller, at[after] - w, at)), batch.starts[text] - length)
+        begin = np.r_[True, text[1:] != text[:-1]]
+        first = np.where(begin, batch.starts[text - 1], np.r_[0, last[:-1]] + 1)
+        own = np.flatnonzero(first <= last)
+        self.at, self.first, self.last = at[own], first[own], last[own]
         self.keys = batch.key(self.at)
 
     def repeated(self, across_texts: bool) -> np.ndarray:
@@ -102,34 +124,11 @@ class Anchors:
 
     def owner(self, windows: np.ndarray) -> np.ndarray:
         """Which anchor each window owns."""
-        own = np.searchsorted(self.at, windows)
-        value = self.batch.order[self.at]
-        left = np.flatnonzero(value[own] != self.smallest[windows])
-        while len(left):
-            own[left] += 1
-            left = left[value[own[left]] != self.smallest[windows[left]]]
-        return own
-
-    def stretches(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, last window, key) of the runs of windows whose anchor's key is among the sorted ``keys``."""
-        none = np.zeros(0, np.int64)
-        if not len(self.at) or not len(keys):
-            return none, none, np.zeros(0, np.uint64)
-        found = np.searchsorted(keys, self.keys)
-        wanted = keys[np.minimum(found, len(keys) - 1)] == self.keys
-        near = np.zeros(len(self.batch.order) + 1, np.int32)
-        at = self.at[wanted]
-        np.add.at(near, np.maximum(at - self.w + 1, 0), 1)
-        np.add.at(near, at + 1, -1)
-        m = len(self.smallest)
-        windows = np.flatnonzero((np.cumsum(near)[:m] > 0) & (self.smallest > 0))
-        own = self.owner(windows)
-        keep = wanted[own]
-        windows, own = windows[keep], own[keep]
-        if not len(windows):
-            return none, none, np.zeros(0, np.uint64)
-        new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (windows[1:] != windows[:-1] + 1)])
-        return windows[new], windows[np.r_[new[1:] - 1, len(windows) - 1]], self.keys[own[new]]
+        return np.searchsorted(self.first, windows, "right") - 1
+
+    def stretches(self, keys: np.ndarray) -> np.ndarray:
+        """The anchors whose key is among the sorted ``keys``: each with its run of windows is a stretch."""
+        return np.flatnonzero(_among(keys, self.keys))
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -240,7 +239,7 @@ class Job:
                     many.append(_pack(own[kept & hot]))
         return pa.table({"batch": pa.array(to, pa.int32()), "keys": pa.array(few, pa.binary()), "hot": pa.array(many, pa.binary())})
 
-    def indexed(self, batch: Batch, anchors: Anchors, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def indexed(self, batch: Batch, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, class, rank) of the windows of stretches (and between neighbouring ones, if the operator's index
         takes runs of any length), by position. Ranks order owners."""
         if not len(first):
@@ -251,7 +250,7 @@ class Job:
             first, last, text = first[new], last[np.r_[new[1:] - 1, len(last) - 1]], text[new]
         at = spans(first, last - first + 1)
         contents = [batch.content(x, y + self.length) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-        classes = self.classes(contents) if batch.merged else self.classes(contents, anchors.at[anchors.owner(first)] - first)
+        classes = self.classes(contents) if batch.merged else self.classes(contents, anchor - first)
         _, rank = np.unique(np.array(batch.ids, np.int64), return_inverse=True)
         owner = np.repeat(text, last - first + 1)
         return at, classes, self.ranks(rank[owner], at - batch.starts[owner])
@@ -259,31 +258,31 @@ class Job:
     def ranks(self, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
         return doc.astype(np.int64) << 32 | start if self.same_text else doc.astype(np.int64)
 
-    def split(self, batch: Batch, a: Anchors, first: np.ndarray, last: np.ndarray, key: np.ndarray, hot: np.ndarray):
-        """Stretches around hot anchors are cut in two: windows with enough symbols after the gram go by gram and
-        those, the others by gram and as many symbols before it."""
-        beside = (a.w - 1) // 2
+    def split(self, batch: Batch, a: Anchors, own: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first, last, key, anchor) of the stretches ``own``. Those around hot anchors are cut in two: windows with
+        enough symbols after the gram go by gram and those, the others by gram and as many symbols before it."""
+        first, last, key, anchor = a.first[own], a.last[own], a.keys[own].copy(), a.at[own]
         cut = np.flatnonzero(_among(hot, key))
         if not len(cut):
-            return first, last, key
-        at = a.at[a.owner(first[cut])]
-        here = key.copy()
-        rows = [(first, last, here)]
-        middle = at - beside  # the first window with at most ``beside`` symbols before its gram
+            return first, last, key, anchor
+        beside = (a.w - 1) // 2
         named = lambda x, y, side: int.from_bytes(hashlib.blake2b(side + batch.content(x, y), digest_size=6).digest(), "little")
-        for k, f, l, g, m in zip(cut.tolist(), first[cut].tolist(), last[cut].tolist(), at.tolist(), middle.tolist(), strict=True):
-            before = named(g - beside, g + self.gram, b"<") if f < m else 0
-            after = named(g, g + self.gram + beside, b">") if l >= m else 0
-            here[k] = before if f < m else after
-            if f < m <= l:
-                rows.append((np.array([m]), np.array([l]), np.array([after], np.uint64)))
+        more: list[tuple[int, int, int, int]] = []
         last = last.copy()
-        both = cut[(first[cut] < middle) & (middle <= last[cut])]
-        last[both] = middle[(first[cut] < middle) & (middle <= last[cut])] - 1
-        rows[0] = first, last, here
-        first, last, key = (np.concatenate(c) for c in zip(*rows, strict=True))
+        for k, f, l, g in zip(cut.tolist(), first[cut].tolist(), last[cut].tolist(), anchor[cut].tolist(), strict=True):
+            middle = g - beside  # the first window with at most ``beside`` symbols before its gram
+            after = named(g, g + self.gram + beside, b">") if l >= middle else 0
+            if f >= middle:
+                key[k] = after
+                continue
+            key[k] = named(g - beside, g + self.gram, b"<")
+            if l >= middle:
+                last[k] = middle - 1
+                more.append((middle, l, after, g))
+        columns = [np.array(c) for c in zip(*more, strict=True)] or [np.zeros(0, np.int64)] * 4
+        first, last, key, anchor = (np.r_[x, y.astype(x.dtype)] for x, y in zip((first, last, key, anchor), columns, strict=True))
         order = np.argsort(first)
-        return first[order], last[order], key[order]
+        return first[order], last[order], key[order], anchor[order]
 
     def cut_stretches(self, texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not texts.num_rows or not shared.num_rows:
@@ -291,8 +290,8 @@ class Job:
         batch = self.open(texts)
         a = self.anchors(batch)
         few, hot = (distinct(np.concatenate([_unpack(k) for k in shared.column(c).to_pylist()])) for c in ("keys", "hot"))
-        first, last, key = self.split(batch, a, *a.stretches(distinct(np.r_[few, hot])), hot)
-        at, classes, rank = self.indexed(batch, a, first, last)
+        first, last, key, anchor = self.split(batch, a, a.stretches(distinct(np.r_[few, hot])), hot)
+        at, classes, rank = self.indexed(batch, first, last, anchor)
         # stretches are shorter than two windows: equal first and last windows mean equal stretches
         f, l = np.searchsorted(at, first), np.searchsorted(at, last)
         alone = np.where((classes[f] < 0) | (classes[l] < 0), np.arange(len(f)) + 1, 0)
@@ -302,8 +301,7 @@ class Job:
         text = np.searchsorted(batch.starts, first[lead], "right") - 1
         begin = first[lead] - batch.starts[text] if self.same_text else np.zeros(len(lead), np.int64)
         contents = [batch.content(x, y + self.length) for x, y in zip(first[lead].tolist(), last[lead].tolist(), strict=True)]
-        anchor = a.at[a.owner(first[lead])] - first[lead]
-        columns = ((key[lead] % np.uint64(self.n)).astype(np.int32), first[lead], np.array(batch.ids, np.int64)[text], begin, anchor, contents)
+        columns = ((key[lead] % np.uint64(self.n)).astype(np.int32), first[lead], np.array(batch.ids, np.int64)[text], begin, (anchor - first)[lead], contents)
         buckets, blobs = _dealt(pa.table({k: pa.array(c, t) for (k, t), c in zip({"bucket": pa.int32(), **STRETCH}.items(), columns, strict=True)}), "bucket")
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "batch": pa.array([_first(texts, "batch")] * len(blobs), pa.int32()), "stretches": pa.array(blobs, pa.binary())})
 
@@ -319,9 +317,16 @@ class Job:
         stretch = np.repeat(np.arange(len(contents)), counts)
         rank = self.ranks(doc[stretch], table.column("start").to_numpy()[stretch] + np.arange(len(stretch)) - first[stretch])
         _, batch = np.unique(batches, return_inverse=True)
-        group = np.where(classes < 0, -1, classes * (int(batch.max()) + 1) + batch[stretch])  # a class within a batch
-        owners = distinct(group[rank == earliest(classes, rank)])
-        gone = (classes >= 0) & ~_among(owners, group)
+        shared = np.flatnonzero(classes >= 0)
+        group = classes[shared] * (int(batch.max()) + 1) + batch[stretch[shared]]  # a class within a batch
+        order = np.argsort(group)
+        shared, group = shared[order], group[order]
+        gone = np.zeros(len(classes), bool)
+        if len(shared):
+            by_class, by_group = (np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) for x in (classes[shared], group))
+            least = np.repeat(np.minimum.reduceat(rank[shared], by_class), np.diff(np.r_[by_class, len(shared)]))
+            own = np.repeat(np.minimum.reduceat(rank[shared], by_group), np.diff(np.r_[by_group, len(shared)]))
+            gone[shared] = own > least
         tell = np.flatnonzero(np.add.reduceat(gone, first[:-1]) > 0)
         masks = [np.packbits(gone[x:y]).tobytes() for x, y in zip(first[tell].tolist(), first[tell + 1].tolist(), strict=True)]
         told = pa.table({"batch": pa.array(batches[tell]), "at": table.column("at").take(pa.array(tell)), "n": pa.array(counts[tell], pa.int32()), "mask": pa.array(masks, pa.binary())})
@@ -341,18 +346,20 @@ class Job:
         keys = a.repeated(not self.same_text)
         if len(head):
             keys = distinct(np.r_[keys, a.keys[a.owner(np.sort(head))]])
-        first, last, _ = a.stretches(keys)
-        at, classes, rank = self.indexed(batch, a, first, last)
+        own = a.stretches(keys)
+        at, classes, rank = self.indexed(batch, a.first[own], a.last[own], a.at[own])
         gone = rank > earliest(classes, rank)
         if len(head):
             bits = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[:k] for m, k in zip(told.column("mask").to_pylist(), count.tolist(), strict=True)])
             hit = np.searchsorted(at, spans(head, count)[bits.astype(bool)])
             gone[hit] = True
             gone |= (classes >= 0) & _among(distinct(classes[hit]), classes)
-        cover = np.zeros(int(batch.starts[-1]) + 1, np.int64)
-        cover[at[gone]] += 1  # windows are distinct places
-        np.subtract.at(cover, at[gone] + self.length, 1)
-        removed = np.cumsum(cover)[:-1] > 0
+        removed = np.zeros(int(batch.starts[-1]), bool)
+        hit = at[gone]
+        if len(hit):  # runs of removed windows
+            new = np.flatnonzero(np.r_[True, hit[1:] > hit[:-1] + self.length])
+            for x, y in zip(hit[new].tolist(), hit[np.r_[new[1:] - 1, len(hit) - 1]].tolist(), strict=True):
+                removed[x : y + self.length] = True
         rows = []
         for t, (b, e) in enumerate(zip(batch.starts[:-1].tolist(), batch.starts[1:].tolist(), strict=True)):
             own = removed[b:e]

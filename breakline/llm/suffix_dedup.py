@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import KEY_BITS, M1, Batch, distinct, grams_at, mixed, remove_repeats
+from .repeats import CHUNK, KEY_BITS, M1, Batch, distinct, grams_at, mixed, remove_repeats
 
 LENGTH = 50
 GRAM = 24
@@ -26,7 +26,10 @@ class Bytes(Batch):
         starts = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
         n = int(starts[-1])
         self.grams = grams_at(self.data, n + 40)
-        order = (mixed(self.grams[:n] * M1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        order = np.empty(n, np.uint32)
+        for a in range(0, n, CHUNK):
+            order[a : a + CHUNK] = mixed(self.grams[a : min(n, a + CHUNK)] * M1) >> np.uint64(32)
+        order |= np.uint32(1)
         super().__init__(ids, starts, order)
 
     def key(self, at: np.ndarray) -> np.ndarray:
