@@ -9,8 +9,10 @@ absent or does not hold all of its running text.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,22 +39,32 @@ CLOSES_P = frozenset("p div article section main ul ol li dl dt dd table tr td t
 
 def _step(tag: str, names: str) -> str:
     """A tag with its classes, without numbers."""
-    words = sorted({re.sub(r"\d+", "", w) for w in names.lower().split()} - {""})
+    words = sorted({re.sub(r"[\d/]+", "", w) for w in names.lower().split()} - {""})
     return ".".join([tag, *words[:3]])
 
 
+def _named(parent: bytes, step: str) -> bytes:
+    return hashlib.blake2b(parent + step.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 class Page:
     """One walk over the mark-up: text pieces with the innermost container of each, boilerplate left out."""
 
     def __init__(self, source: str):
         self.pieces: list[tuple[int, str, int]] = []  # container, text, kind; a space stands for the border of a block
-        self.paths: list[str] = [""]
+        self.steps: list[str] = [""]
         self.parents: list[int] = [-1]
+        self.names: list[bytes] = [b""]  # digests of the paths: whole paths of a deep page would grow with depth squared
         self._read(source)
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool, int]] = [("", 0, False, LOOSE)]  # tag, container, boilerplate, kind of text
-        put = self.pieces.append
+        put, open_ = self.pieces.append, Counter()
+
+        def close(k: int) -> None:
+            open_.subtract(t for t, *_ in stack[k:])
+            del stack[k:]
+
         for m in TOKEN.finditer(source):
             text, tag = m[5] or m[6], m[3]
             _, here, hidden, kind = stack[-1]
@@ -66,20 +78,18 @@ class Page:
             if tag not in INLINE and not hidden:
                 put((here, " ", kind))
             if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_[tag] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
                 continue
             if tag in VOID or m[4].endswith("/") and tag in INLINE:
                 continue
-            if tag == "body" and any(t == "head" for t, *_ in stack):
-                del stack[next(k for k, s in enumerate(stack) if s[0] == "head") :]
+            if tag == "body" and open_["head"] > 0:
+                close(next(k for k, s in enumerate(stack) if s[0] == "head"))
                 _, here, hidden, kind = stack[-1]
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        close(k)
                         _, here, hidden, kind = stack[-1]
                         break
                     if stack[k][0] not in INLINE:
@@ -88,11 +98,22 @@ class Page:
             if not hidden and (tag in SKIPPED or names and tag not in ("html", "body", "article", "main") and BOILER.search(names)):
                 hidden = True
             if tag in CONTAINERS and not hidden:
-                self.paths.append(f"{self.paths[here]}/{_step(tag, names)}")
+                step = _step(tag, names)
+                self.steps.append(step)
+                self.names.append(_named(self.names[here], step))
                 self.parents.append(here)
-                here = len(self.paths) - 1
+                here = len(self.steps) - 1
             kind = BLOCK if tag in BLOCKS else LINK if tag == "a" and kind == LOOSE else kind
             stack.append((tag, here, hidden, kind))
+            open_[tag] += 1
+
+    def path(self, c: int) -> str:
+        """The steps from the root to a container."""
+        out = []
+        while c > 0:
+            out.append(self.steps[c])
+            c = self.parents[c]
+        return "".join(f"/{step}" for step in reversed(out))
 
     def running(self) -> list[tuple[int, int, int]]:
         """Container, length and kind of each piece of running text; of all text on a page of nothing but links."""
@@ -101,7 +122,7 @@ class Page:
 
     def best(self) -> tuple[int, float]:
         """The smallest container with all of the page's running text, and the length of that text."""
-        held = [0] * len(self.paths)
+        held = [0] * len(self.steps)
         for c, size, _ in self.running():
             held[c] += size
         for c in range(len(held) - 1, 0, -1):
@@ -114,7 +135,10 @@ class Page:
 
     def _on(self, path: str) -> list[bool] | None:
         """Which containers are on ``path`` or within; None if running text lies outside or there is none such."""
-        inside = self._within([p == path for p in self.paths])
+        wanted = b""
+        for step in path.split("/")[1:]:
+            wanted = _named(wanted, step)
+        inside = self._within([name == wanted for name in self.names])
         return inside if any(inside) and all(inside[c] for c, _, _ in self.running()) else None
 
     def _within(self, inside: list[bool]) -> list[bool]:
@@ -127,7 +151,7 @@ class Page:
         inside = self._on(path) if path else None
         if inside is None:
             top = self.best()[0]
-            inside = self._within([c == top for c in range(len(self.paths))])
+            inside = self._within([c == top for c in range(len(self.steps))])
         out, was = [], True
         for c, text, _ in self.pieces:
             if inside[c]:
@@ -144,7 +168,7 @@ def _voted(batches):
             top, score = page.best()
             if score:
                 hosts.append(host.as_py())
-                paths.append(page.paths[top])
+                paths.append(page.path(top))
                 scores.append(float(score))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], ["host", "path", "score"])
 
