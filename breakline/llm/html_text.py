@@ -36,6 +36,9 @@ BOILER = re.compile(r"(?:^|[\s_-])(?:nav|menu|sidebar|side-bar|foot|head(?:er)?(
 #: A heading, list item or paragraph closes an open paragraph.
 CLOSES_P = frozenset("p div article section main ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure hr form nav header footer aside address fieldset".split())
 
+#: An opening tag ends an open one of the first set, unless one of the second lies between.
+IMPLIED = {"td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
+
 
 def _step(tag: str, names: str) -> str:
     """A tag with its classes, without numbers."""
@@ -94,6 +97,12 @@ class Page:
                         break
                     if stack[k][0] not in INLINE:
                         break
+            if tag in IMPLIED:
+                ended, between = IMPLIED[tag]
+                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ended or stack[k][0] in between), 0) if any(open_[t] > 0 for t in ended) else 0
+                if at and stack[at][0] in ended:
+                    close(at)
+                    _, here, hidden, kind = stack[-1]
             names = " ".join(a or b or c for a, b, c in NAMES.findall(m[4])) if m[4] else ""
             if not hidden and (tag in SKIPPED or names and tag not in ("html", "body", "article", "main") and BOILER.search(names)):
                 hidden = True
