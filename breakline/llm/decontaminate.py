@@ -25,7 +25,7 @@ BLOCK_SEEDS = 500_000
 #: Characters of text that a task searches at once.
 PORTION = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAST = 0.6
+LEAST = 0.55
 
 
 def folded_words(text: str) -> list[bytes]:

@@ -42,3 +42,41 @@ def test_stages(spark, sf, tmp_path):
 
 def test_every_query_runs(spark, sf):
     assert len([q for q in queries.QUERIES if q.startswith("op")]) == 10
+
+
+def test_stages_with_clashing_columns_null_and_repeated_ids(spark, tmp_path):
+    """Every stage judges rows by their texts, whatever their ids and further columns."""
+    words = [f"w{k}" for k in range(200)]
+    long = [" ".join(words[(i * 13 + k) % 200] + str(i) for k in range(40)) for i in range(8)]
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    texts = [*long, long[0].upper(), long[0], long[1] + " one", long[2] + " two", f"{long[3]} {item}", "you scum", None, "", "", None, long[4], long[4]]
+    ids = [1, 1, 2, 2, None, None, 7, 8, 9, None, 1, 7, 8, 9, 10, 11, 12, None, 20, 20]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, size long, taken string, _id long, _sha string, _hit long, row long, rid long"
+    rows = [(i, t, "en", f"s{k % 3}" if k % 4 else None, 1, 5, "x", 6, "y", 7, k, 0) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(corpus_pipeline.STAGES)
+    out = {name: stage(spark, docs, str(tmp_path)).collect() for name, stage in stages.items()}
+    every = set(range(len(rows)))
+    assert {r.row for r in out["toxicity"]} == every
+    groups = collections.defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[(t or "").translate(LOW)].append(k)
+    assert len(out["exact dedup"]) == len(groups) == len({(r.text or "").translate(LOW) for r in out["exact dedup"]})
+    assert all(r.doc_id == max((ids[k] for k in groups[(r.text or "").translate(LOW)] if ids[k] is not None), default=None) for r in out["exact dedup"])
+    want = brute_components([(k, t, "") for k, t in enumerate(texts)], 5, 80)
+    kept = [r.row for r in out["n-gram Jaccard join"]]
+    assert sorted(want[k][1] for k in kept) == sorted({c for _, c in want.values()})
+    assert {r.row for r in out["benchmark decontamination"]} == every - {12}
+    mixed = out["mixing sources"]
+    assert all(0 < r.taken <= 2 * r.size and r["size"] == len((r.text or "").split()) for r in mixed)
+    total = sum(len((t or "").split()) for t in texts)
+    assert abs(sum(r.taken for r in mixed) - 1.5 * total) <= 4
+    assert all(set(r.asDict()) == {c.split()[0] for c in columns.split(", ")} for rows_ in out.values() for r in rows_)
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
