@@ -65,6 +65,11 @@ class Moment:
             return length / 2 * np.log(m / wide)
         return length / 2 * np.log(np.maximum(np.linalg.det(m / wide[:, None, None]), FLOOR))
 
+    def allowance(self) -> float:
+        """How much the length terms of two segments may exceed that of both together: pruning has to leave it."""
+        half = np.log(self.n) / 2
+        return {"MBIC": half, "MDL": self.p * half * np.log2(np.e)}.get(self.adjust, 0.0)
+
     def __call__(self, start: np.ndarray, end: int) -> np.ndarray:
         c, length = self.raw(start, end), end - start
         if self.adjust == "MBIC":

@@ -13,7 +13,7 @@ def partition(n: int, beta: float, costs, first: int = 1, slack: float = 0.0, ne
     """Change points that minimise the sum of costs plus ``beta`` each; ties go to the smallest start.
 
     ``first``: end of the first step. ``slack``: a start stays while its value without beta is at most the best plus
-    slack. ``newest``: least length of the newest start offered. ``known``: the prefix of one row is priced by its
+    slack; the sum is least if cutting a segment in two never costs more than slack. ``newest``: least length of the newest start offered. ``known``: the prefix of one row is priced by its
     cost, and both 0 and 1 are starts from the second step on (the rule of the moment families).
     """
     total, back = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)

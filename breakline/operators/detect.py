@@ -28,7 +28,12 @@ FAMILIES = (*MOMENTS, *REGRESSIONS, *AUTOREGRESSIVE, "arma", "garch", "rank", "r
 
 @dataclass(frozen=True)
 class Spec:
-    """What to detect, checked before any plan is built."""
+    """What to detect, checked before any plan is built.
+
+    ``pruning``: "exact" keeps every start that may still win, so the moment families' sums are least; "plain" is the
+    rule without the length terms' allowance, which can lose a better partition under MBIC and MDL. ``pruning_coef``
+    is subtracted from the allowance.
+    """
 
     family: str = "mean"
     beta: str | float = "MBIC"
@@ -39,6 +44,7 @@ class Spec:
     segment_count: int = 10
     pruning_coef: float = 0.0
     prune_delta: bool = False
+    pruning: str = "exact"
     variance_estimate: tuple | None = None
     p: int | None = None
     p_response: int = 1
@@ -61,6 +67,8 @@ class Spec:
             raise ValueError(f"{self.family} needs an order (p, q)")
         if self.family == "custom" and self.cost is None:
             raise ValueError("a custom family needs a cost")
+        if self.pruning not in ("exact", "plain"):
+            raise ValueError("pruning must be exact or plain")
         if not 0 <= self.trim < 0.5:
             raise ValueError("trim must be in [0, 0.5)")
 
@@ -111,7 +119,8 @@ class Spec:
         f, r = self.family, self._responses(d)
         if f in MOMENTS:
             cost = costs.Moment(x, f, self.cost_adjustment, None if self.variance_estimate is None else np.array(self.variance_estimate, float))
-            return lambda beta: partition(n, beta, cost, slack=-self.pruning_coef, known=True)
+            allowance = cost.allowance() if self.pruning == "exact" else 0.0
+            return lambda beta: partition(n, beta, cost, slack=allowance - self.pruning_coef, known=True)
         if f in ("lm", "ar", "var", "mgaussian"):
             y, z = (x[:, :r], x[:, r:]) if f != "mgaussian" or self.p_response < d else (x, np.ones((n, 1)))
             sigma = costs.noise(y, z) if f in ("var", "mgaussian") or r > 1 else None
@@ -268,28 +277,29 @@ ar, var, arma, garch, rank, rbf = _family("ar"), _family("var"), _family("arma")
 
 
 def detect_grid(df: DataFrame, series, sort, values, betas: list[float], **options) -> DataFrame:
-    """(keys, beta, cp): every series under every penalty, side by side as series of their own."""
-    keys = [series] if isinstance(series, str) else list(series)
-    grid = df.withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas])))
-    own = [values] if isinstance(values, str) else list(values)
-    sort = [sort] if isinstance(sort, str) else list(sort)
-    rows = index(grid.select(*keys, "beta", *sort, *own), [*keys, "beta"], sort)
+    """(keys, beta, cp): every series under every penalty; a series is indexed, dealt and prepared once."""
+    as_list = lambda v: [v] if isinstance(v, str) else list(v)
+    keys, sort, own = as_list(series), as_list(sort), as_list(values)
+    specs = [Spec(beta=float(b), **options) for b in betas]
+    rows = index(df.select(*dict.fromkeys([*keys, *sort, *own])), keys, sort)
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
-        cps = Spec(beta=key[-1].as_py(), **options).solve(matrix(table, own))
-        names = [pa.array([k.as_py()] * len(cps), table.schema.field(c).type) for c, k in zip([*keys, "beta"], key, strict=True)]
-        return pa.Table.from_arrays([*names, pa.array(cps, pa.int64())], [*keys, "beta", "cp"])
+        x = matrix(table, own)
+        found = [(s.beta, cp) for s in specs for cp in s.solve(x)]
+        names = [pa.array([k.as_py()] * len(found), table.schema.field(c).type) for c, k in zip(keys, key, strict=True)]
+        return pa.Table.from_arrays([*names, pa.array([b for b, _ in found], pa.float64()), pa.array([c for _, c in found], pa.int64())], [*keys, "beta", "cp"])
 
-    return rows.select(*keys, "beta", "t", *own).groupBy(*keys, "beta").applyInArrow(solve, _schema(rows, [*keys, "beta"]))
+    return rows.select(*keys, "t", *own).groupBy(*keys).applyInArrow(solve, _schema(rows, keys).replace("cp long", "beta double, cp long"))
 
 
 def detect_long(df: DataFrame, sort: str, value: str, chunk: int = 100_000, beta: float | None = None, trim: float = 0.0) -> DataFrame:
     """(cp): change points in the mean of one giant series.
 
-    The recursion runs in parallel on overlapping chunks; what they propose is thinned by a last recursion over the
-    proposals alone, priced from the chunks' sums. Approximate: a change point must be proposed by its chunk.
+    The recursion runs in parallel on overlapping chunks; what they propose is thinned by recursions over the proposals
+    alone, priced from prefix sums, in regions of 8 and then of 64 chunks. Approximate: a change point must be proposed
+    by its chunk. No task holds more than a chunk's rows or 64 chunks' proposals.
     """
-    from .series import prefix_sums_global
+    from .series import cut, prefix_sums_global
 
     spark = df.sparkSession
     ranked = prefix_sums_global(df.select(sort, F.col(value).cast("double").alias("v"), F.lit(1.0).alias("one"), (F.col(value) * F.col(value)).cast("double").alias("vv")), [sort], ["one", "v", "vv"])
@@ -308,19 +318,30 @@ def detect_long(df: DataFrame, sort: str, value: str, chunk: int = 100_000, beta
         start = int(table.column("t").to_numpy().min())
         return pa.table({"cp": pa.array([start + c for c in spec.solve(matrix(table, ["v"]))], pa.int64())})
 
-    proposed = both.groupBy("c").applyInArrow(solve, "cp long").distinct()
-    marks = rows.join(proposed.withColumn("t", F.col("cp") - 1).select("t"), "t", "left_semi").union(rows.filter(F.col("t") == n - 1)).select((F.col("t") + 1).alias("t"), "s_v", "s_vv").distinct()
+    places = rows.select((F.col("t") + 1).alias("at"), "s_v", "s_vv")  # sums of all rows before a place
+    found = both.groupBy("c").applyInArrow(solve, "cp long").distinct()
 
     def thin(table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
-        at = np.r_[0, table.column("t").to_numpy()]
-        s, q = (np.r_[0, table.column(c).to_numpy()] / k for c, k in (("s_v", noise**0.5), ("s_vv", noise)))
+        table = table.sort_by("at")
+        at, s, q = (table.column(c).to_numpy() / k for c, k in (("at", 1), ("s_v", noise**0.5), ("s_vv", noise)))
 
         def cost(start, end):
             length = at[end] - at[start]
             return ((q[end] - q[start]) - (s[end] - s[start]) ** 2 / length) / 2 + np.log(length) / 2
 
-        found = at[partition(len(at) - 1, b, cost)]
-        return pa.table({"cp": pa.array([int(c) for c in found if trim * n < c < (1 - trim) * n], pa.int64())})
-
-    return marks.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(thin, "cp long")  # proposals only: some rows per change point
+        chosen = at[partition(len(at) - 1, b, cost, slack=np.log(n) / 2)]
+        return pa.table({"cp": pa.array(chosen.astype(np.int64))})
+
+    # regions of several chunks, then of many, choose again among what was proposed inside them; a region's borders
+    # are no change points, so one proposed just there stays as it is
+    for width in (8 * chunk, 64 * chunk):
+        marked = cut(places.join(found.select(F.col("cp").alias("at")), "at", "left_semi"), "proposals")
+        borders = places.filter((F.col("at") % width == 0) | (F.col("at") == n)).union(spark.createDataFrame([(0, 0.0, 0.0)], places.schema))
+        region = F.floor((F.col("at") - 1) / width)
+        inner = marked.filter((F.col("at") % width != 0) & (F.col("at") < n)).withColumn("g", region)
+        ends = borders.withColumn("g", region).filter("at > 0").union(borders.filter(F.col("at") < n).withColumn("g", F.floor(F.col("at") / width)))
+        chosen = inner.union(ends).groupBy("g").applyInArrow(thin, "cp long")
+        found = chosen.union(marked.filter((F.col("at") % width == 0) & (F.col("at") < n)).select(F.col("at").alias("cp")))
+        if width >= n:
+            break
+    return found.filter((F.col("cp") > trim * n) & (F.col("cp") < (1 - trim) * n))

@@ -1,14 +1,15 @@
 """Evaluation of detected against true change points: joins and aggregates on long tables.
 
 ``true`` and ``pred`` are (keys, cp); ``sizes`` is (keys, n) and names the series, so empty sides show up. Change points
-are checked by ``validated``. Greedy one-to-one matching is the one sequential step: a fold over a series' few pairs
-that lie within the margin, in order of distance.
+are checked by ``validated``. Greedy one-to-one matching is the one sequential step: it takes the pairs of an island of
+points within the margin in order of distance.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,22 +44,39 @@ def tolerance_pairs(true: DataFrame, pred: DataFrame, keys: list[str], margin: f
     return t.join(p, [*keys, "_b"]).filter(distance <= margin).select(*keys, "true_cp", "pred_cp", distance.alias("distance"))
 
 
-def _greedy(pairs: Column) -> Column:
-    """Take pairs (distance, true_cp, pred_cp) in order where both ends are free."""
-    empty = F.array().cast("array<struct<distance:bigint,true_cp:bigint,pred_cp:bigint>>")
-    free = lambda taken, x: ~F.exists(taken, lambda y: (y["true_cp"] == x["true_cp"]) | (y["pred_cp"] == x["pred_cp"]))
-    return F.aggregate(F.array_sort(pairs), empty, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+def _free(keys: list[str]):
+    """A group's pairs in order of distance, then place: those both of whose ends are free."""
 
+    def take(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("distance", "ascending"), ("true_cp", "ascending"), ("pred_cp", "ascending")])
+        used_t, used_p, rows = set(), set(), []
+        for k, (t, p) in enumerate(zip(table.column("true_cp").to_pylist(), table.column("pred_cp").to_pylist(), strict=True)):
+            if t not in used_t and p not in used_p:
+                used_t.add(t)
+                used_p.add(p)
+                rows.append(k)
+        return table.take(pa.array(rows, pa.int64())).select([*keys, "true_cp", "pred_cp", "distance"])
 
-def _as_pairs() -> Column:
-    return F.collect_list(F.struct(F.col("distance").cast("long").alias("distance"), F.col("true_cp").cast("long").alias("true_cp"), F.col("pred_cp").cast("long").alias("pred_cp")))
+    return take
+
+
+def _one_to_one(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Greedy matching of ``pairs`` within islands of points that the pairs link: the borders between islands lie where
+    no pair reaches across, so a series of many points is as many small groups."""
+    w = Window.partitionBy(*keys).orderBy("_low", "_high").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.least("true_cp", "pred_cp"), F.greatest("true_cp", "pred_cp")
+    apart = F.coalesce(F.col("_low") > F.max("_high").over(w), F.lit(True)).cast("int")
+    typed = pairs.select(*keys, F.col("true_cp").cast("long"), F.col("pred_cp").cast("long"), F.col("distance").cast("long"))
+    marked = typed.withColumns({"_low": low, "_high": high}).withColumn("_new", apart)
+    islands = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    schema = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys) + ", true_cp long, pred_cp long, distance long"
+    return islands.select(*keys, "_island", "true_cp", "pred_cp", "distance").groupBy(*keys, "_island").applyInArrow(_free(keys), schema)
 
 
 def matches(true: DataFrame, pred: DataFrame, keys: list[str], margin: float) -> DataFrame:
     """(keys, true_cp, pred_cp, distance): one-to-one, nearest first, ties by position."""
     _check_margin(margin)
-    lists = tolerance_pairs(true, pred, keys, margin).groupBy(*keys).agg(_as_pairs().alias("_p"))
-    return lists.select(*keys, F.explode(_greedy(F.col("_p"))).alias("m")).select(*keys, "m.true_cp", "m.pred_cp", "m.distance")
+    return _one_to_one(tolerance_pairs(true, pred, keys, margin), keys)
 
 
 def unmatched(cps: DataFrame, matched: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -206,12 +224,15 @@ def union_of_annotators(annotations: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def margin_sweep(true: DataFrame, pred: DataFrame, sizes: DataFrame, keys: list[str], margins=MARGINS) -> DataFrame:
-    """(keys, margin, precision, recall, f1) for each margin: each margin's pairs are a series of their own."""
-    out = None
+    """(keys, margin, precision, recall, f1): pairs are made once, for the largest margin, and dealt to each margin that
+    holds them; each margin's pairs are a series of their own."""
     for m in margins:
-        one = precision_recall(true, pred, sizes, keys, m).select(*keys, F.lit(int(m)).alias("margin"), "precision", "recall", "f1")
-        out = one if out is None else out.union(one)
-    return out
+        _check_margin(m)
+    every, own = F.array(*[F.lit(int(m)) for m in margins]), [*keys, "margin"]
+    pairs = tolerance_pairs(true, pred, keys, max(margins)).withColumn("margin", F.explode(every)).filter("distance <= margin")
+    spread = lambda df: df.withColumn("margin", F.explode(every))
+    out = _ratios(_counts(spread(sizes), own, n_true=spread(true), n_pred=spread(pred), tp=_one_to_one(pairs, own)))
+    return out.select(*own, "precision", "recall", "f1")
 
 
 def evaluate_all(true: DataFrame, pred: DataFrame, sizes: DataFrame, keys: list[str], margin: float = 10, annotators: DataFrame | None = None) -> DataFrame:

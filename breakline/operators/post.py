@@ -3,9 +3,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def trim(cps: DataFrame, sizes: DataFrame, keys: list[str], share: float, closed: bool) -> DataFrame:
@@ -40,22 +40,36 @@ def merge_pairs(cps: DataFrame, sizes: DataFrame, keys: list[str], share: float)
 
 
 def enforce(cps: list[int], n: int, least: int) -> list[int]:
-    """Drop change points until every inner segment has ``least`` rows; the shorter neighbour takes the segment in."""
-    cps = sorted(cps)
-    while True:
-        bounds = [0, *cps, n]
-        size = [b - a for a, b in zip(bounds, bounds[1:], strict=False)]
-        short = next((i for i in range(1, len(size) - 1) if size[i] < least), None)
-        if short is None:
-            return cps
-        del cps[short - 1 if size[short - 1] < size[short + 1] else short]
+    """Drop change points until every inner segment has ``least`` rows; the shorter neighbour takes the segment in.
+
+    The leftmost short segment goes first; what is left of it is long enough, so one step back is all that a drop undoes.
+    """
+    rest = sorted(cps, reverse=True)
+    done: list[int] = [0]  # start, then kept change points: the segments between them are long enough
+    while rest:
+        start, end = done[-1], rest[-1]
+        if len(done) > 1 and end - start < least:  # an inner segment; the last one is open
+            after = (rest[-2] if len(rest) > 1 else n) - end
+            if start - done[-2] < after:
+                done.pop()
+            else:
+                rest.pop()
+        else:
+            done.append(rest.pop())
+    return done[1:]
 
 
 def min_length(cps: DataFrame, sizes: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """``enforce`` per series; a series has few change points, and its list is one row."""
-    fix = F.udf(lambda c, n: enforce([int(x) for x in c], int(n), least), T.ArrayType(T.LongType()))
-    lists = cps.groupBy(*keys).agg(F.collect_list("cp").alias("_cps")).join(sizes, keys)
-    return lists.select(*keys, F.explode(fix("_cps", "n")).alias("cp"))
+    """``enforce`` per series, one group of its change points each."""
+    rows = cps.join(sizes, keys).select(*keys, "cp", "n")
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", cp long"
+
+    def kept(key: tuple, table: pa.Table) -> pa.Table:
+        out = enforce(table.column("cp").to_pylist(), table.column("n")[0].as_py(), least)
+        names = [pa.array([k.as_py()] * len(out), table.schema.field(c).type) for c, k in zip(keys, key, strict=True)]
+        return pa.Table.from_arrays([*names, pa.array(out, pa.int64())], [*keys, "cp"])
+
+    return rows.groupBy(*keys).applyInArrow(kept, schema)
 
 
 def shift(cps: DataFrame, by: int) -> DataFrame:

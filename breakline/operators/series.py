@@ -6,12 +6,29 @@ the series, so many series run side by side; one giant series goes through ``pre
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that all executors share (``spark.checkpoint.dir``) and read again. A local session
+    may leave it unset; on a cluster that is an error."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='breakline-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared}/breakline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def index(df: DataFrame, keys: list[str], order: list[str], name: str = "t") -> DataFrame:
     """``df`` with the 0-based position of each row in its series."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
@@ -44,10 +61,10 @@ def prefix_stats(df: DataFrame, keys: list[str], values: list[str], kind: str =
 
 def prefix_sums_global(df: DataFrame, order: list[str], values: list[str], parts: int | None = None) -> DataFrame:
     """Running sums over one giant series without a one-task window: ranges of the order are summed by themselves, and
-    the ranges' totals (one row each) are added on. ``order`` must be unique. The input is dealt once and checkpointed."""
+    the ranges' totals (one row each) are added on. ``order`` must be unique. The dealt rows are written out once, so the
+    ranges cannot differ between the passes, whatever is lost."""
     ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-    dealt = ranged.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else dealt.persist()
+    dealt = cut(ranged.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
     starts = totals.select("_part", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0.0)).alias(f"_b_{v}") for v in values])

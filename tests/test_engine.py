@@ -68,6 +68,24 @@ def test_linear_costs_equal_refits(seed):
     np.testing.assert_allclose(got, want, atol=1e-8)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from(["mean", "variance", "meanvariance"]), st.sampled_from(["MBIC", "MDL", None]), st.sampled_from([0.5, 2.0, 8.0]))
+def test_exact_pruning_loses_nothing(seed, kind, adjust, beta):
+    """Small penalties, where the length terms decide."""
+    rng = np.random.default_rng(seed)
+    x = (rng.normal(0, 1, (45, 1)) * rng.choice([1, 3], (45, 1))).round(3)
+    cost = costs.Moment(x, kind, adjust)
+    price = lambda cps: sum(cost(np.array([a]), b)[0] for a, b in zip([0, *cps], [*cps, 45], strict=True)) + beta * len(cps)
+    found = partition(45, beta, cost, slack=cost.allowance(), known=True)
+    assert price(found) <= price(unpruned(45, beta, cost)) + 1e-9
+
+
+def test_plain_pruning_is_an_option(spark):
+    with pytest.raises(ValueError):
+        D.Spec(pruning="none")
+    assert D.Spec(pruning="plain").solve(draws(1, (0, 1, 40), (9, 1, 40))) == [40]
+
+
 def test_rank_is_invariant_under_monotone_maps(spark):
     x = draws(3, (0, 1, 60), (3, 1, 60))
     one, two = (D.rank(from_matrix(spark, v), "series_id", "t", "v0", beta=10.0).raw_change_points.collect() for v in (x, np.exp(x)))
