@@ -83,7 +83,7 @@ def test_exact_pruning_loses_nothing(seed, kind, adjust, beta):
 def test_plain_pruning_is_an_option(spark):
     with pytest.raises(ValueError):
         D.Spec(pruning="none")
-    assert D.Spec(pruning="plain").solve(draws(1, (0, 1, 40), (9, 1, 40))) == [40]
+    assert D.Spec(pruning="plain").solve(draws(1, (0, 1, 40), (9, 1, 40)).reshape(-1, 1)) == [40]
 
 
 def test_rank_is_invariant_under_monotone_maps(spark):
