@@ -22,8 +22,10 @@ from .common import cut, table
 
 #: Labelled rows that the lexicon and the two curves are fitted on, at most: those with the smallest hashed doc_ids.
 SAMPLE = 16_000
-#: Toxic documents that an entry must stand in, log-odds it must reach, and clean documents and log-odds of an exception.
+#: Toxic documents that an entry must stand in (and their share), log-odds it must reach, and clean documents and log-odds
+#: of an exception.
 SUPPORT = 4
+SHARE = 0.005
 ODDS = 2.5
 CLEAN = 2
 CLEAN_ODDS = 1.0
@@ -184,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counted = lambda found_in: rows.mapInArrow(lambda b: _counted(b, found_in), "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     counts = cut(counted(lambda text: features(set(fold(text).split()))).filter("docs >= 2"), "features")
     # what reaches the driver are features of the bounded sample that clear the bars
-    good = counts.filter((F.col("toxic") >= SUPPORT) & (odds >= ODDS)).select("feature", "toxic", odds).collect()
+    good = counts.filter((F.col("toxic") >= max(SUPPORT, SHARE * n_toxic)) & (odds >= ODDS)).select("feature", "toxic", odds).collect()
     model = Model(lexicon([tuple(r) for r in good]), prior=n_toxic / n)
     clean = (F.col("docs") - F.col("toxic") >= CLEAN) & (odds < CLEAN_ODDS)
     begins = [(e,) for e in model.entries if not e.endswith(" ")]
