@@ -10,6 +10,8 @@ those with an earlier one go.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,18 +226,18 @@ LANE = 16
 
 def window_classes(contents: list[bytes], length: int = LENGTH) -> np.ndarray:
     """For each window of the contents, one after another: its interval in the index of all, -1 where it stands alone."""
-    names: dict[bytes, int] = {}
-    ids = [[names.setdefault(w, len(names) + 1) for w in c.split(b" ")] for c in contents]
-    if not ids:
+    if not contents:
         return np.zeros(0, np.int64)
-    text = np.array([x for words in ids for x in (*words, 0)], np.int64)
-    sizes = np.array([len(w) for w in ids], np.int64)
+    sizes = np.array([Words.symbols(c) for c in contents], np.int64)
+    words = pc.split_pattern(pa.array([b" ".join(contents)], pa.large_binary()), " ").values.dictionary_encode()
+    text = np.zeros(len(words) + len(contents), np.int64)
+    text[np.arange(len(words)) + np.repeat(np.arange(len(contents)), sizes)] = words.indices.to_numpy() + 1
     index = FMIndex(text, length)
     many = sizes - length + 1
     lanes = -(-many // LANE)
-    owner = np.repeat(np.arange(len(ids)), lanes)
+    owner = np.repeat(np.arange(len(sizes)), lanes)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    begin = begins[owner] + spans(np.zeros(len(ids), np.int64), lanes) * LANE
+    begin = begins[owner] + spans(np.zeros(len(sizes), np.int64), lanes) * LANE
     end = np.minimum(begin + LANE + length - 1, (begins + sizes)[owner])
     lane, place, first = index.matching(text, begin, end)
     own = owner[lane]
@@ -257,3 +259,17 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_NEXT = ", ".join(f"lead(word, {k}) OVER w" for k in range(1, LENGTH))
+SQL = {
+    "op3_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        x AS (SELECT doc_id, i, word, CASE WHEN lead(word, {LENGTH - 1}) OVER w IS NOT NULL THEN concat_ws(' ', word, {_NEXT}) END AS x FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        g AS (SELECT doc_id, i, word, (x IS NOT NULL AND row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1)::INTEGER AS again FROM x),
+        c AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM g),
+        k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+}
