@@ -19,4 +19,4 @@ QUERIES: dict[str, Callable] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-SQL: dict[str, str] = {**exact_dedup.SQL}
+SQL: dict[str, str] = {**suffix_dedup.SQL, **substring_dedup.SQL, **ngram_join.SQL, **exact_dedup.SQL}

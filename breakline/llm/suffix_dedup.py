@@ -132,3 +132,25 @@ def removed(starts: str = "starts", ends: str = "ends"):
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", removed().alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OVER = "OVER (PARTITION BY doc_id ORDER BY i)"
+SQL = {
+    # windows of 2, 4, ... 32 bytes by doubling; two of 32 that overlap make one of 50
+    "op1_suffix_dedup": f"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        h AS (SELECT doc_id, regexp_extract_all(hex(b), '..') AS hs FROM d),
+        x1 AS (SELECT doc_id, unnest(hs) AS byte, generate_subscripts(hs, 1) AS i FROM h),
+        x2 AS (SELECT doc_id, i, byte, byte || lead(byte) {_OVER} AS x FROM x1),
+        x4 AS (SELECT doc_id, i, byte, x || lead(x, 2) {_OVER} AS x FROM x2),
+        x8 AS (SELECT doc_id, i, byte, x || lead(x, 4) {_OVER} AS x FROM x4),
+        x16 AS (SELECT doc_id, i, byte, x || lead(x, 8) {_OVER} AS x FROM x8),
+        x32 AS (SELECT doc_id, i, byte, x || lead(x, 16) {_OVER} AS x FROM x16),
+        x50 AS (SELECT doc_id, i, byte, x || lead(x, {LENGTH - 32}) {_OVER} AS x FROM x32),
+        g AS (SELECT doc_id, i, byte, (x IS NOT NULL AND min(doc_id) OVER (PARTITION BY x) < doc_id)::INTEGER AS again FROM x50),
+        c AS (SELECT doc_id, i, byte, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM g),
+        s AS (SELECT doc_id, i, byte, gone, gone = 1 AND coalesce(lag(gone) {_OVER}, 0) = 0 AS new FROM c),
+        k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (new) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM s GROUP BY doc_id)
+        SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+}

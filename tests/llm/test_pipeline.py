@@ -40,6 +40,18 @@ def test_stages(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == after.count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_every_query_runs(spark, sf):
     assert len([q for q in queries.QUERIES if q.startswith("op")]) == 10
 
