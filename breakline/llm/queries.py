@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, exact_dedup, html_text, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import conversations, decontaminate, exact_dedup, html_text, licenses, lm_score, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity, whitening
 
 QUERIES: dict[str, Callable] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,6 +17,9 @@ QUERIES: dict[str, Callable] = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_lm_score": lm_score.op13_lm_score,
 }
 
 SQL: dict[str, str] = {**suffix_dedup.SQL, **substring_dedup.SQL, **ngram_join.SQL, **exact_dedup.SQL}

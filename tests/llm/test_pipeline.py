@@ -53,7 +53,7 @@ def test_query_equals_its_sql(spark, sf, name):
 
 
 def test_every_query_runs(spark, sf):
-    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 13
 
 
 def test_stages_with_clashing_columns_null_and_repeated_ids(spark, tmp_path):
