@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: short lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/breakline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,11 +42,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Files up to which their numbers are broadcast to the rows.
+BROADCAST_FILES = 100_000
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a column that tells all rows apart, and its name. Rows are numbered by where they are read, so the
-    numbers hold for tables that are read (as in the pipeline); results of a shuffle are to be written first."""
+    """``docs`` with a column that tells all rows apart, the same in every read, and its name.
+
+    Rows of a table read from files are numbered by their file and their place in it, which depend neither on how the
+    files are split nor on how many executors there are. Any other result is written once, and read from there.
+    """
     name = fresh(docs, "row")
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    plain = docs._jdf.queryExecution().analyzed().children().isEmpty()  # a read without joins or other steps after it
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_f"), F.col("_metadata.row_index").alias(f"{name}_i")) if plain else None
+    except AnalysisException:
+        placed = None
+    if placed is None:
+        return numbered(cut(docs, "rows"))
+    files = placed.select(f"{name}_f").distinct()
+    files = cut(files.select(f"{name}_f", F.row_number().over(Window.orderBy(f"{name}_f")).cast("long").alias(f"{name}_n")), "files")  # a row for each file
+    own = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+    return placed.join(own, f"{name}_f").select(*docs.columns, (F.col(f"{name}_n") * (1 << 40) + F.col(f"{name}_i")).alias(name)), name
 
 
 def lower_az(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 from breakline.llm import queries
 
@@ -92,3 +93,48 @@ def test_stages_of_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_hold_when_the_cluster_changes_between_two_reads(spark, sf, tmp_path, monkeypatch, name):
+    """Files are split by the cores of the moment; a stage that reads its table twice must not mistake rows for others."""
+    from breakline.llm import common, decontaminate, exact_dedup, mixing, ngram_join, toxicity
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    docs.union(docs.limit(40)).write.parquet(str(tmp_path / "docs"))
+    stage, docs = dict(corpus_pipeline.STAGES)[name], spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted(map(str, stage(spark, docs, sf).collect()))
+    turns = iter(range(1000))
+
+    def shifting(df, *args):
+        out = common_cut(df, *args)
+        k = next(turns) % 3
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", (16, 2, 7)[k])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ("40k", "90k", "2m")[k])
+        return out
+
+    common_cut = common.cut
+    for module in (common, decontaminate, exact_dedup, mixing, ngram_join, toxicity):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", shifting)
+    try:
+        got = sorted(map(str, stage(spark, docs, sf).collect()))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+def test_rows_keep_their_numbers(spark, tmp_path):
+    from breakline.llm.common import numbered
+
+    spark.range(1000).withColumn("row", F.col("id") % 3).repartition(4).write.parquet(str(tmp_path / "t"))
+    docs, found = spark.read.parquet(str(tmp_path / "t")), []
+    for parallel in (1, 9, 40):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallel)
+        rows, name = numbered(docs)
+        found.append({r["id"]: r[name] for r in rows.collect()})
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert name != "row" and found[0] == found[1] == found[2] and len(set(found[0].values())) == 1000
+    joined, name = numbered(docs.join(docs.select(F.col("id").alias("other")), F.col("id") % 500 == F.col("other") % 500))
+    assert joined.select(name).distinct().count() == joined.count() == 2000
