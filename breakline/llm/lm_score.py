@@ -23,8 +23,8 @@ from .repeats import M1, M2, mixed
 from .substring_dedup import word_bounds, word_hashes
 
 #: Bytes of text in a batch, and batches for each bucket of words.
-BATCH_BYTES = 8_000_000
-BUCKET_BATCHES = 8
+BATCH_BYTES = 4_000_000
+BUCKET_BATCHES = 16
 #: Training tokens for each shard of the filter: bounds its entries.
 SHARD_TOKENS = 4_000_000
 BITS, PROBES, BASE = 12, 7, 1.5
@@ -57,6 +57,15 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _sorted(x: np.ndarray) -> bytes:
+    """Rising numbers, as the steps between them."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _from_sorted(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(_from_planes(data, kind), dtype=kind)
+
+
 def _grouped(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by group, and where each group begins and ends in it."""
     order = np.argsort(group, kind="stable")
@@ -82,7 +91,7 @@ def _words(rows: pa.Table, buckets: int) -> pa.Table:
     order, new, ends = _grouped(bucket)
     keys, counts, me = keys[order], counts[order], rows.column("batch")[0].as_py()
     cuts = list(zip(new.tolist(), ends.tolist(), strict=True))
-    return pa.table({"bucket": pa.array(bucket[order][new], pa.int32()), "batch": pa.array([me] * len(cuts), pa.int64()), "keys": pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()), "counts": pa.array([_planes(counts[a:b]) for a, b in cuts], pa.binary())})
+    return pa.table({"bucket": pa.array(bucket[order][new], pa.int32()), "batch": pa.array([me] * len(cuts), pa.int64()), "keys": pa.array([_sorted(keys[a:b]) for a, b in cuts], pa.binary()), "counts": pa.array([_planes(counts[a:b]) for a, b in cuts], pa.binary())})
 
 
 REPLIES = "batch long, bucket int, totals binary, words long, tokens long"
@@ -90,7 +99,7 @@ REPLIES = "batch long, bucket int, totals binary, words long, tokens long"
 
 def _totals(rows: pa.Table) -> pa.Table:
     """Each word's total for every batch that asked, and one row without a batch: the bucket's words and tokens."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
+    keys = [_from_sorted(k, "<u8") for k in rows.column("keys").to_pylist()]
     counts = np.concatenate([_from_planes(c, "<i8") for c in rows.column("counts").to_pylist()])
     every, which = np.unique(np.concatenate(keys), return_inverse=True)
     order = np.argsort(which, kind="stable")
@@ -118,7 +127,11 @@ def _counted(rows: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     totals = np.empty(len(keys), np.int64)
     for a, b in zip(new.tolist(), ends.tolist(), strict=True):
         totals[order[a:b]] = _from_planes(told[int(bucket[order[a]])], "<i8")
-    row = {"batch": rows.column("batch")[0].as_py(), "doc_ids": rows.column("doc_id").to_pylist(), "held_out": rows.column("held_out").to_pylist(), "lengths": lengths.tolist(), "keys": keys.tobytes(), "totals": _planes(totals), "ids": _planes(ids.astype("<u4")), "words": None, "tokens": None}
+    common = np.argsort(-np.bincount(ids), kind="stable")  # frequent words first: small numbers, which compress
+    rank = np.empty(len(common), "<u4")
+    rank[common] = np.arange(len(common))
+    keys, totals, ids = keys[common], totals[common], rank[ids]
+    row = {"batch": rows.column("batch")[0].as_py(), "doc_ids": rows.column("doc_id").to_pylist(), "held_out": rows.column("held_out").to_pylist(), "lengths": lengths.tolist(), "keys": keys.tobytes(), "totals": _planes(totals), "ids": _planes(ids), "words": None, "tokens": None}
     return pa.table({k: pa.array([row[k]], t) for k, t in COUNTED.items()})
 
 
@@ -128,22 +141,20 @@ class Counted:
     def __init__(self, row: dict, shards: int):
         self.row = row
         self.keys, self.totals = np.frombuffer(row["keys"], np.uint64), _from_planes(row["totals"], "<i8")
-        self.ids, self.lengths = _from_planes(row["ids"], "<u4").astype(np.int64), np.array(row["lengths"], np.int64)
+        self.ids, self.lengths = _from_planes(row["ids"], "<u4"), np.array(row["lengths"], np.int64)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
         self.held_out = np.array(row["held_out"], bool)
-        end = int(np.searchsorted(self.keys, END))
-        self.before = np.r_[end, self.ids[:-1]].astype(np.int64)
-        self.before[self.starts] = end
+        self.before = np.roll(self.ids, 1)
+        self.before[self.starts] = np.flatnonzero(self.keys == END)[0]
         g = mixed(self.keys[self.before] * M1 + self.keys[self.ids])
         # 32 bits within a shard of a few million entries: strangers meet far less often than the filter itself errs
         pair = (g >> np.uint64(32)) % np.uint64(shards) << np.uint64(32) | g & np.uint64(0xFFFFFFFF)
-        self.pairs, self.first, self.which = np.unique(pair, return_index=True, return_inverse=True)
-        self.shard = (self.pairs >> np.uint64(32)).astype(np.int64)
-        self.names = self.pairs.astype(np.uint32)
+        pairs, self.first, self.which = np.unique(pair, return_index=True, return_inverse=True)
+        self.shard, self.names = (pairs >> np.uint64(32)).astype(np.int32), pairs.astype(np.uint32)
 
     def by_shard(self, chosen: np.ndarray | None = None):
         """(shard, places of its pairs) for each shard; pairs are sorted by shard already."""
-        own = np.arange(len(self.pairs)) if chosen is None else np.flatnonzero(chosen)
+        own = np.arange(len(self.names)) if chosen is None else np.flatnonzero(chosen)
         _, new, ends = _grouped(self.shard[own])
         for a, b in zip(new.tolist(), ends.tolist(), strict=True):
             yield int(self.shard[own[a]]), own[a:b]
@@ -174,9 +185,9 @@ PAIRS = "shard int, names binary, counts binary, classes binary"
 def _pairs(batches, shards: int):
     """Distinct pairs of each batch's training texts by shard, with counts and the classes of their first words."""
     for own in _rows(batches, shards):
-        counts = np.bincount(own.which, np.repeat(~own.held_out, own.lengths), len(own.pairs)).astype("<u4")
+        counts = np.bincount(own.which, np.repeat(~own.held_out, own.lengths), len(own.names)).astype("<u4")
         kind = classes(own.totals)[own.before[own.first]].astype(np.uint8)
-        yield _table([(s, own.names[at].tobytes(), _planes(counts[at]), kind[at].tobytes()) for s, at in own.by_shard(counts > 0)], PAIRS)
+        yield _table([(s, _sorted(own.names[at]), _planes(counts[at]), kind[at].tobytes()) for s, at in own.by_shard(counts > 0)], PAIRS)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -232,7 +243,7 @@ SHARDS = "shard int, bits binary, singles array<long>, every array<long>"
 
 def _shard(rows: pa.Table) -> pa.Table:
     """A shard of the filter from all batches' counts, and per class of first words the pairs that occur once and all."""
-    names = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("names").to_pylist()])
+    names = np.concatenate([_from_sorted(x, "<u4") for x in rows.column("names").to_pylist()])
     counts = np.concatenate([_from_planes(x, "<u4") for x in rows.column("counts").to_pylist()])
     kinds = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("classes").to_pylist()])
     own, first, which = np.unique(names, return_index=True, return_inverse=True)
@@ -259,7 +270,7 @@ def _scores(own: Counted, levels: np.ndarray, words: int, train: int, free: np.n
 
 def _scored(batches, shards, bits, words, train, free):
     for own in _rows(batches, shards):
-        levels = np.zeros(len(own.pairs), np.uint8)
+        levels = np.zeros(len(own.names), np.uint8)
         for s, at in own.by_shard():
             if s in bits.value:
                 levels[at] = probed(np.frombuffer(bits.value[s], np.uint8), own.names[at])
@@ -268,7 +279,7 @@ def _scored(batches, shards, bits, words, train, free):
 
 def _asked(batches, shards):
     for own in _rows(batches, shards):
-        yield _table([(s, own.row["batch"], own.names[at].tobytes()) for s, at in own.by_shard()], "shard int, batch long, names binary")
+        yield _table([(s, own.row["batch"], _sorted(own.names[at])) for s, at in own.by_shard()], "shard int, batch long, names binary")
 
 
 ANSWERS = "batch long, shard int, levels binary"
@@ -278,7 +289,7 @@ def _answered(asked: pa.Table, held: pa.Table) -> pa.Table:
     found = np.frombuffer(held.column("bits")[0].as_py(), np.uint8) if held.num_rows else None
     rows = []
     for s, batch, names in zip(*[asked.column(c).to_pylist() for c in ("shard", "batch", "names")], strict=True):
-        own = np.frombuffer(names, np.uint32)
+        own = _from_sorted(names, "<u4")
         rows.append((batch, s, (np.zeros(len(own), np.uint8) if found is None else probed(found, own)).tobytes()))
     return pa.Table.from_batches([_table(rows, ANSWERS)])
 
@@ -287,7 +298,7 @@ def _scored_by_answers(rows: pa.Table, answers: pa.Table, shards, words, train,
     out = []
     for own in _rows(rows.to_batches(), shards):
         told = dict(zip(answers.column("shard").to_pylist(), answers.column("levels").to_pylist(), strict=True))
-        levels = np.zeros(len(own.pairs), np.uint8)
+        levels = np.zeros(len(own.names), np.uint8)
         for s, at in own.by_shard():
             levels[at] = np.frombuffer(told[s], np.uint8)
         out.append(_scores(own, levels, words, train, free))
@@ -310,7 +321,7 @@ def lm_scores(docs: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT)
     rest = F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
     texts = docs.select(doc_id.alias("doc_id"), (rest == held_out).alias("held_out"), F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64(doc_id, "text"), F.lit(many)).alias("batch"))
     replies = texts.groupBy("batch").applyInArrow(lambda t: _words(t, buckets), WORDS).groupBy("bucket").applyInArrow(lambda t: _totals(t), REPLIES)
-    counted = cut(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda t, r: _counted(t, r, buckets), COUNTED_SQL), "counted")
+    counted = cut(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda t, r: _counted(t, r, buckets), COUNTED_SQL), "counted", "zstd")
     stats = counted.filter("batch IS NULL").select("words", "tokens").first()
     words, train = (stats.words, stats.tokens) if stats else (0, 0)
     counted = counted.filter("batch IS NOT NULL").drop("words", "tokens")
