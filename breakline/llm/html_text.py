@@ -27,12 +27,49 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("body main article section div td".split())
-SKIPPED = frozenset("head nav header footer aside form button select iframe object menu dialog".split())
+SKIPPED = frozenset("head nav footer aside button select iframe object menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their text is the article's even where it is a link.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figcaption dd".split())
 LOOSE, BLOCK, LINK = range(3)
-#: Beginnings of words in class, id and role that mark boilerplate.
-BOILER = re.compile(r"(?:^|[\s_-])(?:nav|menu|sidebar|side-bar|foot|head(?:er)?(?:$|[\s_-])|masthead|ad(?:s|v|vert\w*)?(?:$|[\s_-])|sponsor|banner|cookie|consent|notice|gdpr|promo|comment|disqus|respond|reply|share|social|related|recommend|breadcrumb|subscri|newsletter|popup|modal|login|signup|search|pagination|pager|toolbar|widget|copyright|skip|alert|contentinfo|complementary|navigation)", re.I)
+#: Words that mark boilerplate when they are the whole of a word in class, id or role, alone or with one of
+#: the endings; readers' comments; page heads; words beside which a mark says what a thing has, not what it is; and words
+#: that content is named by.
+MARKS = "nav menu sidebar foot footer ad ads adv advert adverts advertisement advertising sponsor sponsored banner cookie consent notice gdpr promo share sharing social related recommend recommended recommendation breadcrumb subscribe subscription newsletter popup modal login signup search pagination pager toolbar widget copyright skip alert contentinfo complementary navigation"
+COMMENTS = "comment disqus respond reply replies"
+HEADS = "head header masthead"
+ENDINGS = "s bar box list link links area wrap block form section nav menu item items thread slot"
+MARK, COMMENT, HEAD = (re.compile(rf"(?:{'|'.join(words.split())})(?:{'|'.join(ENDINGS.split())})?") for words in (MARKS, COMMENTS, HEADS))
+BESIDE = frozenset("has no with without".split())
+CONTENT = frozenset("entry post article content main story body text page wrapper layout site container inner result results hentry document".split())
+
+NOTHING, WEAK, STRONG, READERS, ALWAYS, ONLY_HEADINGS = range(6)
+#: What a weak mark must hold of the running text outside of strong ones to stay, and what must be left beside a strong one.
+MOST, LEFT = 0.8, 0.03
+
+
+def marked(tag: str, names: list[str]) -> tuple[int, bool]:
+    """How surely an element is boilerplate by its tag and the values of class, id and role, and whether it is a page's head."""
+    if tag in SKIPPED:
+        return ALWAYS, False
+    if tag == "header":
+        return STRONG, True
+    found, head, content = WEAK if tag == "form" else NOTHING, False, False
+    for name in (x for value in names for x in value.split()):
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        if BESIDE.intersection(words):
+            continue
+        own = CONTENT.intersection(words)
+        if any(COMMENT.fullmatch(w) for w in words):
+            return READERS, False
+        if any(HEAD.fullmatch(w) for w in words):
+            found, head = max(found, WEAK if own else STRONG), True
+        elif any(MARK.fullmatch(w) for w in words):
+            found = max(found, WEAK if own else STRONG)
+        content = content or len(own) == len(words) > 0
+    return (WEAK if content and found == STRONG else found), head
+
+
 #: A heading, list item or paragraph closes an open paragraph.
 CLOSES_P = frozenset("p div article section main ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure hr form nav header footer aside address fieldset".split())
 
@@ -51,18 +88,29 @@ def _named(parent: bytes, step: str) -> bytes:
 
 
 class Page:
-    """One walk over the mark-up: text pieces with the innermost container of each, boilerplate left out."""
+    """One walk over the mark-up: text pieces with the innermost container of each and the mark that they stand under;
+    which marks hide what they hold is decided when the whole page is known."""
 
     def __init__(self, source: str):
         self.pieces: list[tuple[int, str, int]] = []  # container, text, kind; a space stands for the border of a block
         self.steps: list[str] = [""]
         self.parents: list[int] = [-1]
         self.names: list[bytes] = [b""]  # digests of the paths: whole paths of a deep page would grow with depth squared
+        self.marks: list[tuple[int, int]] = [(NOTHING, -1)]  # how sure, and the mark around it
+        self.under: list[int] = []  # the mark that each piece stands under
         self._read(source)
+        shown = self._shown()
+        self.pieces = [p for p, m in zip(self.pieces, self.under, strict=True) if shown[m]]
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, int]] = [("", 0, False, LOOSE)]  # tag, container, boilerplate, kind of text
-        put, open_ = self.pieces.append, Counter()
+        stack: list[tuple[str, int, int, int]] = [("", 0, 0, LOOSE)]  # tag, container, mark, kind of text
+        open_ = Counter()
+
+        def put(text: str) -> None:
+            _, here, mark, kind = stack[-1]
+            if self.marks[mark][0] not in (ALWAYS, ONLY_HEADINGS):
+                self.pieces.append((here, text, kind))
+                self.under.append(mark)
 
         def close(k: int) -> None:
             open_.subtract(t for t, *_ in stack[k:])
@@ -70,16 +118,14 @@ class Page:
 
         for m in TOKEN.finditer(source):
             text, tag = m[5] or m[6], m[3]
-            _, here, hidden, kind = stack[-1]
             if text is not None:
-                if not hidden:
-                    put((here, html.unescape(text) if "&" in text else text, kind))
+                put(html.unescape(text) if "&" in text else text)
                 continue
             if tag is None:
                 continue
             tag = tag.lower()
-            if tag not in INLINE and not hidden:
-                put((here, " ", kind))
+            if tag not in INLINE:
+                put(" ")
             if m[2]:
                 if open_[tag] > 0:
                     close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
@@ -88,12 +134,10 @@ class Page:
                 continue
             if tag == "body" and open_["head"] > 0:
                 close(next(k for k, s in enumerate(stack) if s[0] == "head"))
-                _, here, hidden, kind = stack[-1]
             if tag in CLOSES_P and open_["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         close(k)
-                        _, here, hidden, kind = stack[-1]
                         break
                     if stack[k][0] not in INLINE:
                         break
@@ -102,20 +146,65 @@ class Page:
                 at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ended or stack[k][0] in between), 0) if any(open_[t] > 0 for t in ended) else 0
                 if at and stack[at][0] in ended:
                     close(at)
-                    _, here, hidden, kind = stack[-1]
-            names = " ".join(a or b or c for a, b, c in NAMES.findall(m[4])) if m[4] else ""
-            if not hidden and (tag in SKIPPED or names and tag not in ("html", "body", "article", "main") and BOILER.search(names)):
-                hidden = True
-            if tag in CONTAINERS and not hidden:
-                step = _step(tag, names)
+            _, here, mark, kind = stack[-1]
+            names = [a or b or c for a, b, c in NAMES.findall(m[4])] if m[4] else []
+            if tag in HEADINGS and self.marks[mark][0] == ONLY_HEADINGS:
+                mark = self.marks[mark][1]
+            elif self.marks[mark][0] not in (ALWAYS, ONLY_HEADINGS) and tag not in ("html", "body", "article", "main"):
+                sure, head = marked(tag, names)
+                if head and tag in HEADINGS:
+                    sure = NOTHING
+                elif head and (open_["article"] > 0 or open_["main"] > 0):
+                    sure = ONLY_HEADINGS
+                if sure != NOTHING:
+                    self.marks.append((sure, mark))
+                    mark = len(self.marks) - 1
+            if tag in CONTAINERS:
+                step = _step(tag, " ".join(names))
                 self.steps.append(step)
                 self.names.append(_named(self.names[here], step))
                 self.parents.append(here)
                 here = len(self.steps) - 1
             kind = BLOCK if tag in BLOCKS else LINK if tag == "a" and kind == LOOSE else kind
-            stack.append((tag, here, hidden, kind))
+            stack.append((tag, here, mark, kind))
             open_[tag] += 1
 
+    def _shown(self) -> list[bool]:
+        """Which marks leave their text in. A strong one hides it unless next to nothing is left of the page (readers'
+        comments: nothing); a weak one (a form, or a mark beside a word for content) unless it holds most of what strong
+        ones leave, or next to nothing would be left."""
+        sure, around = [s for s, _ in self.marks], [m for _, m in self.marks]
+        own = [0] * len(sure)
+        for (_, text, kind), m in zip(self.pieces, self.under, strict=True):
+            if kind != LINK and any(x.isalnum() for x in text):
+                own[m] += len(text.strip())
+
+        def held() -> list[int]:
+            """Running text inside each mark that no strong mark within it hides; at 0: of the page."""
+            out = own.copy()
+            for k in range(len(sure) - 1, 0, -1):
+                if sure[k] < STRONG:
+                    out[around[k]] += out[k]
+            return out
+
+        inside = held()
+        while best := max((k for k in range(1, len(sure)) if sure[k] in (STRONG, READERS)), key=lambda k: (inside[k] > 0, -sure[k], inside[k]), default=0):
+            if inside[0] >= (LEFT * inside[best] if sure[best] == STRONG else 1) or not inside[best]:
+                break
+            while best > 0:  # what stands around it lets it through
+                sure[best], best = min(sure[best], WEAK), around[best]
+            inside = held()
+
+        def shown(weak: bool) -> list[bool]:
+            out = [True] * len(sure)
+            for k in range(1, len(sure)):
+                out[k] = out[around[k]] and (sure[k] == NOTHING or sure[k] == WEAK and (weak or inside[k] > MOST * inside[0]))
+            return out
+
+        out = shown(False)
+        left = sum(n for n, s in zip(own, out, strict=True) if s)
+        return out if left > LEFT * inside[0] else shown(True)
+
     def path(self, c: int) -> str:
         """The steps from the root to a container."""
         out = []

