@@ -32,10 +32,16 @@ def prefix(x: np.ndarray) -> np.ndarray:
 
 
 class Moment:
-    """Mean, variance or both. ``adjust``: the length term inside the recursion (half ln L under MBIC)."""
+    """Mean, variance or both. ``adjust``: the length term inside the recursion (half ln L under MBIC).
 
-    def __init__(self, x: np.ndarray, kind: str, adjust: str | None = "MBIC", sigma: np.ndarray | None = None):
+    A segment too short for a determinant is widened by d rows on both sides and priced by its own length. ``short``:
+    "floor" leaves that out for one column, where one row then costs ln(1e-11) / 2, less than any penalty.
+    """
+
+    def __init__(self, x: np.ndarray, kind: str, adjust: str | None = "MBIC", sigma: np.ndarray | None = None, short: str = "widen"):
         self.kind, self.adjust, self.n, self.d = kind, adjust, *x.shape
+        #: Rows from which on a segment is priced by itself.
+        self.least = {"mean": 1, "variance": self.d, "meanvariance": 1 if short == "floor" and self.d == 1 else self.d + 1}[kind]
         if kind == "mean":
             s = rice(x) if sigma is None else np.atleast_2d(np.asarray(sigma, float))
             x = x @ np.linalg.cholesky(np.linalg.inv(s))
@@ -52,8 +58,8 @@ class Moment:
             s = self.sum[end] - self.sum[start]
             return ((self.square[end] - self.square[start]) - (s * s).sum(-1) / length) / 2
         a, b = start, np.full(len(start), end)
-        short = length < self.d if self.kind == "variance" else length <= self.d
-        if self.d > 1 and short.any():  # too short for a determinant: widened on both sides, priced by its own length
+        short = length < self.least
+        if short.any():
             a, b = np.where(short, np.maximum(start - self.d, 0), a), np.where(short, np.minimum(end + self.d, self.n), b)
         wide = b - a
         m = self.outer[b] - self.outer[a]
@@ -65,10 +71,11 @@ class Moment:
             return length / 2 * np.log(m / wide)
         return length / 2 * np.log(np.maximum(np.linalg.det(m / wide[:, None, None]), FLOOR))
 
-    def allowance(self) -> float:
-        """How much the length terms of two segments may exceed that of both together: pruning has to leave it."""
-        half = np.log(self.n) / 2
-        return {"MBIC": half, "MDL": self.p * half * np.log2(np.e)}.get(self.adjust, 0.0)
+    def slack(self, start: np.ndarray, end: int) -> np.ndarray:
+        """How much the length terms of [start, end) and of what follows may exceed that of both together, at most: the
+        longer what follows is, the more. Pruning has to leave it."""
+        most = np.log((end - start) * (max(self.n - end, 1) / (self.n - start))) / 2
+        return np.maximum(most, 0.0) * {"MBIC": 1.0, "MDL": self.p * np.log2(np.e)}.get(self.adjust, 0.0)
 
     def __call__(self, start: np.ndarray, end: int) -> np.ndarray:
         c, length = self.raw(start, end), end - start

@@ -9,12 +9,15 @@ from __future__ import annotations
 import numpy as np
 
 
-def partition(n: int, beta: float, costs, first: int = 1, slack: float = 0.0, newest: int = 1, known: bool = False) -> list[int]:
+def partition(n: int, beta: float, costs, first: int = 1, slack=None, newest: int = 1, known: bool = False, least: int = 1) -> list[int]:
     """Change points that minimise the sum of costs plus ``beta`` each; ties go to the smallest start.
 
-    ``first``: end of the first step. ``slack``: a start stays while its value without beta is at most the best plus
-    slack; the sum is least if cutting a segment in two never costs more than slack. ``newest``: least length of the newest start offered. ``known``: the prefix of one row is priced by its
-    cost, and both 0 and 1 are starts from the second step on (the rule of the moment families).
+    ``first``: end of the first step. ``slack(starts, end)``: a start stays while its value without beta is at most the
+    best plus slack; the sum is least if cutting a segment in two never costs more than slack. ``newest``: least length
+    of the newest start offered. ``known``: the prefix of one row is priced by its cost, and both 0 and 1 are starts from
+    the second step on (the rule of the moment families). ``least``: rows from which on a cost obeys that rule. A start
+    is judged from that length on only, and one that has lost goes when what follows is that long too: until then a cut
+    there may cost more than it will.
     """
     total, back = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
     total[0] = -beta
@@ -22,14 +25,19 @@ def partition(n: int, beta: float, costs, first: int = 1, slack: float = 0.0, ne
     if known and n >= 1:
         total[1] = costs(starts, 1)[0]
         starts, first = np.array([0, 1]), 2
+    leaves = np.full(n + 1, n + 1)  # the first end for which a start is not offered
     for end in range(first, n + 1):
         usable = starts[starts <= end - newest] if newest > 1 else starts
         value = total[usable] + costs(usable, end)
         if np.isfinite(value).any():
             best = int(np.nanargmin(value))
             total[end], back[end] = value[best] + beta, usable[best]
-            keep = ~(value > total[end] + slack)
-            starts = np.concatenate([usable[keep], starts[len(usable) :]])
+            lost = value > total[end] + (slack(usable, end) if slack else 0.0)
+            if least > 1:
+                judged = usable[lost & (usable <= end - least)]
+                leaves[judged] = np.minimum(leaves[judged], end + least)
+                lost = leaves[usable] <= end + 1
+            starts = np.concatenate([usable[~lost], starts[len(usable) :]])
         starts = np.append(starts, end) if newest == 1 else np.unique(np.append(starts, end))
     return trace(back, n)
 

@@ -30,9 +30,11 @@ FAMILIES = (*MOMENTS, *REGRESSIONS, *AUTOREGRESSIVE, "arma", "garch", "rank", "r
 class Spec:
     """What to detect, checked before any plan is built.
 
-    ``pruning``: "exact" keeps every start that may still win, so the moment families' sums are least; "plain" is the
-    rule without the length terms' allowance, which can lose a better partition under MBIC and MDL. ``pruning_coef``
-    is subtracted from the allowance.
+    ``pruning``: "exact" keeps every start that may still win, so the moment families' sums are least (unless rows are
+    collinear to 1e-11 over long stretches, where a floor takes the determinant's place); "plain" is the rule without
+    the allowance for length terms and widened segments, which can lose a better partition. ``pruning_coef`` is
+    subtracted from the allowance. ``short``: how meanvariance prices one row of one column, "widen" or "floor" (see
+    ``costs.Moment``).
     """
 
     family: str = "mean"
@@ -45,6 +47,7 @@ class Spec:
     pruning_coef: float = 0.0
     prune_delta: bool = False
     pruning: str = "exact"
+    short: str = "widen"
     variance_estimate: tuple | None = None
     p: int | None = None
     p_response: int = 1
@@ -69,6 +72,8 @@ class Spec:
             raise ValueError("a custom family needs a cost")
         if self.pruning not in ("exact", "plain"):
             raise ValueError("pruning must be exact or plain")
+        if self.short not in ("widen", "floor"):
+            raise ValueError("short must be widen or floor")
         if not 0 <= self.trim < 0.5:
             raise ValueError("trim must be in [0, 0.5)")
 
@@ -118,9 +123,10 @@ class Spec:
         n, d = x.shape
         f, r = self.family, self._responses(d)
         if f in MOMENTS:
-            cost = costs.Moment(x, f, self.cost_adjustment, None if self.variance_estimate is None else np.array(self.variance_estimate, float))
-            allowance = cost.allowance() if self.pruning == "exact" else 0.0
-            return lambda beta: partition(n, beta, cost, slack=allowance - self.pruning_coef, known=True)
+            cost = costs.Moment(x, f, self.cost_adjustment, None if self.variance_estimate is None else np.array(self.variance_estimate, float), self.short)
+            exact = self.pruning == "exact"
+            slack = lambda start, end: (cost.slack(start, end) if exact else 0.0) - self.pruning_coef
+            return lambda beta: partition(n, beta, cost, slack=slack, known=True, least=cost.least if exact else 1)
         if f in ("lm", "ar", "var", "mgaussian"):
             y, z = (x[:, :r], x[:, r:]) if f != "mgaussian" or self.p_response < d else (x, np.ones((n, 1)))
             sigma = costs.noise(y, z) if f in ("var", "mgaussian") or r > 1 else None
@@ -329,7 +335,7 @@ def detect_long(df: DataFrame, sort: str, value: str, chunk: int = 100_000, beta
             length = at[end] - at[start]
             return ((q[end] - q[start]) - (s[end] - s[start]) ** 2 / length) / 2 + np.log(length) / 2
 
-        chosen = at[partition(len(at) - 1, b, cost, slack=np.log(n) / 2)]
+        chosen = at[partition(len(at) - 1, b, cost, slack=lambda start, end: np.log(n) / 2)]
         return pa.table({"cp": pa.array(chosen.astype(np.int64))})
 
     # regions of several chunks, then of many, choose again among what was proposed inside them; a region's borders

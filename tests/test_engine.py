@@ -68,18 +68,28 @@ def test_linear_costs_equal_refits(seed):
     np.testing.assert_allclose(got, want, atol=1e-8)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.sampled_from(["mean", "variance", "meanvariance"]), st.sampled_from(["MBIC", "MDL", None]), st.sampled_from([0.5, 2.0, 8.0]))
-def test_exact_pruning_loses_nothing(seed, kind, adjust, beta):
-    """Small penalties, where the length terms decide."""
+@settings(max_examples=90, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([1, 2, 3]), st.sampled_from(["mean", "variance", "meanvariance"]), st.sampled_from(["MBIC", "MDL", None]), st.sampled_from([0.5, 2.0, 8.0, None]))
+def test_exact_pruning_loses_nothing(seed, d, kind, adjust, beta):
+    """Small penalties, where the length terms decide, and the default; segments too short for a determinant."""
     rng = np.random.default_rng(seed)
-    x = (rng.normal(0, 1, (45, 1)) * rng.choice([1, 3], (45, 1))).round(3)
+    x = (rng.normal(0, 1, (45, d)) * rng.choice([1, 3], (45, 1))).round(3)
     cost = costs.Moment(x, kind, adjust)
+    beta = penalty.penalty("MBIC", cost.p, 45) if beta is None else beta
     price = lambda cps: sum(cost(np.array([a]), b)[0] for a, b in zip([0, *cps], [*cps, 45], strict=True)) + beta * len(cps)
-    found = partition(45, beta, cost, slack=cost.allowance(), known=True)
+    found = partition(45, beta, cost, slack=cost.slack, known=True, least=cost.least)
     assert price(found) <= price(unpruned(45, beta, cost)) + 1e-9
 
 
+def test_one_row_is_no_segment_of_its_own():
+    """Plain noise with one change of spread: a row alone used to cost less than any penalty."""
+    x = draws(3, (0, 1, 40), (0, 6, 40))[:, None]
+    assert all(abs(c - 40) < 6 for c in Spec("meanvariance").solve(x)) and len(Spec("meanvariance").solve(x)) <= 2
+    assert len(Spec("meanvariance", short="floor").solve(x)) > 70
+    with pytest.raises(ValueError):
+        Spec(short="none")
+
+
 def test_plain_pruning_is_an_option(spark):
     with pytest.raises(ValueError):
         D.Spec(pruning="none")

@@ -7,9 +7,7 @@ import os
 import duckdb
 import pytest
 
-from breakline.plans import catalog
-
-SLOW = {"pelt_arma", "pelt_garch"}
+from breakline.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -26,13 +24,13 @@ def plain(rows):
     return sorted(tuple(cell(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf, duck, name):
-    df = catalog.QUERIES[name](spark, sf)
+    df = registry.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     rows = df.select(*columns).collect()
-    if name in catalog.SQL:
-        other = duck.sql(catalog.SQL[name])
+    if name in registry.SQL:
+        other = duck.sql(registry.SQL[name])
         assert sorted(other.columns) == columns
         assert plain(rows) == plain(other.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
 
