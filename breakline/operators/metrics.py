@@ -1,18 +1,15 @@
 """Evaluation of detected against true change points: joins and aggregates on long tables.
 
 ``true`` and ``pred`` are (keys, cp); ``sizes`` is (keys, n) and names the series, so empty sides show up. Change points
-are checked by ``validated``. Greedy one-to-one matching is the one sequential step: it takes the pairs of an island of
-points within the margin in order of distance.
+are checked by ``validated``. Greedy one-to-one matching is in ``pairs``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .pairs import closest_pairs
 
 MARGINS = (1, 2, 5, 10, 20, 50, 100)
 
@@ -44,39 +41,10 @@ def tolerance_pairs(true: DataFrame, pred: DataFrame, keys: list[str], margin: f
     return t.join(p, [*keys, "_b"]).filter(distance <= margin).select(*keys, "true_cp", "pred_cp", distance.alias("distance"))
 
 
-def _free(keys: list[str]):
-    """A group's pairs in order of distance, then place: those both of whose ends are free."""
-
-    def take(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("distance", "ascending"), ("true_cp", "ascending"), ("pred_cp", "ascending")])
-        used_t, used_p, rows = set(), set(), []
-        for k, (t, p) in enumerate(zip(table.column("true_cp").to_pylist(), table.column("pred_cp").to_pylist(), strict=True)):
-            if t not in used_t and p not in used_p:
-                used_t.add(t)
-                used_p.add(p)
-                rows.append(k)
-        return table.take(pa.array(rows, pa.int64())).select([*keys, "true_cp", "pred_cp", "distance"])
-
-    return take
-
-
-def _one_to_one(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy matching of ``pairs`` within islands of points that the pairs link: the borders between islands lie where
-    no pair reaches across, so a series of many points is as many small groups."""
-    w = Window.partitionBy(*keys).orderBy("_low", "_high").rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.least("true_cp", "pred_cp"), F.greatest("true_cp", "pred_cp")
-    apart = F.coalesce(F.col("_low") > F.max("_high").over(w), F.lit(True)).cast("int")
-    typed = pairs.select(*keys, F.col("true_cp").cast("long"), F.col("pred_cp").cast("long"), F.col("distance").cast("long"))
-    marked = typed.withColumns({"_low": low, "_high": high}).withColumn("_new", apart)
-    islands = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys) + ", true_cp long, pred_cp long, distance long"
-    return islands.select(*keys, "_island", "true_cp", "pred_cp", "distance").groupBy(*keys, "_island").applyInArrow(_free(keys), schema)
-
-
 def matches(true: DataFrame, pred: DataFrame, keys: list[str], margin: float) -> DataFrame:
     """(keys, true_cp, pred_cp, distance): one-to-one, nearest first, ties by position."""
     _check_margin(margin)
-    return _one_to_one(tolerance_pairs(true, pred, keys, margin), keys)
+    return closest_pairs(true, pred, keys, margin)
 
 
 def unmatched(cps: DataFrame, matched: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -123,7 +91,7 @@ def nearest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("cp")
     other = F.when(~F.col("_own"), F.col("cp"))
     before = F.last(other, True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(other, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    after = F.last(other, True).over(Window.partitionBy(*keys).orderBy(F.desc("cp")).rangeBetween(Window.unboundedPreceding, 0))  # a frame towards the end would be read anew for each row
     placed = both.select(*keys, "cp", "_own", before.alias("_b"), after.alias("_a")).filter("_own")
     near = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (F.col("cp") - F.col("_b") <= F.col("_a") - F.col("cp")), F.col("_b")).otherwise(F.col("_a"))
     return placed.select(*keys, "cp", near.alias("near")).filter("near IS NOT NULL").withColumn("distance", F.abs(F.col("cp") - F.col("near")))
@@ -138,26 +106,6 @@ def hausdorff_distance(true: DataFrame, pred: DataFrame, sizes: DataFrame, keys:
     return out.select(*keys, fill("forward").alias("forward"), fill("backward").alias("backward"), F.greatest(fill("forward"), fill("backward")).alias("hausdorff"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _closest(t: pd.Series, p: pd.Series) -> pd.Series:
-    """Distances of the closest pairs, taken one by one until a side is used up; ties in order of position."""
-
-    def one(a, b):
-        a, b = np.sort(np.asarray(a)), np.sort(np.asarray(b))
-        apart = np.abs(a[:, None] - b)
-        free_a, free_b, out = np.ones(len(a), bool), np.ones(len(b), bool), []
-        for k in np.argsort(apart, axis=None, kind="stable"):
-            i, j = divmod(int(k), len(b))
-            if free_a[i] and free_b[j]:
-                free_a[i] = free_b[j] = False
-                out.append(float(apart[i, j]))
-                if len(out) == min(len(a), len(b)):
-                    break
-        return out
-
-    return pd.Series([one(a, b) for a, b in zip(t, p, strict=True)])
-
-
 METHODS = ("mae", "mse", "rmse", "median_ae")
 
 
@@ -166,9 +114,7 @@ def annotation_error(true: DataFrame, pred: DataFrame, sizes: DataFrame, keys: l
     are taken until one side is used up. NaN without pairs."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    side = lambda df, name: df.groupBy(*keys).agg(F.collect_list(F.col("cp").cast("long")).alias(name))
-    lists = side(true, "_t").join(side(pred, "_p"), keys)  # a series' change points are one short row
-    taken = lists.select(*keys, F.explode(_closest("_t", "_p")).alias("e"))
+    taken = closest_pairs(true, pred, keys).select(*keys, F.col("distance").cast("double").alias("e"))
     e = F.col("e")
     stats = taken.groupBy(*keys).agg(F.avg(e).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, F.lit(0.5)).alias("median_ae"), F.max(e).alias("max_error"), F.min(e).alias("min_error"), F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error"), F.count("*").alias("n_matched"))
     out = sizes.select(*keys).join(stats, keys, "left")
@@ -224,14 +170,14 @@ def union_of_annotators(annotations: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def margin_sweep(true: DataFrame, pred: DataFrame, sizes: DataFrame, keys: list[str], margins=MARGINS) -> DataFrame:
-    """(keys, margin, precision, recall, f1): pairs are made once, for the largest margin, and dealt to each margin that
-    holds them; each margin's pairs are a series of their own."""
+    """(keys, margin, precision, recall, f1): points are matched once, for the largest margin. Pairs are taken nearest
+    first, so the matches of a smaller margin are those of the larger one that it holds."""
     for m in margins:
         _check_margin(m)
     every, own = F.array(*[F.lit(int(m)) for m in margins]), [*keys, "margin"]
-    pairs = tolerance_pairs(true, pred, keys, max(margins)).withColumn("margin", F.explode(every)).filter("distance <= margin")
+    pairs = matches(true, pred, keys, max(margins)).withColumn("margin", F.explode(every)).filter("distance <= margin")
     spread = lambda df: df.withColumn("margin", F.explode(every))
-    out = _ratios(_counts(spread(sizes), own, n_true=spread(true), n_pred=spread(pred), tp=_one_to_one(pairs, own)))
+    out = _ratios(_counts(spread(sizes), own, n_true=spread(true), n_pred=spread(pred), tp=pairs))
     return out.select(*own, "precision", "recall", "f1")
 
 

@@ -5,7 +5,10 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from breakline.operators import metrics as M
+from breakline.operators import pairs
 
 K = ["k"]
 
@@ -71,6 +74,32 @@ def test_against_brute_force(spark):
         assert abs(err[k].rmse - np.sqrt(np.mean(np.square(distances)))) < 1e-9 and abs(err[k].median_ae - np.median(distances)) < 1e-9
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+@pytest.mark.parametrize("margin", [None, 1, 7, 60])
+def test_closest_pairs_are_the_greedy_ones(spark, monkeypatch, few, margin):
+    """Rounds of mutual choice and the heap, on random, dense, tied, nested and empty sides."""
+    monkeypatch.setattr(pairs, "FEW", few)
+    rng = np.random.default_rng(4)
+    draw = lambda n, top: sorted(set(rng.integers(0, top, n).tolist()))
+    series = {f"r{i}": (draw(15, 100), draw(rng.integers(1, 20), 100), 100) for i in range(25)}
+    series |= {"nested": (list(range(0, 30)), list(range(31, 61)), 99), "ties": (list(range(0, 60, 4)), list(range(2, 62, 4)), 99), "same": ([5, 9], [5, 9], 99), "shrinking": ([0, 50, 80, 95], [30, 68, 89, 99], 99), "one": ([7], [], 9)}
+    t, p, _ = sides(spark, **series)
+    got = {k: [] for k in series}
+    for r in pairs.closest_pairs(t, p, K, margin).collect():
+        got[r.k].append((r.distance, r.true_cp, r.pred_cp))
+    for k, (a, b, _) in series.items():
+        assert sorted(got[k]) == sorted(greedy(a, b, 10**9 if margin is None else margin)), k
+
+
+def test_a_million_points_of_one_series(spark):
+    """Without a pair table: both sides of one series, true points every 7 rows, predicted ones around every 8."""
+    t = spark.range(500_000).select(F.lit("a").alias("k"), (F.col("id") * 7).alias("cp"))
+    p = spark.range(500_000).select(F.lit("a").alias("k"), (F.col("id") * 8 + F.pmod(F.xxhash64("id"), F.lit(5))).alias("cp"))
+    got = pairs.closest_pairs(t, p, K, 3)
+    n, d, least, a, b = got.agg(F.count("*"), F.max("distance"), F.min("distance"), F.countDistinct("true_cp"), F.countDistinct("pred_cp")).first()
+    assert n == a == b and 300_000 < n < 437_501 and d == 3 and least == 0
+
+
 def test_covering_and_all(spark):
     notes = spark.createDataFrame([("a", i, c) for i, s in enumerate(([100, 200], [98, 202], [102, 198])) for c in s], "k string, annotator_id long, cp long")
     pred, n = spark.createDataFrame([("a", 100), ("a", 200)], "k string, cp long"), spark.createDataFrame([("a", 300)], "k string, n long")
