@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import auc as auc
+
 
 def detection_view(rows: DataFrame, segments: DataFrame, keys: list[str], values: list[str], dims: int = 3) -> DataFrame:
     """Rows with segment and a mark on each segment's first row, of the first ``dims`` value columns."""
@@ -41,12 +43,3 @@ def segment_summary(labelled: DataFrame, keys: list[str], value: str) -> DataFra
     """(keys, seg_id, length, mean, variance, kurtosis, overdispersion) of each segment; kurtosis is the excess."""
     v = F.col(value)
     return labelled.groupBy(*keys, "seg_id").agg(F.count("*").alias("length"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.kurtosis(v).alias("kurtosis"), (F.var_pop(v) / F.avg(v)).alias("overdispersion"))
-
-
-def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """(keys, auc): area under the curve from average ranks; null where one class is missing."""
-    w = Window.partitionBy(*keys).orderBy(score)
-    ties = Window.partitionBy(*keys, score)
-    ranked = df.select(*keys, F.col(label).alias("_l"), (F.rank().over(w) + (F.count("*").over(ties) - 1) / 2).alias("_r"))
-    pos, n = F.sum(F.when(F.col("_l") == 1, 1).otherwise(0)), F.count("*")
-    return ranked.groupBy(*keys).agg(((F.sum(F.when(F.col("_l") == 1, F.col("_r")).otherwise(0)) - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0))).alias("auc"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import costs, penalty
 from ..operators import detect as D
 from ..operators import metrics as M
-from ..operators import post, segments, series, views
+from ..operators import post, ranks, segments, series, views
 from ..sources import generators
 
 KEY = ["k"]
@@ -251,12 +251,11 @@ def even_bounds(spark, sf):
 
 def median_distance(spark, sf):
     rows = read(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.floor("c_acctbal").cast("double").alias("v"), "c_custkey")
-    rows = series.index(rows, KEY, ["c_custkey"]).withColumn("f", F.array("v"))
-    return series.squared_distances(rows, KEY, "f")
+    return ranks.median_pair_distance(rows, KEY, "v")
 
 
 def segment_summary(spark, sf):
-    out = views.segment_summary(_blocks(spark, sf), KEY, "v").filter("length > 10")
+    out = views.segment_summary(_blocks(spark, sf), KEY, "v")
     return out.select("k", "seg_id", "length", F.round("mean", 4).alias("mean"), F.round("kurtosis", 6).alias("kurtosis"), F.round("overdispersion", 4).alias("overdispersion"))
 
 
@@ -566,7 +565,7 @@ SQL: dict = {
     "segment_cost_meanvariance": f"{BLOCKS} SELECT k, seg_id, round(count(*) / 2.0 * ln(greatest(var_pop(v), 1e-11)), 3) AS cost FROM b GROUP BY ALL",
     "segment_energy": f"{BLOCKS} SELECT k, seg_id, round(avg(v * v), 2) AS energy FROM b GROUP BY ALL",
     "ols_segment": "SELECT l_returnflag AS k, month(l_shipdate)::INTEGER AS seg_id, round(sum(l_quantity * y) / sum(l_quantity * l_quantity), 6) AS slope, round((sum(y * y) - sum(l_quantity * y) * sum(l_quantity * y) / sum(l_quantity * l_quantity)) / 1e6, 2) AS rss_millions FROM (SELECT *, floor(l_extendedprice) AS y FROM lineitem) GROUP BY ALL",
-    "segment_summary": f"{BLOCKS} SELECT k, seg_id, count(*) AS length, round(avg(v), 4) AS mean, round(kurtosis_pop(v), 6) AS kurtosis, round(var_pop(v) / avg(v), 4) AS overdispersion FROM b GROUP BY ALL HAVING count(*) > 10",
+    "segment_summary": f"{BLOCKS} SELECT k, seg_id, count(*) AS length, round(avg(v), 4) AS mean, round(kurtosis_pop(v), 6) AS kurtosis, round(var_pop(v) / avg(v), 4) AS overdispersion FROM b GROUP BY ALL",
     "pelt_mean": _noise_sql("(1.5 * ln(d.n))"),
     "pelt_mean_bic": _noise_sql("(0.5 * ln(d.n))", MEAN_COST.replace(f" + ln({LENGTH}) / 2", "")),
     "pelt_variance": _dp(f"{MONTHS}, y AS (SELECT k, t, v - avg(v) OVER (PARTITION BY k) AS x FROM e)", "y", "x", "x * x", "1.0", VARIANCE_COST),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, recursions
+from . import catalog, long, recursions
 
-QUERIES: dict = {**catalog.QUERIES, **recursions.QUERIES}
-SQL: dict = {**catalog.SQL, **recursions.SQL}
+QUERIES: dict = {**catalog.QUERIES, **recursions.QUERIES, **long.QUERIES}
+SQL: dict = {**catalog.SQL, **recursions.SQL, **long.SQL}
