@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ranks
-from .catalog import read
+from ..operators import filters, ranks
+from .catalog import EVENTS, events, read
 
 LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
 
@@ -32,9 +32,31 @@ def median_distance_of_customers(spark, sf):
     return ranks.median_pair_distance(rows, ["k"], "v")
 
 
-QUERIES: dict = {"rank_of_lines": rank_of_lines, "rank_of_lines_by_flag": rank_of_lines_by_flag, "auc_of_lines": auc_of_lines, "median_distance_of_customers": median_distance_of_customers}
+AR, MA = 0.5, 0.4
+OMEGA, ALPHA, BETA = 0.05, 0.1, 0.8
+
+
+def arma_residuals_of_lines(spark, sf):
+    """Residuals of one series of all lines' quantities."""
+    rows = read(spark, sf, "lineitem").select(*LINES, (F.col("l_quantity") - 25).cast("double").alias("y"))
+    return filters.arma_residuals(rows, [], LINES, "y", [AR], [MA]).select("l_orderkey", "l_linenumber", F.round("residual", 6).alias("residual"))
+
+
+def garch_variances_of_events(spark, sf):
+    rows = events(spark, sf).select("k", "t", (F.col("v") / 1000).alias("v"))
+    return filters.garch_variances(rows, ["k"], ["t"], "v", OMEGA, [ALPHA], [BETA]).select("k", "t", F.round("variance", 6).alias("variance"))
+
+
+QUERIES: dict = {"arma_residuals_of_lines": arma_residuals_of_lines, "garch_variances_of_events": garch_variances_of_events, "rank_of_lines": rank_of_lines, "rank_of_lines_by_flag": rank_of_lines_by_flag, "auc_of_lines": auc_of_lines, "median_distance_of_customers": median_distance_of_customers}
+
+#: The residual's recursion written out: powers of the coefficient over the rows before, to the 45th.
+RESIDUAL = " + ".join(f"{(-MA) ** k!r} * coalesce(lag(u, {k}) OVER w, 0)" for k in range(46))
 
 SQL: dict = {
+    "arma_residuals_of_lines": f"WITH x AS (SELECT *, l_quantity - 25 AS y FROM lineitem), z AS (SELECT *, y - {AR} * coalesce(lag(y) OVER w, 0) AS u FROM x WINDOW w AS (ORDER BY {', '.join(LINES)})) SELECT l_orderkey, l_linenumber, round({RESIDUAL}, 6) AS residual FROM z WINDOW w AS (ORDER BY {', '.join(LINES)})",
+    "garch_variances_of_events": f"""WITH RECURSIVE {EVENTS}, m AS (SELECT k, avg(v * v / 1e6) AS m FROM e GROUP BY k),
+        s AS (SELECT k, 0::BIGINT AS t, {OMEGA} + {ALPHA} * m + {BETA} * m AS h FROM m UNION ALL SELECT s.k, s.t + 1, {OMEGA} + {ALPHA} * e.v * e.v / 1e6 + {BETA} * s.h FROM s JOIN e ON e.k = s.k AND e.t = s.t WHERE EXISTS (SELECT 1 FROM e x WHERE x.k = s.k AND x.t = s.t + 1))
+        SELECT k, t, round(h, 6) AS variance FROM s""",
     "rank_of_lines": f"SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, {', '.join(LINES)}) AS rank FROM lineitem",
     "rank_of_lines_by_flag": f"SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, {', '.join(LINES)}) AS rank FROM lineitem",
     "auc_of_lines": "WITH x AS (SELECT (l_returnflag = 'R')::INTEGER AS back, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem) SELECT 'all' AS k, round((sum(back * r) - sum(back) * (sum(back) + 1) / 2) / (sum(back)::DOUBLE * (count(*) - sum(back))), 9) AS auc FROM x",
