@@ -12,6 +12,7 @@ one pass over the rows, without a shuffle.
 from __future__ import annotations
 
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +23,10 @@ from .common import table
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct pieces of text that a worker remembers before it starts anew (memory bound only; counts are unaffected).
-REMEMBERED = 800_000
+#: Memory bounds of a worker, without effect on counts: longest piece of text whose count is remembered (a text without
+#: spaces is one piece), bytes of remembered pieces with what each entry takes, and remembered pairs of tokens.
+REMEMBERED_LENGTH, REMEMBERED_BYTES, ENTRY_BYTES = 48, 80_000_000, 160
+REMEMBERED_PAIRS = 300_000
 
 
 class PrefixCounter:
@@ -43,7 +46,9 @@ class PrefixCounter:
         #: What can be the last token: every piece that encodes to itself, and every single character.
         self.tokens = {p for p in self.rank if len(p) == 1 or self.encode(p) == [p]} | inside
         self.ends = {p[i:] for p in self.tokens for i in range(len(p))}
+        self.longest = max(map(len, self.ends), default=1)
         self.counts: dict[str, int] = {}
+        self.held = 0
 
     def encode(self, piece: str) -> list[str]:
         """BPE by repeatedly merging the best-ranked pair, leftmost first: for the short strings that pairs make."""
@@ -55,10 +60,10 @@ class PrefixCounter:
             out[best : best + 2] = [out[best] + out[best + 1]]
         return out
 
-    def prefixes(self, piece: str) -> list[int]:
+    def prefixes(self, piece: str) -> array:
         """Token counts of piece[:0], piece[:1], ..., piece[:n]."""
-        rank, ends, tokens, pairs, n = self.rank, self.ends, self.tokens, self.pairs, len(piece)
-        count, last = [0] * (n + 1), [""] * (n + 1)
+        rank, ends, tokens, pairs, n, ring = self.rank, self.ends, self.tokens, self.pairs, len(piece), self.longest + 1
+        count, last = array("q", bytes(8 * (n + 1))), [""] * ring  # last tokens of as many prefixes as a token can span
         for j in range(1, n + 1):
             i, found = j - 1, []
             token = piece[i:j]
@@ -73,14 +78,14 @@ class PrefixCounter:
                 found.append((j - 1, piece[j - 1]))
             for i, token in reversed(found):
                 if i:
-                    pair = last[i], token
+                    pair = last[i % ring], token
                     if (fits := pairs.get(pair)) is None:
-                        if len(pairs) > 1_000_000:
+                        if len(pairs) >= REMEMBERED_PAIRS:
                             pairs.clear()
                         fits = pairs[pair] = self.encode(pair[0] + token) == [*pair]
                     if not fits:
                         continue
-                last[j] = token
+                last[j % ring] = token
                 count[j] = count[i] + (1 if token in rank else self.cost(token))
                 break
         return count
@@ -96,9 +101,13 @@ class PrefixCounter:
         pieces, counts, out = self.split(text), self.counts, []
         for p in pieces:
             if (c := counts.get(p)) is None:
-                if len(counts) >= REMEMBERED:
-                    counts.clear()
-                c = counts[p] = self.prefixes(p)[-1]
+                c = self.prefixes(p)[-1]
+                if len(p) <= REMEMBERED_LENGTH:
+                    self.held += ENTRY_BYTES + 4 * len(p)
+                    if self.held > REMEMBERED_BYTES:
+                        counts.clear()
+                        self.held = ENTRY_BYTES + 4 * len(p)
+                    counts[p] = c
             out.append(c)
         return pieces, out
 
@@ -110,7 +119,7 @@ class PrefixCounter:
         out, total = [0], 0
         for p in self.split(text):
             own = self.prefixes(p)
-            out += [total + c for c in own[1:]]
+            out += [total + c for c in own[1:].tolist()]
             total += own[-1]
         return [0, *out[2:]] if text else [0]  # the first entry belongs to the dummy prefix
 
