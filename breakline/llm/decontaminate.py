@@ -1,9 +1,11 @@
 """Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 Texts are folded to lower-case words. Every 4-word seed of a benchmark item is looked up in all texts in one pass; a
-passage around the places found is a candidate, however many documents hold the seed. An exact bound drops candidates
-early: the item's words that the passage has, counted with repetition, limit the alignment's score. The rest are aligned
-word by word, which keeps copies with changed, added or missing words; equal passages of a batch are aligned once.
+passage around the places found is a candidate, however many documents hold the seed. A seed that many items share is not
+expanded to all of them: an alignment of the least score takes so many of the item's words that one of its rarest must be
+in the text, so only items with such a word go on. An exact bound drops candidates early: the item's words that the
+passage has, counted with repetition, limit the alignment's score. The rest are aligned word by word, which keeps copies
+with changed, added or missing words; equal passages of a batch are aligned once.
 
 Seeds are broadcast in blocks of bounded size, one pass over the texts for each, whatever the benchmark's size.
 """
@@ -22,6 +24,8 @@ from .substring_dedup import word_bounds, word_grams, word_hashes
 SEED_WORDS = 4
 #: Seeds (8-byte hash, item, place) that one pass broadcasts at most.
 BLOCK_SEEDS = 500_000
+#: Items that share a seed before it is followed by way of their rarest words.
+HOT_SEED = 8
 #: Characters of text that a task searches at once.
 PORTION = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -41,8 +45,9 @@ def _grams(texts: list[str]):
     return data, begins, ends, starts, hashes, word_grams(hashes, SEED_WORDS)
 
 
-def _item_seeds(rows: list[tuple[int, str]]):
-    """Sorted seed hashes with item, and each item's word hashes with counts; an item of fewer words than a seed has none."""
+def _item_seeds(rows: list[tuple[int, str]], least: float):
+    """Sorted seed hashes with item, each item's word hashes with counts (an item of fewer words than a seed has no seed),
+    and for items with a seed that many share, sorted hashes of their rarest words with item."""
     _, _, _, starts, hashes, grams = _grams([t for _, t in rows])
     seeds, items, words = [], [], {}
     for (item, _), a, b in zip(rows, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -51,8 +56,29 @@ def _item_seeds(rows: list[tuple[int, str]]):
         items += [item] * k
         words[item] = np.unique(hashes[a:b], return_counts=True)
     seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-    order = np.argsort(seeds, kind="stable")
-    return seeds[order], np.array(items, np.int64)[order], words
+    order = np.lexsort((np.array(items, np.int64), seeds))
+    seeds, items = seeds[order], np.array(items, np.int64)[order]
+    shared = np.searchsorted(seeds, seeds, "right") - np.searchsorted(seeds, seeds, "left") > HOT_SEED
+    every, items_of = np.unique(np.concatenate([w for w, _ in words.values()]) if words else np.zeros(0, np.uint64), return_counts=True)
+    rare, owners = [np.zeros(0, np.uint64)], []
+    for item in np.unique(items[shared]).tolist():
+        own, counts = words[item]
+        by_rarity = np.argsort(items_of[np.searchsorted(every, own)], kind="stable")
+        n = int(counts.sum())
+        # at least ``least`` of the item's words match, so all but that many and one more, the rarest first, hold a match
+        enough = n - int(np.ceil(least * n - 1e-9)) + 1
+        rare.append(own[by_rarity][: int(np.searchsorted(np.cumsum(counts[by_rarity]), enough)) + 1])
+        owners += [item] * len(rare[-1])
+    rare = np.concatenate(rare)
+    order = np.argsort(rare, kind="stable")
+    return seeds, items, words, rare[order], np.array(owners, np.int64)[order]
+
+
+def _near(present: np.ndarray, rare: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Items one of whose rarest words is among ``present``."""
+    a, b = np.searchsorted(rare, present, "left"), np.searchsorted(rare, present, "right")
+    found = np.flatnonzero(b > a)
+    return np.unique(np.concatenate([owners[a[k] : b[k]] for k in found.tolist()])) if len(found) else np.zeros(0, np.int64)
 
 
 def most(words: tuple[np.ndarray, np.ndarray], passage: np.ndarray) -> float:
@@ -80,7 +106,7 @@ def _portions(batches):
 
 
 def _search(batches, block, least):
-    seeds, items, words = block.value
+    seeds, items, words, rare, owners = block.value
     lengths = {item: int(counts.sum()) for item, (_, counts) in words.items()}
     for ids, texts in _portions(batches):
         data, begins, ends, starts, hashes, grams = _grams(texts)
@@ -89,11 +115,17 @@ def _search(batches, block, least):
         text = np.searchsorted(starts, hit, "right") - 1
         hit, text = hit[hit + SEED_WORDS <= starts[text + 1]], text[hit + SEED_WORDS <= starts[text + 1]]
         by_pair: dict[tuple[int, int], list[int]] = {}
-        for h, t in zip(hit.tolist(), text.tolist(), strict=True):
-            for k in range(int(at[h]), len(seeds)):
-                if seeds[k] != grams[h]:
-                    break
-                by_pair.setdefault((t, int(items[k])), []).append(h)
+        own_text, near, among = -1, None, {}
+        for h, t, a, b in zip(hit.tolist(), text.tolist(), at[hit].tolist(), np.searchsorted(seeds, grams[hit], "right").tolist(), strict=True):
+            held = items[a:b]
+            if b - a > HOT_SEED:
+                if t != own_text:
+                    own_text, near, among = t, _near(np.unique(hashes[starts[t] : starts[t + 1]]), rare, owners), {}
+                if a not in among:
+                    among[a] = near[held[np.minimum(np.searchsorted(held, near), len(held) - 1)] == near]
+                held = among[a]
+            for item in held.tolist():
+                by_pair.setdefault((t, item), []).append(h)
         rows = []
         for (t, item), found in by_pair.items():
             room, group = lengths[item], []
@@ -166,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     found = None
     for block in range(blocks):
         rows = [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).select("item", "text").collect()]
-        own = spark.sparkContext.broadcast(_item_seeds(rows))
+        own = spark.sparkContext.broadcast(_item_seeds(rows, least))
         if not len(own.value[0]):
             continue
         part = cut(texts.mapInArrow(lambda b, own=own: _search(b, own, least), FOUND), "found")

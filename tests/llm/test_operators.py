@@ -600,6 +600,94 @@ def test_html_text_against_planted_articles(spark):
     assert len(got) == 95 and all(r.text == want[r.page_id] for r in got)
 
 
+def search(rows, items, least=decontaminate.LEAST):
+    """What the search of one batch finds, without Spark."""
+    import types
+
+    import pyarrow as pa
+
+    block = types.SimpleNamespace(value=decontaminate._item_seeds(items, least))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+    return sorted(r for b in decontaminate._search([batch], block, least) for r in zip(*b.to_pydict().values(), strict=True))
+
+
+def test_decontamination_by_rarest_words_loses_nothing(monkeypatch):
+    """Seeds that many items share: the same passages as with every item followed."""
+    import random
+
+    rng = random.Random(9)
+    opening = "which of the following best describes the main idea of"
+    items = [(k, f"{opening} {' '.join(f'w{rng.randint(0, 60)}' for _ in range(rng.randint(0, 30)))} the the") for k in range(120)]
+    rows = []
+    for k in range(200):
+        w = items[rng.randint(0, 119)][1].split()
+        w = [x if rng.random() > rng.choice((0, 0.1, 0.4)) else f"w{rng.randint(0, 60)}" for x in w]
+        rows.append((k, f"before {' '.join(w)} after {opening if k % 3 else ''} more w{rng.randint(0, 60)}"))
+    got = search(rows, items)
+    monkeypatch.setattr(decontaminate, "HOT_SEED", 10**9)
+    assert got == search(rows, items) and len(got) > 100
+
+
+def test_decontamination_of_a_seed_that_all_items_share():
+    """20,000 items with one opening cost no more than twice what items without it do."""
+    import time
+
+    opening = "which of the following statements is true about"
+    tails = [" ".join(f"t{k}x{j}" for j in range(12)) for k in range(20_000)]
+    texts = [(i, f"some words {opening} and {' '.join(f'u{i}y{j}' for j in range(60))}") for i in range(200)] + [(900, f"{opening} {tails[7]}")]
+    took = []
+    for shared in (False, True):
+        items = [(k, f"{opening} {t}" if shared or k == 7 else f"o{k} p{k} q{k} r{k} {t}") for k, t in enumerate(tails)]
+        import types
+
+        import pyarrow as pa
+
+        block = types.SimpleNamespace(value=decontaminate._item_seeds(items, decontaminate.LEAST))
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], pa.int64()), pa.array([t for _, t in texts], pa.string())], ["doc_id", "text"])
+        began = time.process_time()
+        found = [r for b in decontaminate._search([batch], block, decontaminate.LEAST) for r in zip(*b.to_pydict().values(), strict=True)]
+        took.append(time.process_time() - began)
+        assert [(r[0], r[1]) for r in found] == [(900, 7)]
+    assert took[1] < 2 * took[0] + 0.5
+
+
+def test_decontamination_with_clashing_columns(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"x {item} y", 5, "a", 0.1)], "doc_id long, text string, item long, passage string, score double")
+    bench = spark.createDataFrame([(7, item, 3, True, 2, 4)], "item_id long, text string, item long, named boolean, size int, doc_id int")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 7)]
+    assert decontaminate.drop_contaminated(docs, bench).collect() == []
+
+
+def test_labels_with_clashing_columns(spark, rows):
+    labels = spark.createDataFrame([(i, k % 2, k % 3 == 0, "t", 1.0, 4) for k, (i, _, _) in enumerate(rows)], "doc_id long, quality int, toxic_ boolean, text string, weight double, size int").withColumn("toxic", html_text.F.col("toxic_").cast("int"))
+    docs = documents(spark, rows)
+    assert mixing.mix(docs, mixing.label_weights(labels)).count() == len(rows)
+    assert toxicity.toxicity(docs, toxicity.fit(docs, labels)).count() == len(rows)
+
+
+def test_token_counts_of_texts_without_spaces():
+    """20,000 distinct texts without spaces, long ones among them, in one worker's memory, and long texts in linear memory."""
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path(token_counts.MODEL)
+    own, sp, rng = token_counts.PrefixCounter(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path)), random.Random(3)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(rng.choice((5, 40, 60)))) for _ in range(20_000)]
+    own.count("warm up")
+    tracemalloc.start()
+    counts = [own.count(t) for t in texts]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2 * token_counts.REMEMBERED_BYTES and sum(map(len, own.counts)) <= 48 * len(own.counts)
+    assert counts[:300] == [len(sp.encode(t)) for t in texts[:300]]
+    long = "".join(rng.choice("abcdefghij") for _ in range(30_000))
+    assert own.count(long) == len(sp.encode(long)) and own.at_every_prefix(long[:200]) == [len(sp.encode(long[:k])) for k in range(201)]
+
+
 def test_decontamination_recall_of_edited_copies(spark):
     """Copies with 10 and 20 % of their words changed, against aligning every text with every item."""
     import random
