@@ -80,6 +80,29 @@ def _fit_rows(d) -> DataFrame:
     return post.label(d.fit.withColumn("t", F.col("t") - lag), segs, d.keys)
 
 
+def _aggregated(d, values: list[str]) -> bool:
+    """Whether the segments' fits are Newton steps over sums: logit and log models of scalar columns."""
+    return d.spec.family in ("binomial", "poisson") and not any(d.fit.schema[v].dataType.typeName() == "array" for v in values)
+
+
+def _glm_rows(d, values: list[str]) -> DataFrame:
+    """The labelled rows, written once for the rounds."""
+    from .series import cut
+
+    if not hasattr(d, "_written"):
+        d._written = cut(_fit_rows(d).select(*d.keys, "t", "seg_id", *values), "rows")
+    return d._written
+
+
+def _glm(d, values: list[str]) -> DataFrame:
+    """(keys, seg_id, theta, loss) of every segment."""
+    from .newton import glm_by_segment
+
+    if not hasattr(d, "_fits"):
+        d._fits = glm_by_segment(_glm_rows(d, values), [*d.keys, "seg_id"], values[0], values[1:], d.spec.family)
+    return d._fits
+
+
 def refit(d) -> DataFrame:
     """(keys, seg_id, theta, cost): aggregates for the moment families, one grouped fit per segment for the rest."""
     from .detect import MOMENTS, matrix
@@ -104,6 +127,8 @@ def refit(d) -> DataFrame:
         return stats.join(cost, [*keys, "seg_id"]).select(*keys, "seg_id", theta.alias("theta"), ((F.col("cost") + extra) * scale).alias("cost"))
     rows = _fit_rows(d)
     values = [c for c in d.fit.columns if c not in keys and c != "t"]
+    if _aggregated(d, values):
+        return _glm(d, values).withColumnRenamed("loss", "cost")
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", seg_id int, theta array<double>, cost double"
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
@@ -137,6 +162,13 @@ def residuals(d) -> DataFrame:
         return d.labelled.select(*keys, "t", "seg_id", out.alias("residual"))
     rows = _fit_rows(d)
     values = [c for c in d.fit.columns if c not in keys and c != "t"]
+    if _aggregated(d, values):
+        from .newton import predicted
+
+        fitted = _glm(d, values).alias("f")
+        joined = _glm_rows(d, values).alias("r").join(fitted, [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in [*keys, "seg_id"]])
+        mean = predicted(family, [F.col(f"r.{c}").cast("double") for c in values[1:]], F.col("theta"))[1]
+        return joined.select(*[F.col(f"r.{k}") for k in keys], "r.t", "r.seg_id", (F.col(f"r.{values[0]}").cast("double") - mean).alias("residual"))
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", t long, seg_id int, residual double"
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
