@@ -2,7 +2,7 @@
 
 Spark indexes, lags, ranks and groups; the recursion runs once per series in a grouped Arrow task on the columns it
 needs; trimming, merging and segments are window and join plans again. Series are independent, so the work spreads
-over as many tasks as there are series. One series must fit a task; ``detect_long`` cuts a giant one.
+over as many tasks as there are series. One series must fit a task; ``long.detect_long`` cuts a giant one.
 """
 
 from __future__ import annotations
@@ -296,58 +296,3 @@ def detect_grid(df: DataFrame, series, sort, values, betas: list[float], **optio
         return pa.Table.from_arrays([*names, pa.array([b for b, _ in found], pa.float64()), pa.array([c for _, c in found], pa.int64())], [*keys, "beta", "cp"])
 
     return rows.select(*keys, "t", *own).groupBy(*keys).applyInArrow(solve, _schema(rows, keys).replace("cp long", "beta double, cp long"))
-
-
-def detect_long(df: DataFrame, sort: str, value: str, chunk: int = 100_000, beta: float | None = None, trim: float = 0.0) -> DataFrame:
-    """(cp): change points in the mean of one giant series.
-
-    The recursion runs in parallel on overlapping chunks; what they propose is thinned by recursions over the proposals
-    alone, priced from prefix sums, in regions of 8 and then of 64 chunks. Approximate: a change point must be proposed
-    by its chunk. No task holds more than a chunk's rows or 64 chunks' proposals.
-    """
-    from .series import cut, prefix_sums_global
-
-    spark = df.sparkSession
-    ranked = prefix_sums_global(df.select(sort, F.col(value).cast("double").alias("v"), F.lit(1.0).alias("one"), (F.col(value) * F.col(value)).cast("double").alias("vv")), [sort], ["one", "v", "vv"])
-    rows = ranked.select((F.col("s_one") - 1).cast("long").alias("t"), "v", "s_v", "s_vv")
-    n, = rows.agg(F.count("*")).first()
-    lagged = rows.select("t", "v", F.floor(F.col("t") / chunk).alias("c"))
-    both = lagged.union(lagged.filter(F.col("t") % chunk < chunk // 10).select("t", "v", F.col("c") - 1)).filter("c >= 0")
-    # noise from differences inside chunks
-    from .series import first_diff
-
-    noise = lagged.withColumn("d", first_diff("v", ["c"])).agg(F.sum(F.col("d") * F.col("d")) / (2 * F.count("d"))).first()[0] or 1.0
-    b = penalty.penalty("MBIC", 1, n) if beta is None else float(beta)
-    spec = Spec(family="mean", beta=b, variance_estimate=((noise,),))
-
-    def solve(key: tuple, table: pa.Table) -> pa.Table:
-        start = int(table.column("t").to_numpy().min())
-        return pa.table({"cp": pa.array([start + c for c in spec.solve(matrix(table, ["v"]))], pa.int64())})
-
-    places = rows.select((F.col("t") + 1).alias("at"), "s_v", "s_vv")  # sums of all rows before a place
-    found = both.groupBy("c").applyInArrow(solve, "cp long").distinct()
-
-    def thin(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
-        at, s, q = (table.column(c).to_numpy() / k for c, k in (("at", 1), ("s_v", noise**0.5), ("s_vv", noise)))
-
-        def cost(start, end):
-            length = at[end] - at[start]
-            return ((q[end] - q[start]) - (s[end] - s[start]) ** 2 / length) / 2 + np.log(length) / 2
-
-        chosen = at[partition(len(at) - 1, b, cost, slack=lambda start, end: np.log(n) / 2)]
-        return pa.table({"cp": pa.array(chosen.astype(np.int64))})
-
-    # regions of several chunks, then of many, choose again among what was proposed inside them; a region's borders
-    # are no change points, so one proposed just there stays as it is
-    for width in (8 * chunk, 64 * chunk):
-        marked = cut(places.join(found.select(F.col("cp").alias("at")), "at", "left_semi"), "proposals")
-        borders = places.filter((F.col("at") % width == 0) | (F.col("at") == n)).union(spark.createDataFrame([(0, 0.0, 0.0)], places.schema))
-        region = F.floor((F.col("at") - 1) / width)
-        inner = marked.filter((F.col("at") % width != 0) & (F.col("at") < n)).withColumn("g", region)
-        ends = borders.withColumn("g", region).filter("at > 0").union(borders.filter(F.col("at") < n).withColumn("g", F.floor(F.col("at") / width)))
-        chosen = inner.union(ends).groupBy("g").applyInArrow(thin, "cp long")
-        found = chosen.union(marked.filter((F.col("at") % width == 0) & (F.col("at") < n)).select(F.col("at").alias("cp")))
-        if width >= n:
-            break
-    return found.filter((F.col("cp") > trim * n) & (F.col("cp") < (1 - trim) * n))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs, penalty
 from ..operators import detect as D
+from ..operators import long as L
 from ..operators import metrics as M
 from ..operators import post, ranks, segments, series, views
 from ..sources import generators
@@ -422,7 +423,7 @@ def detect_generated(spark, sf):
 
 def long_series(spark, sf):
     rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), (F.col("l_quantity") + F.when(F.col("l_orderkey") % 3000 >= 1500, 30).otherwise(0)).alias("v"))
-    return D.detect_long(rows.groupBy("at").agg(F.avg("v").alias("v")), "at", "v", chunk=5_000)
+    return L.detect_long(rows.groupBy("at").agg(F.avg("v").alias("v")), "at", "v", chunk=5_000)
 
 
 def _custom(segment) -> float:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, ranks
+from ..operators import long as L
 from .catalog import EVENTS, events, read
 
 LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
@@ -47,7 +48,23 @@ def garch_variances_of_events(spark, sf):
     return filters.garch_variances(rows, ["k"], ["t"], "v", OMEGA, [ALPHA], [BETA]).select("k", "t", F.round("variance", 6).alias("variance"))
 
 
-QUERIES: dict = {"arma_residuals_of_lines": arma_residuals_of_lines, "garch_variances_of_events": garch_variances_of_events, "rank_of_lines": rank_of_lines, "rank_of_lines_by_flag": rank_of_lines_by_flag, "auc_of_lines": auc_of_lines, "median_distance_of_customers": median_distance_of_customers}
+def _lines_at(spark, sf):
+    return read(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at")).agg(F.avg("l_quantity").alias("q"), F.avg("l_extendedprice").alias("price"))
+
+
+def long_series_variance(spark, sf):
+    """Quantities of all lines as one series, four times as spread in every other run of 1,500 orders."""
+    wide = F.when(F.col("at") % 24_000 >= 12_000, 4.0).otherwise(1.0)
+    return L.detect_long(_lines_at(spark, sf).select("at", ((F.col("q") - 25) * wide).alias("v")), "at", "v", family="variance", chunk=5_000)
+
+
+def long_series_lm(spark, sf):
+    """Price on quantity over all lines as one series, half as dear in every other run of 1,500 orders."""
+    cheap = F.when(F.col("at") % 24_000 >= 12_000, 0.5).otherwise(1.0)
+    return L.detect_long(_lines_at(spark, sf).select("at", "q", (F.col("price") / 1000 * cheap).alias("v")), "at", "v", "q", "lm", chunk=5_000)
+
+
+QUERIES: dict = {"long_series_variance": long_series_variance, "long_series_lm": long_series_lm, "arma_residuals_of_lines": arma_residuals_of_lines, "garch_variances_of_events": garch_variances_of_events, "rank_of_lines": rank_of_lines, "rank_of_lines_by_flag": rank_of_lines_by_flag, "auc_of_lines": auc_of_lines, "median_distance_of_customers": median_distance_of_customers}
 
 #: The residual's recursion written out: powers of the coefficient over the rows before, to the 45th.
 RESIDUAL = " + ".join(f"{(-MA) ** k!r} * coalesce(lag(u, {k}) OVER w, 0)" for k in range(46))

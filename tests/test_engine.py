@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from breakline.functions import costs, fits, penalty
 from breakline.functions.partition import calibrate, partition
 from breakline.operators import detect as D
+from breakline.operators import long as L
 from breakline.operators import post
 from breakline.operators.detect import Spec
 from breakline.sources import generators
@@ -250,7 +251,7 @@ def test_segments_and_parameters(spark):
 def test_long_series_finds_planted_changes(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(0, 1, 6000) + 3 * (np.arange(6000) >= 2500) - 2 * (np.arange(6000) >= 4400)
-    found = sorted(r.cp for r in D.detect_long(from_matrix(spark, x), "t", "v0", chunk=1000).collect())
+    found = sorted(r.cp for r in L.detect_long(from_matrix(spark, x), "t", "v0", chunk=1000).collect())
     assert len(found) == 2 and abs(found[0] - 2500) <= 3 and abs(found[1] - 4400) <= 3
 
 
