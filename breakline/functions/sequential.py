@@ -79,6 +79,61 @@ def glm_partition(family: str, y: np.ndarray, x: np.ndarray, beta: float, vanill
     return trace(back, n)
 
 
+def custom_partition(x: np.ndarray, cost, gradient, hessian, p: int, beta: float, count: int = 10, delta: float = 0.0, bound: float = 20.0) -> list[int]:
+    """Change points under a user's cost by sequential gradients.
+
+    ``cost(rows, theta)`` is a segment's, ``gradient(rows, theta)`` and ``hessian(rows, theta)`` those of its last row. Each
+    candidate's theta moves by one Newton step a row, its segment is priced at the mean of its thetas, and starts from the
+    fit of its bucket of rows. Thetas stay within ``bound``.
+    """
+    n, bucket, initial, eye = len(x), buckets(len(x), count), np.zeros((count, p)), np.eye(p)
+    for b in range(count):
+        own = np.flatnonzero(bucket == b)
+        if len(own) >= p:
+            theta, best = np.zeros(p), float(cost(x[own], np.zeros(p)))
+            for _ in range(100):
+                each = [x[i : i + 1] for i in own]
+                g, h = sum(np.asarray(gradient(r, theta), float) for r in each), sum(np.asarray(hessian(r, theta), float) for r in each)
+                step, damp = None, fits.RIDGE
+                for _ in range(12):
+                    step = np.linalg.solve(h + damp * (1 + np.trace(h)) * eye, g)
+                    new = float(cost(x[own], theta - step))
+                    if new <= best:
+                        break
+                    damp *= 10
+                else:
+                    break
+                theta, gain, best = theta - step, best - new, new
+                if np.abs(step).max() < 1e-6 or gain < 1e-6 * (1 + new):
+                    break
+            initial[b] = np.clip(theta, -bound, bound)
+    total, back = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    total[0] = -beta
+    starts, theta, sums = [0], [initial[0]], [initial[0].copy()]
+    second = [np.asarray(hessian(x[:1], initial[0]), float)]
+    for t in range(1, n + 1):
+        price = np.zeros(len(starts))
+        for i, a in enumerate(starts[: len(starts) - (1 if t > 1 else 0)]):
+            rows = x[a:t]
+            second[i] = second[i] + np.asarray(hessian(rows, theta[i]), float)
+            theta[i] = np.clip(theta[i] - np.linalg.solve(second[i] + EPSILON * eye, np.asarray(gradient(rows, theta[i]), float)), -bound, bound)
+            sums[i] = sums[i] + theta[i]
+            if t - a >= p - 1:
+                price[i] = cost(rows, np.clip(sums[i] / (t - a), -bound, bound))
+        value = total[starts] + price
+        best = int(np.argmin(value))
+        total[t], back[t] = value[best] + beta, starts[best]
+        keep = [i for i in range(len(starts)) if i == best or value[i] <= total[t] - delta]
+        starts, theta, sums, second = ([v[i] for i in keep] for v in (starts, theta, sums, second))
+        if t < n:
+            first = initial[bucket[t]]
+            starts.append(t)
+            theta.append(first)
+            sums.append(first.copy())
+            second.append(np.asarray(hessian(x[t : t + 1], first), float))
+    return trace(back, n)
+
+
 def lasso_noise(y: np.ndarray, x: np.ndarray, count: int = 10) -> tuple[float, float]:
     """Mean noise and mean number of active predictors over the buckets' cross-validated fits."""
     bucket, sigma, active = buckets(len(y), count), np.zeros(count), np.zeros(count)

@@ -33,7 +33,9 @@ class Spec:
     ``pruning``: "exact" keeps every start that may still win, so the moment families' sums are least (unless rows are
     collinear to 1e-11 over long stretches, where a floor takes the determinant's place); "plain" is the rule without
     the allowance for length terms and widened segments, which can lose a better partition. ``pruning_coef`` is
-    subtracted from the allowance. ``short``: how meanvariance prices one row of one column, "widen" or "floor" (see
+    subtracted from the allowance. ``cost(rows)`` prices a segment of a custom family; with ``cost_gradient`` and
+    ``cost_hessian`` (of a segment's last row) it is ``cost(rows, theta)`` of ``p`` parameters, found by sequential
+    gradients. ``short``: how meanvariance prices one row of one column, "widen" or "floor" (see
     ``costs.Moment``).
     """
 
@@ -58,6 +60,8 @@ class Spec:
     seed: int = 0
     target: int | None = None
     cost: object = field(default=None, compare=False)
+    cost_gradient: object = field(default=None, compare=False)
+    cost_hessian: object = field(default=None, compare=False)
 
     def __post_init__(self):
         if self.family not in FAMILIES:
@@ -70,6 +74,8 @@ class Spec:
             raise ValueError(f"{self.family} needs an order (p, q)")
         if self.family == "custom" and self.cost is None:
             raise ValueError("a custom family needs a cost")
+        if (self.cost_gradient is None) != (self.cost_hessian is None) or self.cost_gradient is not None and not self.p:
+            raise ValueError("a gradient and a Hessian of a cost go together, with the number p of parameters")
         if self.pruning not in ("exact", "plain"):
             raise ValueError("pruning must be exact or plain")
         if self.short not in ("widen", "floor"):
@@ -97,7 +103,7 @@ class Spec:
         n, d = x.shape
         if not isinstance(self.beta, str):
             return float(self.beta)
-        if self.family in ("rank", "rbf", "custom"):
+        if self.family in ("rank", "rbf", "custom") and self.cost_gradient is None:
             return 50.0
         responses = self._responses(d)
         pairs = tuple(self.order) + (0,) * (2 - len(self.order)) if self.order else (0, 0)
@@ -150,6 +156,8 @@ class Spec:
             return lambda beta: partition(n, beta, costs.Rank(x, self.min_segment_length))
         if f == "rbf":
             return lambda beta: partition(n, beta, costs.Kernel(x, self.gamma, self.feature_dim, self.seed, self.min_segment_length))
+        if self.cost_gradient is not None:
+            return lambda beta: sequential.custom_partition(x, self.cost, self.cost_gradient, self.cost_hessian, self.p, beta, self.segment_count)
         return lambda beta: partition(n, beta, costs.Custom(x, self.cost, self.min_segment_length or 1))
 
 

@@ -277,6 +277,47 @@ def test_sql_table_function(spark):
     assert abs(spark.sql("SELECT penalty_bic(2, 100) AS p").first().p - np.log(100)) < 1e-9
 
 
+def test_polymorphic_table_function(spark):
+    """Two keys of different types, two value columns, options by name: what ``detect`` finds."""
+    from breakline.functions.sql import register
+
+    register(spark)
+    rng = np.random.default_rng(4)
+    rows = [(s, i, t, float(rng.normal(5 * (t >= 30 + 10 * i), 1 + 3 * (t >= 50))), float(rng.normal()), 9) for s in ("a", "b") for i in (1, 2) for t in range(80)]
+    df = spark.createDataFrame(rows, "shop string, item int, day long, sold double, price double, extra int")
+    df.repartition(3).createOrReplaceTempView("shops")
+    for family, values, more, options in (("mean", "sold, price", "", {}), ("variance", "sold", ", beta => 4.0, trim => 0.0", {"beta": 4.0}), ("ar", "sold", ", order => '1'", {"order": (1,)}), ("rank", "sold, price", ", beta => 6", {"beta": 6.0}), ("meanvariance", "sold", ", beta => 'BIC', pruning => 'plain'", {"beta": "BIC", "pruning": "plain"})):
+        got = spark.sql(f"SELECT * FROM detect_changes(TABLE(shops), series => 'shop, item', sort => 'day', value => '{values}', family => '{family}'{more})")
+        assert [f.dataType.simpleString() for f in got.schema] == ["string", "int", "bigint"]
+        want = D.detect(df, ["shop", "item"], "day", values.split(", "), family=family, **options).raw_change_points
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), family
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM detect_changes(TABLE(shops), series => 'nope', sort => 'day', value => 'sold')").collect()
+
+
+def test_custom_gradients_equal_the_built_in_family():
+    """A logit cost given as functions finds what the sequential logit family finds."""
+
+    def logit(rows, theta):
+        u = np.clip(np.column_stack([np.ones(len(rows)), rows[:, 1:]]) @ theta, -500, 500)
+        return float((np.logaddexp(0, u) - rows[:, 0] * u).sum())
+
+    def gradient(rows, theta):
+        z = np.r_[1.0, rows[-1, 1:]]
+        return -(rows[-1, 0] - 1 / (1 + np.exp(-np.clip(z @ theta, -500, 500)))) * z
+
+    def hessian(rows, theta):
+        z = np.r_[1.0, rows[-1, 1:]]
+        mu = 1 / (1 + np.exp(-np.clip(z @ theta, -500, 500)))
+        return mu * (1 - mu) * np.outer(z, z)
+
+    x = logistic()[100:400]
+    own = Spec("custom", cost=logit, cost_gradient=gradient, cost_hessian=hessian, p=3, beta=8.0).solve(x)
+    assert own == Spec("binomial", vanilla_percentage=0.0, beta=8.0).solve(x) and own
+    with pytest.raises(ValueError):
+        Spec("custom", cost=logit, cost_gradient=gradient, p=3)
+
+
 def test_online(spark, tmp_path):
     from breakline.streaming.online import online_mean
 
