@@ -52,8 +52,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     doc_ids are separate rows with one key; ties of the key go by doc_id, then by row. The last document that fits a
     target in part gives that many words. An empty table gives no rows.
     """
-    rows, row = numbered(docs.select("doc_id", "source", "text"))
-    return planned(rows.withColumnRenamed(row, "rid"), quality, weights, share, most, seed).drop("rid")
+    rows, row = numbered(docs)
+    return planned(rows.select(F.col(row).alias("rid"), "doc_id", "source", "text"), quality, weights, share, most, seed).drop("rid")
 
 
 def planned(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
