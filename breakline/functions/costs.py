@@ -239,9 +239,9 @@ class Rank:
 class Kernel:
     """Gaussian kernel by random Fourier features; gamma from the median squared distance where it is not given."""
 
-    def __init__(self, x: np.ndarray, gamma: float | None = None, features: int = 256, seed: int = 0, min_length: int = 2):
+    def __init__(self, x: np.ndarray, gamma: float | None = None, features: int = 256, seed: int = 0, min_length: int = 2, most: int = 10_000):
         if gamma is None:
-            gamma = 1 / max(median_distance(x), 1e-12)
+            gamma = 1 / max(median_distance(x, most), 1e-12)
         rng = np.random.default_rng(seed)
         w = rng.normal(0, np.sqrt(2 * gamma), (features, x.shape[1]))
         b = rng.uniform(0, 2 * np.pi, features)

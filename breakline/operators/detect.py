@@ -35,7 +35,9 @@ class Spec:
     the allowance for length terms and widened segments, which can lose a better partition. ``pruning_coef`` is
     subtracted from the allowance. ``cost(rows)`` prices a segment of a custom family; with ``cost_gradient`` and
     ``cost_hessian`` (of a segment's last row) it is ``cost(rows, theta)`` of ``p`` parameters, found by sequential
-    gradients. ``short``: how meanvariance prices one row of one column, "widen" or "floor" (see
+    gradients. ``vanilla_percentage`` is the share of a regression's rows that are fitted exactly, before sequential
+    gradients go on: 0 to 1, or "auto" (all up to 200 rows, half up to 500, none beyond). rbf without ``gamma`` takes its
+    bandwidth from the median distance of at most ``bandwidth_rows`` rows, drawn beyond that. ``short``: how meanvariance prices one row of one column, "widen" or "floor" (see
     ``costs.Moment``).
     """
 
@@ -44,7 +46,7 @@ class Spec:
     cost_adjustment: str | None = "MBIC"
     trim: float = 0.02
     order: tuple[int, ...] = ()
-    vanilla_percentage: float | str | None = None
+    vanilla_percentage: float | str = 0.0
     segment_count: int = 10
     pruning_coef: float = 0.0
     prune_delta: bool = False
@@ -57,6 +59,7 @@ class Spec:
     min_segment_length: int | None = None
     gamma: float | None = None
     feature_dim: int = 256
+    bandwidth_rows: int = 10_000
     seed: int = 0
     target: int | None = None
     cost: object = field(default=None, compare=False)
@@ -123,7 +126,7 @@ class Spec:
 
     def _vanilla(self, n: int) -> float:
         v = self.vanilla_percentage
-        return penalty.vanilla(n, self.family) if v in (None, "auto") else float(v)
+        return penalty.vanilla(n, self.family) if v == "auto" else float(v)
 
     def _runner(self, x: np.ndarray):
         n, d = x.shape
@@ -155,7 +158,7 @@ class Spec:
         if f == "rank":
             return lambda beta: partition(n, beta, costs.Rank(x, self.min_segment_length))
         if f == "rbf":
-            return lambda beta: partition(n, beta, costs.Kernel(x, self.gamma, self.feature_dim, self.seed, self.min_segment_length))
+            return lambda beta: partition(n, beta, costs.Kernel(x, self.gamma, self.feature_dim, self.seed, self.min_segment_length, self.bandwidth_rows))
         if self.cost_gradient is not None:
             return lambda beta: sequential.custom_partition(x, self.cost, self.cost_gradient, self.cost_hessian, self.p, beta, self.segment_count)
         return lambda beta: partition(n, beta, costs.Custom(x, self.cost, self.min_segment_length or 1))

@@ -466,7 +466,7 @@ QUERIES: dict = {
     "pelt_mean": _detect("mean"), "pelt_mean_bic": _detect("mean", beta="BIC", cost_adjustment=None), "pelt_variance": _detect("variance", beta=1.0), "pelt_variance_plain": _detect("variance", beta=1.0, pruning="plain"), "pelt_lm_one": regression("lm", ("x1",)), "pelt_meanvariance": _detect("meanvariance"), "detect_mean": flagship,
     "pelt_rank": _detect("rank", beta=5.0), "pelt_rbf": _detect("rbf", beta=3.0), "pelt_custom": _detect("custom", beta=200.0, cost=_custom), "pelt_target": _detect("mean", target=2), "pelt_ar": _waves("ar", order=(1,)), "pelt_arma": _waves("arma", order=(1, 1)), "pelt_garch": garch_months,
     "pelt_var": lambda spark, sf: D.detect(months(spark, sf).withColumn("w", F.col("t") % 7 + F.col("v") / 10), "k", "t", ["v", "w"], family="var", order=(1,)).raw_change_points,
-    "pelt_lm": regression("lm"), "pelt_binomial": regression("binomial"), "pelt_poisson": regression("poisson"), "pelt_lasso": regression("lasso"), "segd_binomial": regression("binomial", vanilla_percentage=0.0), "segd_poisson": regression("poisson", vanilla_percentage=0.5), "segd_lasso": regression("lasso", vanilla_percentage=0.0),
+    "pelt_lm": regression("lm"), "pelt_binomial": regression("binomial", vanilla_percentage=1.0), "pelt_poisson": regression("poisson", vanilla_percentage=1.0), "pelt_lasso": regression("lasso", vanilla_percentage=1.0), "segd_binomial": regression("binomial", vanilla_percentage=0.0), "segd_poisson": regression("poisson", vanilla_percentage=0.5), "segd_lasso": regression("lasso", vanilla_percentage=0.0),
     "beta_grid": grid, "long_series": long_series,
     "trim_open": trim_open, "trim_closed": trim_closed, "merge_runs": merge_runs, "merge_pairs": merge_pairs, "min_length": min_length, "segments_from_cps": segments_from_cps, "label_rows": label_rows, "segment_lengths": segment_lengths, "detection_view": detection_view, "unmatched": unmatched, "annotator_view": annotator_view, "union_of_annotators": union_of_annotators, "metric_comparison": metric_comparison,
     "hausdorff": hausdorff, "rand_index": rand_index, "nearest": nearest, "tolerance_pairs": tolerance_pairs, "precision_recall": precision_recall, "f_beta": f_beta, "margin_sweep": margin_sweep, "annotation_error": annotation_error, "covering": covering, "evaluate_all": evaluate_all,
