@@ -100,6 +100,10 @@ class Linear:
     def residual(self, start: np.ndarray, end: int) -> np.ndarray:
         g, c = self.xx[end] - self.xx[start], self.xy[end] - self.xy[start]
         out = np.full((len(start), self.q, self.q), np.nan)
+        if self.p == 1:  # one number for a matrix
+            fit = g[:, 0, 0] > 0
+            out[fit] = (self.yy[end] - self.yy[start])[fit] - np.swapaxes(c[fit], 1, 2) @ c[fit] / g[fit]
+            return out
         scale = np.maximum(np.einsum("kii->k", g) / self.p, 1e-300)
         fit = np.linalg.cond(g / scale[:, None, None]) < 1e12
         if fit.any():

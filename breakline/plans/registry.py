@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, long, recursions, sums
+from . import catalog, found, long, recursions, sums
 
-QUERIES: dict = {**catalog.QUERIES, **recursions.QUERIES, **long.QUERIES, **sums.QUERIES}
-SQL: dict = {**catalog.SQL, **recursions.SQL, **long.SQL, **sums.SQL}
+QUERIES: dict = {**catalog.QUERIES, **recursions.QUERIES, **long.QUERIES, **sums.QUERIES, **found.QUERIES}
+SQL: dict = {**catalog.SQL, **recursions.SQL, **long.SQL, **sums.SQL, **found.SQL}
