@@ -140,7 +140,8 @@ class Spec:
             y, z = (x[:, :r], x[:, r:]) if f != "mgaussian" or self.p_response < d else (x, np.ones((n, 1)))
             sigma = costs.noise(y, z) if f in ("var", "mgaussian") or r > 1 else None
             cost = costs.Linear(y, z, sigma)
-            return lambda beta: partition(n, beta, cost)
+            # short segments cost nothing, which is more than the others may cost once the noise has a determinant
+            return lambda beta: partition(n, beta, cost, least=cost.p + 1 if sigma is not None and self.pruning == "exact" else 1)
         if f in ("binomial", "poisson"):
             if (v := self._vanilla(n)) < 1:
                 delta = 0.1 * np.log(n) if self.prune_delta and n > 100 else 0.0
@@ -156,9 +157,11 @@ class Spec:
             least = make(x[:, 0], *self.order, self.trim).least
             return lambda beta: partition(n, beta, make(x[:, 0], *self.order, self.trim), first=least)
         if f == "rank":
-            return lambda beta: partition(n, beta, costs.Rank(x, self.min_segment_length))
+            cost = costs.Rank(x, self.min_segment_length)
+            return lambda beta: partition(n, beta, cost, least=cost.least if self.pruning == "exact" else 1)
         if f == "rbf":
-            return lambda beta: partition(n, beta, costs.Kernel(x, self.gamma, self.feature_dim, self.seed, self.min_segment_length, self.bandwidth_rows))
+            cost = costs.Kernel(x, self.gamma, self.feature_dim, self.seed, self.min_segment_length, self.bandwidth_rows)
+            return lambda beta: partition(n, beta, cost, least=cost.least if self.pruning == "exact" else 1)
         if self.cost_gradient is not None:
             return lambda beta: sequential.custom_partition(x, self.cost, self.cost_gradient, self.cost_hessian, self.p, beta, self.segment_count)
         return lambda beta: partition(n, beta, costs.Custom(x, self.cost, self.min_segment_length or 1))

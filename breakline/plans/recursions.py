@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect as D
 from ..operators import series
-from . import catalog
+from . import catalog, sums
 
 #: The least sum of prices plus {beta} for each change point; {beta} may use n.
 LEAST = """li AS (SELECT k, e, any_value(n) AS n, list(cost ORDER BY s) AS cl FROM pc GROUP BY k, e),
@@ -65,6 +65,8 @@ QUERIES: dict = {
     "pelt_meanvariance_two": pair_detect("meanvariance"),
     "pelt_rank_two": pair_detect("rank", beta=8.0),
     "pelt_meanvariance_floor": catalog._detect("meanvariance", short="floor"),
+    "pelt_mgaussian": pair_detect("mgaussian", p_response=2),
+    "pelt_ma": catalog._waves("arma", order=(0, 1)),
 }
 
 PAIR = {"v": "v", "w": "w", "vv": "v * v", "vw": "v * w", "ww": "w * w"}
@@ -89,3 +91,8 @@ SQL: dict = {
 }
 #: The rank's quadratic form needs the series' matrix beside the sums.
 SQL["pelt_rank_two"] = least(f"{PAIR_MONTHS}, {RANKS}", priced("q0", {"v": "v", "w": "w"}, "CASE WHEN m < 3 THEN 0.0 ELSE -(v * v * cc - 2 * v * w * cb + w * w * ca) / (m * (ca * cc - cb * cb)) END").replace("b.w - a.w AS w FROM sg", "b.w - a.w AS w, q2.a AS ca, q2.b AS cb, q2.c AS cc FROM sg JOIN q2 ON q2.k = sg.k"), "8.0")
+
+#: Least squares on two predictors; the penalty is scaled by the noise of slopes of neighbouring blocks.
+_PLANTED = sums.MONTHLY.replace("sum(floor(l_extendedprice)) / count(*) / 1000 AS y", "sum(floor(l_extendedprice)) / count(*) / 1000 + CASE WHEN row_number() OVER (PARTITION BY l_returnflag ORDER BY date_trunc('month', l_shipdate)) - 1 >= 15 THEN 40.0 ELSE 0.0 END AS y")
+_GRAM = {"xx": "x1 * x1", "xz": "x1 * x2", "zz": "x2 * x2", "xc": "x1 * y", "zc": "x2 * y", "yy": "y * y"}
+SQL["pelt_lm"] = least(f"{_PLANTED}, s0 AS ({sums.noise_of(2)})", priced("y", _GRAM, "CASE WHEN m < 3 THEN 0.0 ELSE (yy - (zz * xc * xc - 2 * xz * xc * zc + xx * zc * zc) / (xx * zz - xz * xz)) / 2 END"), "2 * ln(n) * noise", "JOIN s0 USING (k)")

@@ -63,8 +63,8 @@ MONTHLY = "y AS (SELECT l_returnflag AS k, row_number() OVER (PARTITION BY l_ret
 LINES = "y0 AS (SELECT l_returnflag AS k, l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE AS x1, round(l_discount * 100)::DOUBLE AS x2, floor(l_extendedprice / 1000)::DOUBLE AS y FROM lineitem), y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY l_orderkey, l_linenumber, l_partkey, x1, x2, y) - 1 AS t FROM y0)"
 
 
-def _noise_sql(source: str, p: int) -> str:
-    """Blocks of p + 1 rows and their neighbours, solved in closed form for one or two columns."""
+def noise_of(p: int, digits: int | None = None) -> str:
+    """(k, noise) of table ``y``: blocks of p + 1 rows and their neighbours, solved in closed form for one or two columns."""
     x = [f"x{i + 1}" for i in range(p)]
     grams = [(i, j) for i in range(p) for j in range(i, p)]
     sums = ", ".join([f"sum({x[i]} * {x[j]}) OVER {f} AS {f}g{i}{j}" for f in "am" for i, j in grams] + [f"sum({x[i]} * y) OVER a AS ac{i}" for i in range(p)])
@@ -77,9 +77,14 @@ def _noise_sql(source: str, p: int) -> str:
     between = " + ".join(inv[s][i][i] for s in "ab" for i in range(p)) + f" - 2 * ({crossed})"
     apart = " + ".join(f"({slope['a'][i]} - {slope['b'][i]}) * ({slope['a'][i]} - {slope['b'][i]})" for i in range(p))
     w = "PARTITION BY k ORDER BY t"
-    return f"""WITH {source}, g AS (SELECT k, t, {sums}, lead(t, {p + 1}) OVER w AS ahead FROM y WINDOW w AS ({w}), a AS ({w} ROWS BETWEEN CURRENT ROW AND {p} FOLLOWING), m AS ({w} ROWS BETWEEN 1 FOLLOWING AND {p} FOLLOWING)),
+    noise = "avg(e) FILTER (isfinite(e))"
+    return f"""WITH g AS (SELECT k, t, {sums}, lead(t, {p + 1}) OVER w AS ahead FROM y WINDOW w AS ({w}), a AS ({w} ROWS BETWEEN CURRENT ROW AND {p} FOLLOWING), m AS ({w} ROWS BETWEEN 1 FOLLOWING AND {p} FOLLOWING)),
         h AS (SELECT *, {nexts} FROM g WINDOW w AS ({w})), e AS (SELECT k, ({apart}) / ({between}) AS e FROM h WHERE ahead IS NOT NULL)
-        SELECT k, round(avg(e) FILTER (isfinite(e)), 4) AS noise FROM e GROUP BY k"""
+        SELECT k, {noise if digits is None else f"round({noise}, {digits})"} AS noise FROM e GROUP BY k"""
+
+
+def _noise_sql(source: str, p: int) -> str:
+    return f"WITH {source}, found AS ({noise_of(p, 4)}) SELECT * FROM found"
 
 
 SQL: dict = {

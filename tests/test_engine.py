@@ -333,3 +333,45 @@ def test_online(spark, tmp_path):
         q.stop()
     found = spark.sql("SELECT position FROM online").collect()
     assert len(found) == 1 and abs(found[0].position - 150) <= 3
+
+
+@pytest.mark.parametrize("family", ["lm", "var", "rbf", "rank", "binomial", "poisson", "lasso", "mgaussian"])
+def test_pruning_of_the_other_families_loses_nothing(family):
+    """The sum of costs that the recursion finds against the recursion without pruning, at small and default penalties."""
+    from breakline.functions import sequential
+
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        n = 50
+        x = rng.normal(size=(n, 2))
+        u = x @ [1.5, -1.0] * np.where(np.arange(n) < 25, 1, -1)
+        y = {"binomial": (rng.random(n) < 1 / (1 + np.exp(-2 * u))).astype(float), "poisson": rng.poisson(np.exp(np.clip(u, -2, 2))).astype(float)}.get(family, u + 0.3 * rng.normal(size=n))
+        walk = np.cumsum(rng.normal(size=(n + 1, 2)), 0) * 0.3
+        lagged = np.column_stack([walk[1:], walk[:-1]])
+        make, first, newest = {
+            "lm": (lambda: costs.Linear(y, x), 1, 1), "var": (lambda: costs.Linear(lagged[:, :2], lagged[:, 2:], costs.noise(lagged[:, :2], lagged[:, 2:])), 1, 1),
+            "rbf": (lambda: costs.Kernel(np.column_stack([u])), 1, 1), "rank": (lambda: costs.Rank(np.argsort(np.argsort(x, 0), 0) + 1.0), 1, 1), "binomial": (lambda: costs.regression("binomial", y, x), 1, 1), "poisson": (lambda: costs.regression("poisson", y, x), 1, 1),
+            "lasso": (lambda: costs.lasso(y, x, sequential.lasso_noise(y, x)[0], 0.05), 2, 2), "mgaussian": (lambda: costs.Linear(x, np.ones((n, 1)), costs.noise(x, np.ones((n, 1)))), 1, 1),
+        }[family]
+        for beta in (1.0, 6.0):
+            short = {"var": 3, "mgaussian": 2, "rank": 3, "rbf": 2}.get(family, 1)
+            found, every = partition(n, beta, make(), first=first, newest=newest, least=short), unpruned_of(n, beta, make(), first, newest)
+            fresh = lambda a, b: make()(np.array([a]), b)[0]  # noqa: B023, E731
+            price = lambda cps: sum(fresh(a, b) for a, b in zip([0, *cps], [*cps, n], strict=True)) + beta * len(cps)  # noqa: B023, E731
+            assert price(found) <= price(every) + 1e-3, (seed, beta, found, every)
+
+
+def unpruned_of(n, beta, cost, first, newest):
+    """The recursion over all starts, with the rule for the newest one."""
+    total, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    total[0] = -beta
+    for end in range(first, n + 1):
+        starts = np.array([s for s in range(end) if s <= end - newest and (s == 0 or s >= first)])
+        value = total[starts] + cost(starts, end) + beta
+        total[end], back[end] = np.nanmin(value), starts[int(np.nanargmin(value))]
+    out, at = [], n
+    while at > 0:
+        at = int(back[at])
+        if at:
+            out.append(at)
+    return out[::-1]
