@@ -25,10 +25,20 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Memory bounds of a worker, without effect on counts: longest piece of text whose count is remembered (a text without
 #: spaces is one piece), bytes of remembered pieces with what each entry takes, and remembered pairs of tokens.
-REMEMBERED_LENGTH, REMEMBERED_BYTES, ENTRY_BYTES = 48, 80_000_000, 160
+REMEMBERED_LENGTH, REMEMBERED_BYTES, ENTRY_BYTES = 48, 240_000_000, 160
 REMEMBERED_PAIRS = 300_000
 
 
+class Ring(list):
+    """The latest of many entries by their place."""
+
+    def __getitem__(self, i):
+        return super().__getitem__(i % len(self))
+
+    def __setitem__(self, i, value):
+        super().__setitem__(i % len(self), value)
+
+
 class PrefixCounter:
     """Counts of a sentencepiece BPE model with byte fallback, dummy prefix and identity normalisation."""
 
@@ -60,10 +70,13 @@ class PrefixCounter:
             out[best : best + 2] = [out[best] + out[best + 1]]
         return out
 
-    def prefixes(self, piece: str) -> array:
+    def prefixes(self, piece: str) -> list[int] | array:
         """Token counts of piece[:0], piece[:1], ..., piece[:n]."""
-        rank, ends, tokens, pairs, n, ring = self.rank, self.ends, self.tokens, self.pairs, len(piece), self.longest + 1
-        count, last = array("q", bytes(8 * (n + 1))), [""] * ring  # last tokens of as many prefixes as a token can span
+        rank, ends, tokens, pairs, n = self.rank, self.ends, self.tokens, self.pairs, len(piece)
+        if n <= REMEMBERED_LENGTH:
+            count, last = [0] * (n + 1), [""] * (n + 1)
+        else:  # last tokens of as many prefixes as a token can span
+            count, last = array("q", bytes(8 * (n + 1))), Ring([""] * (self.longest + 1))
         for j in range(1, n + 1):
             i, found = j - 1, []
             token = piece[i:j]
@@ -78,14 +91,14 @@ class PrefixCounter:
                 found.append((j - 1, piece[j - 1]))
             for i, token in reversed(found):
                 if i:
-                    pair = last[i % ring], token
+                    pair = last[i], token
                     if (fits := pairs.get(pair)) is None:
                         if len(pairs) >= REMEMBERED_PAIRS:
                             pairs.clear()
                         fits = pairs[pair] = self.encode(pair[0] + token) == [*pair]
                     if not fits:
                         continue
-                last[j % ring] = token
+                last[j] = token
                 count[j] = count[i] + (1 if token in rank else self.cost(token))
                 break
         return count
@@ -119,7 +132,7 @@ class PrefixCounter:
         out, total = [0], 0
         for p in self.split(text):
             own = self.prefixes(p)
-            out += [total + c for c in own[1:].tolist()]
+            out += [total + c for c in own[1:]]
             total += own[-1]
         return [0, *out[2:]] if text else [0]  # the first entry belongs to the dummy prefix
 
