@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import detect as D
 from ..operators import metrics as M
 from ..operators import pairs, post, series, views
+from ..sources import generators
 from . import catalog, recursions
 from .catalog import KEY, months
 
@@ -86,7 +87,13 @@ def found_view(spark, sf):
     return views.detection_view(months(spark, sf), post.segments(pred, n, KEY), KEY, ["v"])
 
 
-QUERIES: dict = {f.__name__: f for f in (found_matches, found_closest_pairs, found_precision_recall, found_margin_sweep, found_annotation_error, found_hausdorff, found_rand_index, found_unmatched, found_nearest, found_trimmed, found_merged, found_segments, found_view)}
+def found_noisy_annotations(spark, sf):
+    """Four annotators who see nine of ten found points, some rows off."""
+    true, _, _ = sides(spark, sf)
+    return views.annotator_view(generators.annotation_noise(true, KEY, 4, 0.9, 2.0, 1), KEY)
+
+
+QUERIES: dict = {f.__name__: f for f in (found_matches, found_closest_pairs, found_precision_recall, found_margin_sweep, found_annotation_error, found_hausdorff, found_rand_index, found_unmatched, found_nearest, found_trimmed, found_merged, found_segments, found_view, found_noisy_annotations)}
 
 _TRUE = recursions.least(f"{catalog.MONTHS}, {catalog.NOISE}, y AS (SELECT e.k, t, v / sqrt(s2) AS v FROM e JOIN r USING (k))", recursions.priced("y", recursions.ONE, "(vv - v * v / m) / 2 + ln(m) / 2"), str(LOW))
 SIDES = f"WITH RECURSIVE {catalog.MONTHS}, a AS ({_TRUE}), b AS ({recursions.SQL['pelt_meanvariance']}), z AS (SELECT k, count(*) AS n FROM e GROUP BY k)"
