@@ -12,19 +12,25 @@ FLOOR = 1e-11
 
 def rice(x: np.ndarray) -> np.ndarray:
     """Noise covariance from first differences, repaired until it is positive definite."""
-    d = x.shape[1]
     if len(x) < 2:
-        return np.eye(d)
+        return np.eye(x.shape[1])
     diff = np.diff(x, axis=0)
-    s = diff.T @ diff / (2 * (len(x) - 1))
+    return repaired(diff.T @ diff / (2 * (len(x) - 1)))
+
+
+def repaired(s: np.ndarray) -> np.ndarray:
+    """A symmetric matrix with as much jitter as makes it positive definite; the identity if none does."""
+    eye = np.eye(len(s))
+    if not np.isfinite(s).all():
+        return eye
     s = (s + s.T) / 2
     for jitter in (0, *10.0 ** np.arange(-10, -1)):
         try:
-            np.linalg.cholesky(s + jitter * np.eye(d))
-            return s + jitter * np.eye(d)
+            np.linalg.cholesky(s + jitter * eye)
+            return s + jitter * eye
         except np.linalg.LinAlgError:
             continue
-    return np.eye(d)
+    return eye
 
 
 def prefix(x: np.ndarray) -> np.ndarray:

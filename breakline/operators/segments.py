@@ -80,6 +80,50 @@ def _fit_rows(d) -> DataFrame:
     return post.label(d.fit.withColumn("t", F.col("t") - lag), segs, d.keys)
 
 
+def _moments(d) -> DataFrame:
+    """(keys, seg_id, theta, cost) of the moment families in several columns: sums of each segment beside its series' noise
+    or mean, one small row each, priced as the recursion prices it."""
+    keys, spec, v = d.keys, d.spec, [F.col(c).cast("double") for c in d.columns]
+    p, family, adjust = len(v), spec.family, spec.cost_adjustment
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = d.labelled.groupBy(*keys, "seg_id").agg(F.array(F.count("*").cast("double"), *[F.sum(c) for c in v], *[F.sum(v[i] * v[j]) for i, j in pairs]).alias("_sums"))
+    if family == "mean" and spec.variance_estimate is None:
+        from .series import rice_covariance
+
+        noise = rice_covariance(d.rows, keys, d.columns)
+        whole = noise.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.array(*[F.col(f"c_{a}_{b}") for a, b in product(d.columns, d.columns)]).alias("_whole"))
+    else:
+        whole = d.rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.array(*[F.avg(c) for c in v]).alias("_whole"))
+    joined = sums.join(whole, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).select(*keys, "seg_id", "_sums", "_whole")
+    given = None if spec.variance_estimate is None else np.atleast_2d(np.array(spec.variance_estimate, float))
+    upper = np.triu_indices(p)
+    count = {"mean": p, "variance": p * p, "meanvariance": p + p * p}[family]
+
+    def one(own: np.ndarray, whole: np.ndarray) -> tuple[list[float], float]:
+        n, s = own[0], own[1 : 1 + p]
+        q = np.zeros((p, p))
+        q[upper] = own[1 + p :]
+        q = q + np.triu(q, 1).T
+        about = (q - np.outer(s, s) / n) / max(n - 1, 1) if n > 1 else np.zeros((p, p))
+        theta = {"mean": s / n, "variance": about.ravel(), "meanvariance": np.r_[s / n, about.ravel()]}[family]
+        if family == "mean":
+            inverse = np.linalg.inv(given if given is not None else costs.repaired(whole.reshape(p, p)))
+            raw = (np.sum(inverse * q) - s @ inverse @ s / n) / 2
+        else:
+            m = q - np.outer(s, s) / n if family == "meanvariance" else q - np.outer(s, whole) - np.outer(whole, s) + n * np.outer(whole, whole)
+            raw = n / 2 * np.log(max(np.linalg.det(m / n), costs.FLOOR))
+        return theta.tolist(), float((raw + adjustment(adjust, count, n)) * (np.log2(np.e) if adjust == "MDL" else 1.0))
+
+    def priced(batches):
+        for batch in batches:
+            numbers = lambda c: [np.array([np.nan if x is None else x for x in r], float) for r in batch.column(c).to_pylist()]  # noqa: E731, B023
+            found = [one(a, b) for a, b in zip(numbers("_sums"), numbers("_whole"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array([t for t, _ in found], pa.list_(pa.float64())), pa.array([c for _, c in found], pa.float64())], [*batch.schema.names[:-2], "theta", "cost"])
+
+    kinds = ", ".join(f"`{k}` {d.rows.schema[k].dataType.simpleString()}" for k in keys)
+    return joined.mapInArrow(priced, f"{kinds}, seg_id int, theta array<double>, cost double")
+
+
 def _aggregated(d, values: list[str]) -> bool:
     """Whether the segments' fits are Newton steps over sums: logit and log models of scalar columns."""
     return d.spec.family in ("binomial", "poisson") and not any(d.fit.schema[v].dataType.typeName() == "array" for v in values)
@@ -125,8 +169,11 @@ def refit(d) -> DataFrame:
         extra = p * F.log("length") / 2 if spec.cost_adjustment in ("MBIC", "MDL") else F.lit(0.0)
         scale = F.lit(float(np.log2(np.e))) if spec.cost_adjustment == "MDL" else F.lit(1.0)
         return stats.join(cost, [*keys, "seg_id"]).select(*keys, "seg_id", theta.alias("theta"), ((F.col("cost") + extra) * scale).alias("cost"))
-    rows = _fit_rows(d)
     values = [c for c in d.fit.columns if c not in keys and c != "t"]
+    scalars = not any(d.fit.schema[c].dataType.typeName() == "array" for c in values)
+    if family in MOMENTS and scalars:
+        return _moments(d)
+    rows = _fit_rows(d)
     if _aggregated(d, values):
         return _glm(d, values).withColumnRenamed("loss", "cost")
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", seg_id int, theta array<double>, cost double"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fits
+from ..functions import costs, fits
 from .series import over, presegment, rice_covariance
 
 Matrix = list[list[Column]]
@@ -63,18 +63,8 @@ def _factors(d: int):
 
     def run(batches):
         for batch in batches:
-            out = []
-            for flat in batch.column("_s").to_pylist():
-                s = np.array([np.nan if v is None else v for v in flat], float).reshape(d, d)
-                s, good = (s + s.T) / 2, np.eye(d)
-                for jitter in (0, *10.0 ** np.arange(-10, -1)) if np.isfinite(s).all() else ():
-                    try:
-                        np.linalg.cholesky(s + jitter * np.eye(d))
-                        good = s + jitter * np.eye(d)
-                        break
-                    except np.linalg.LinAlgError:
-                        continue
-                out.append(np.linalg.cholesky(np.linalg.inv(good)).ravel().tolist())
+            numbers = ([np.nan if v is None else v for v in flat] for flat in batch.column("_s").to_pylist())
+            out = [np.linalg.cholesky(np.linalg.inv(costs.repaired(np.array(v, float).reshape(d, d)))).ravel().tolist() for v in numbers]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "_l"])
 
     return run

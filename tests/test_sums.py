@@ -87,3 +87,23 @@ def test_whitening_of_several_columns(spark):
         want = x @ np.linalg.cholesky(np.linalg.inv(costs.rice(x)))
         own = [[r.z_x, r.z_y, r.z_z] for r in sorted((r for r in got if r.k == k), key=lambda r: r.t)]
         np.testing.assert_allclose(own, want, rtol=1e-4 if k == "same" else 1e-8, atol=1e-9)
+
+
+@pytest.mark.parametrize("family", ["mean", "variance", "meanvariance"])
+@pytest.mark.parametrize("adjust", ["MBIC", "MDL", None])
+def test_parameters_of_several_columns_come_from_sums(spark, family, adjust):
+    """Each segment as the recursion prices it: the series' noise or mean, the segment's sums."""
+    rng = np.random.default_rng(8)
+    series = {k: np.r_[rng.normal(0, 1, (40, 2)), rng.normal(9, 4, (40, 2))] for k in ("a", "b")}
+    d = D.detect(table(spark, series, ["x", "y"]), "k", "t", ["x", "y"], family=family, cost_adjustment=adjust)
+    cps, own = d.change_points.collect(), d.parameters().collect()
+    for k, x in series.items():
+        cuts = [0, *sorted(r.cp for r in cps if r.k == k), 80]
+        cost = costs.Moment(x, family, None)
+        rows = sorted((r for r in own if r.k == k), key=lambda r: r.seg_id)
+        assert len(rows) == len(cuts) - 1 >= 2
+        for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
+            p = {"mean": 2, "variance": 4, "meanvariance": 6}[family]
+            want = (cost.raw(np.array([a]), b)[0] + (p * np.log(b - a) / 2 if adjust else 0)) * (np.log2(np.e) if adjust == "MDL" else 1)
+            assert r.cost == pytest.approx(want, rel=1e-8)
+            np.testing.assert_allclose(r.theta[:2] if family != "variance" else np.reshape(r.theta, (2, 2)), x[a:b].mean(0) if family != "variance" else np.cov(x[a:b].T), atol=1e-9)
