@@ -26,7 +26,7 @@ from .substring_dedup import word_bounds, word_hashes
 BATCH_BYTES = 4_000_000
 BUCKET_BATCHES = 16
 #: Training tokens for each shard of the filter: bounds its entries.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 BITS, PROBES, BASE = 12, 7, 1.5
 #: Filters up to this size are broadcast whole.
 BROADCAST_BYTES = 128_000_000
@@ -246,8 +246,8 @@ def _shard(rows: pa.Table) -> pa.Table:
     names = np.concatenate([_from_sorted(x, "<u4") for x in rows.column("names").to_pylist()])
     counts = np.concatenate([_from_planes(x, "<u4") for x in rows.column("counts").to_pylist()])
     kinds = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("classes").to_pylist()])
-    own, first, which = np.unique(names, return_index=True, return_inverse=True)
-    total, kind = np.bincount(which, counts), kinds[first]
+    order, new, _ = _grouped(names)
+    own, kind, total = names[order[new]], kinds[order[new]], np.add.reduceat(counts[order], new, dtype=np.int64)
     singles = np.bincount(kind, total == 1, CLASSES).astype(np.int64)
     every = np.bincount(kind, total, CLASSES).astype(np.int64)
     return pa.Table.from_batches([_table([(rows.column("shard")[0].as_py(), filter_of(own, total).tobytes(), singles.tolist(), every.tolist())], SHARDS)])
