@@ -59,7 +59,24 @@ def pair_detect(family: str, **options):
     return lambda spark, sf: D.detect(pair_months(spark, sf), "k", "t", ["v", "w"], family=family, **options).raw_change_points
 
 
+def shifted_events(spark, sf) -> DataFrame:
+    """(k, t, v): all events by type, 4,000 cents higher in rows 600 to 999 and twice as far from 5,000 in rows 1400 to 1699."""
+    rows, t = catalog.events(spark, sf), F.col("t")
+    v = F.col("v") + F.when(t.between(600, 999), 4000.0).otherwise(0.0)
+    return rows.select("k", "t", F.when(t.between(1400, 1699), 2 * v - 5000.0).otherwise(v).alias("v"))
+
+
+SHIFTED = catalog.EVENTS.replace("e AS", "e0 AS", 1) + ", e1 AS (SELECT k, t, v + CASE WHEN t BETWEEN 600 AND 999 THEN 4000.0 ELSE 0.0 END AS v FROM e0), e AS (SELECT k, t, CASE WHEN t BETWEEN 1400 AND 1699 THEN 2 * v - 5000.0 ELSE v END AS v FROM e1)"
+
+
+def event_detect(family: str, **options):
+    return lambda spark, sf: D.detect(shifted_events(spark, sf), "k", "t", "v", family=family, **options).raw_change_points
+
+
 QUERIES: dict = {
+    "mean_of_events": event_detect("mean"),
+    "meanvariance_of_events": event_detect("meanvariance"),
+    "rank_of_events": event_detect("rank", beta=20.0),
     "pelt_mean_two": pair_detect("mean"),
     "pelt_variance_two": pair_detect("variance"),
     "pelt_meanvariance_two": pair_detect("meanvariance"),
@@ -82,7 +99,12 @@ FLOOR = "1e-11"
 ONE = {"v": "v", "vv": "v * v"}
 SPREAD = f"(m / 2.0 * ln(CASE WHEN vv - v * v / l <= 0 THEN {FLOOR} ELSE vv - v * v / l END / l) + ln(m) / 2)"
 
+ONE_RANKS = "q0 AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY v, t) - (count(*) OVER (PARTITION BY k) + 1) / 2 AS r FROM e), q1 AS (SELECT k, sum((r + 0.5) * (r + 0.5)) / count(*) * (1 + 1e-10) AS a FROM q0 GROUP BY k), y AS (SELECT k, t, r / sqrt(a) AS v FROM q0 JOIN q1 USING (k))"
+
 SQL: dict = {
+    "mean_of_events": least(f"{SHIFTED}, {catalog.NOISE}, y AS (SELECT e.k, t, v / sqrt(s2) AS v FROM e JOIN r USING (k))", priced("y", ONE, "(vv - v * v / m) / 2 + ln(m) / 2"), "1.5 * ln(n)"),
+    "meanvariance_of_events": least(SHIFTED, priced("e", ONE, SPREAD, 1, 2), "2 * ln(n)"),
+    "rank_of_events": least(f"{SHIFTED}, {ONE_RANKS}", priced("y", {"v": "v"}, "CASE WHEN m < 2 THEN 0.0 ELSE -v * v / m END"), "20.0"),
     "pelt_mean_two": least(f"{PAIR_MONTHS}, {NOISE_TWO}", priced("y", PAIR, "(vv + ww - (v * v + w * w) / m) / 2 + ln(m) / 2"), "2 * ln(n)"),
     "pelt_variance_two": least(f"{PAIR_MONTHS}, {CENTRED}", priced("y", PAIR, f"m / 2.0 * ln(greatest((vv / l) * (ww / l) - (vw / l) * (vw / l), {FLOOR})) + ln(m) / 2", 2, 2), "3 * ln(n)"),
     "pelt_meanvariance_two": least(f"{PAIR_MONTHS}, {CENTRED}", priced("y", PAIR, f"m / 2.0 * ln(greatest((vv - v * v / l) / l * ((ww - w * w / l) / l) - (vw - v * w / l) / l * ((vw - v * w / l) / l), {FLOOR})) + ln(m) / 2", 2, 3), "4 * ln(n)"),
