@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import costs, penalty
+from ..functions import penalty
 from ..operators import detect as D
 from ..operators import long as L
 from ..operators import metrics as M

@@ -37,3 +37,13 @@ def test_rank_long_and_auc(spark):
         assert all(got[k, t] == i + 1 for i, (_, t, _) in enumerate(own))
         pos, neg = [v for v, _, y in own if y], [v for v, _, y in own if not y]
         assert area[k] == (pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])) if pos and neg else None)
+
+
+def test_squared_distances_of_several_columns(spark):
+    from breakline.operators.series import squared_distances
+
+    rng = np.random.default_rng(5)
+    series = {"a": rng.normal(size=(30, 2)), "b": rng.normal(size=(8, 2))}
+    df = spark.createDataFrame([(k, t, [float(v) for v in r]) for k, x in series.items() for t, r in enumerate(x)], "k string, t long, f array<double>")
+    for r in squared_distances(df, ["k"], "f").collect():
+        assert r.median_d2 == pytest.approx(np.median([((a - b) ** 2).sum() for a, b in combinations(series[r.k], 2)]))
