@@ -63,7 +63,7 @@ class Moment:
         if self.kind == "mean":
             s = self.sum[end] - self.sum[start]
             return ((self.square[end] - self.square[start]) - (s * s).sum(-1) / length) / 2
-        a, b = start, np.full(len(start), end)
+        a, b = start, np.broadcast_to(end, start.shape)
         short = length < self.least
         if short.any():
             a, b = np.where(short, np.maximum(start - self.d, 0), a), np.where(short, np.minimum(end + self.d, self.n), b)
@@ -77,6 +77,35 @@ class Moment:
             return length / 2 * np.log(m / wide)
         return length / 2 * np.log(np.maximum(np.linalg.det(m / wide[:, None, None]), FLOOR))
 
+    def _flat(self, start, end) -> tuple:
+        """Length, sum and spread of [start, end) of one column, over arrays of both."""
+        length, s, q = end - start, self.sum[:, 0], self.square if self.kind == "mean" else self.outer[:, 0, 0]
+        apart = s[end] - s[start]
+        m = q[end] - q[start]
+        return length, m if self.kind == "variance" else m - apart * apart / length
+
+    def under(self, start, end) -> np.ndarray:
+        """The price without its length term and without widening (see ``partition_blocks``)."""
+        with np.errstate(all="ignore"):
+            length, m = self._flat(start, end)
+            raw = m / 2 if self.kind == "mean" else length / 2 * np.log(np.where(m <= 0, FLOOR, m) / length)
+        return raw * np.log2(np.e) if self.adjust == "MDL" else raw
+
+    def unbounded(self, start, end) -> np.ndarray:
+        """Where rows that differ by next to nothing take the floor, which later rows can undercut."""
+        return np.zeros(len(start), bool) if self.kind == "mean" else self._flat(start, end)[1] <= 3 * FLOOR * self.n
+
+    def pairs(self, start, end) -> np.ndarray:
+        """``self`` for one column over arrays of starts and ends; without meaning where an end isn't after its start."""
+        with np.errstate(all="ignore"):
+            length, m = self._flat(start, end)
+            c = m / 2 if self.kind == "mean" else length / 2 * np.log(np.where(m <= 0, FLOOR, m) / length)
+            if self.least > 1 and (short := length == 1).any():
+                c[short] = self.raw(np.broadcast_to(start, c.shape)[short], np.broadcast_to(end, c.shape)[short])
+            if self.adjust == "MBIC":
+                return c + np.log(length) / 2
+            return (c + self.p * np.log(length) / 2) * np.log2(np.e) if self.adjust == "MDL" else c
+
     def slack(self, start: np.ndarray, end: int) -> np.ndarray:
         """How much the length terms of [start, end) and of what follows may exceed that of both together, at most: the
         longer what follows is, the more. Pruning has to leave it."""
@@ -99,7 +128,7 @@ class Linear:
         y = y[:, None] if y.ndim == 1 else y
         self.p, self.q = x.shape[1], y.shape[1]
         self.xx, self.xy, self.yy = prefix(x[:, :, None] * x[:, None, :]), prefix(x[:, :, None] * y[:, None, :]), prefix(y[:, :, None] * y[:, None, :])
-        self.sigma = sigma
+        self.sigma, self.least = sigma, self.p + 1
         if sigma is not None:
             self.inverse, self.log_det = np.linalg.inv(sigma), np.linalg.slogdet(sigma)[1]
 
@@ -126,6 +155,19 @@ class Linear:
             c = length / 2 * self.log_det + np.einsum("ij,kji->k", self.inverse, r) / 2
         return np.where(length < self.p + 1, 0.0, np.where(np.isnan(c), np.inf, c))
 
+    def under(self, start, end) -> np.ndarray:
+        """Of one predictor that is never zero and one response (see ``partition_blocks``)."""
+        with np.errstate(all="ignore"):
+            xx, xy, yy = (s[:, 0, 0] for s in (self.xx, self.xy, self.yy))
+            c = xy[end] - xy[start]
+            return ((yy[end] - yy[start]) - c * c / (xx[end] - xx[start])) / 2
+
+    def unbounded(self, start, end) -> np.ndarray:
+        return np.zeros(len(start), bool)
+
+    def pairs(self, start, end) -> np.ndarray:
+        return np.where(end - start < self.least, 0.0, self.under(start, end))
+
 
 def noise(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Noise covariance of a regression from slopes of neighbouring blocks that slide by one row."""
@@ -245,6 +287,19 @@ class Rank:
         mean = (self.sum[end] - self.sum[start]) / length[:, None]
         return np.where(length < self.least, 0.0, -length * np.einsum("ki,ij,kj->k", mean, self.inverse, mean))
 
+    def under(self, start, end) -> np.ndarray:
+        """Of one column, of short segments too (see ``partition_blocks``)."""
+        length, s = end - start, self.sum[:, 0]
+        with np.errstate(all="ignore"):
+            mean = (s[end] - s[start]) / length
+            return -length * (mean * self.inverse[0, 0] * mean)
+
+    def unbounded(self, start, end) -> np.ndarray:
+        return np.zeros(len(start), bool)
+
+    def pairs(self, start, end) -> np.ndarray:
+        return np.where(end - start < self.least, 0.0, self.under(start, end))
+
 
 class Kernel:
     """Gaussian kernel by random Fourier features; gamma from the median squared distance where it is not given."""

@@ -42,6 +42,78 @@ def partition(n: int, beta: float, costs, first: int = 1, slack=None, newest: in
     return trace(back, n)
 
 
+#: Starts that are bounded together, ends that are priced together at most and at least, starts that are priced anew at
+#: once, and prices of a block.
+GROUP, MOST, FEWEST, HELD, PRICES = 256, 128, 16, 1_000_000, 32_768
+
+
+def partition_blocks(n: int, beta: float, cost, known: bool = False) -> list[int]:
+    """The change points of ``partition`` without pruning, in blocks of ends and without pricing each start at each end.
+
+    Needs a cost of one column with ``pairs(start, end)`` (the costs, over arrays of both) and ``under(start, end)``: what
+    [start, end) adds at least to a segment that it prolongs, with the part before at its own ``under``, wherever both
+    have ``cost.least`` rows. Up to 256 starts share the least of their values at the end where they were priced last; what
+    the rows since add at least bounds them from below. They are priced anew only if that bound falls to what the last
+    best start would cost, and leave once it exceeds the value of a start between. A long run without changes, where
+    pruning never takes a start out, so costs little more than one price a row.
+    """
+    total, back = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    total[0], t, least = -beta, 0, cost.least
+    if known and n >= 1:
+        total[1], t = cost.pairs(np.array([0]), np.array([1]))[0], 1
+    low, seen, alive, made, size = np.full(n // GROUP + 1, -np.inf), np.zeros(n // GROUP + 1, np.int64), np.zeros(0, np.int64), 0, FEWEST
+
+    def based(starts: np.ndarray, r: int) -> np.ndarray:
+        value = total[starts] + cost.under(starts, r)
+        value[cost.unbounded(starts, r)] = -np.inf
+        return value
+
+    while t < n:
+        ends = np.arange(t + 1, min(t + size, n) + 1)
+        r = t + 1 - least  # all later ends are at least ``least`` rows away
+        old = max(r - least + 1, 0)  # starts before it have a bound
+        offered = []
+        if old:
+            ref = back[t]
+            gap = np.maximum.accumulate(total[ref] + cost.pairs(ref, ends) - cost.under(r, ends))
+            ends = ends[: max(1, int(np.searchsorted(gap, gap[0] + beta / 2, "right")))]  # a jump would open every start
+            limit = gap[len(ends) - 1]
+            limit, gone = limit + 1e-6 + 1e-9 * abs(limit), total[r] + 1e-6 + 1e-9 * abs(total[r])
+            if (full := old // GROUP) > made:
+                alive, made = np.concatenate([alive, np.arange(made, full)]), full
+            if len(alive):
+                bound = low[alive] + cost.under(seen[alive], r)
+                anew = (bound <= limit) | (r - seen[alive] < least)
+                for some in np.array_split(alive[anew], anew.sum() * GROUP // HELD + 1):
+                    starts = (some[:, None] * GROUP + np.arange(GROUP)).ravel()
+                    value = based(starts, r)
+                    low[some], seen[some] = value.reshape(-1, GROUP).min(1, initial=np.inf), r
+                    offered.append(starts[value <= limit])
+                bound[anew] = low[alive[anew]]
+                alive = alive[bound <= gone]
+            rest = np.arange(made * GROUP, old)
+            offered.append(rest[based(rest, r) <= limit])
+        starts = np.concatenate([*offered, np.arange(old, t + 1)])
+        ends = ends[: max(1, PRICES // len(starts))]
+        value = total[starts][:, None] + cost.pairs(starts[:, None], ends)
+        best = value.argmin(0)
+        value, chosen = value[best, np.arange(len(ends))], starts[best]
+        if len(ends) > 1:  # does a start inside the block beat those before it?
+            inner = np.where(ends[:-1, None] < ends[1:], (value[:-1] + beta)[:, None] + cost.pairs(ends[:-1, None], ends[1:]), np.inf)
+            wins = inner.min(0) < value[1:]
+            if wins.any():
+                k = int(wins.argmax())
+                j = int(inner[:, k].argmin())
+                ends, value, chosen = ends[: k + 2], value[: k + 2], chosen[: k + 2]
+                value[k + 1], chosen[k + 1] = inner[j, k], ends[j]
+                size = max(FEWEST, min(size, 2 * len(ends)))
+        if len(ends) == size:
+            size = min(2 * size, MOST)
+        total[ends], back[ends] = value + beta, np.where(np.isfinite(value), chosen, 0)
+        t = int(ends[-1])
+    return trace(back, n)
+
+
 def trace(back: np.ndarray, n: int) -> list[int]:
     out, at = [], n
     while at > 0:

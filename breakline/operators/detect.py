@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import costs, penalty, sequential
-from ..functions.partition import calibrate, partition
+from ..functions.partition import calibrate, partition, partition_blocks
 from . import post
 from .series import index, lags
 
@@ -134,12 +134,16 @@ class Spec:
         if f in MOMENTS:
             cost = costs.Moment(x, f, self.cost_adjustment, None if self.variance_estimate is None else np.array(self.variance_estimate, float), self.short)
             exact = self.pruning == "exact"
+            if exact and d == 1 and not self.pruning_coef:
+                return lambda beta: partition_blocks(n, beta, cost, known=True)
             slack = lambda start, end: (cost.slack(start, end) if exact else 0.0) - self.pruning_coef
             return lambda beta: partition(n, beta, cost, slack=slack, known=True, least=cost.least if exact else 1)
         if f in ("lm", "ar", "var", "mgaussian"):
             y, z = (x[:, :r], x[:, r:]) if f != "mgaussian" or self.p_response < d else (x, np.ones((n, 1)))
             sigma = costs.noise(y, z) if f in ("var", "mgaussian") or r > 1 else None
             cost = costs.Linear(y, z, sigma)
+            if self.pruning == "exact" and sigma is None and z.shape[1] == 1 and z.all():
+                return lambda beta: partition_blocks(n, beta, cost)
             # short segments cost nothing, which is more than the others may cost once the noise has a determinant
             return lambda beta: partition(n, beta, cost, least=cost.p + 1 if sigma is not None and self.pruning == "exact" else 1)
         if f in ("binomial", "poisson"):
@@ -158,6 +162,8 @@ class Spec:
             return lambda beta: partition(n, beta, make(x[:, 0], *self.order, self.trim), first=least)
         if f == "rank":
             cost = costs.Rank(x, self.min_segment_length)
+            if self.pruning == "exact" and d == 1:
+                return lambda beta: partition_blocks(n, beta, cost)
             return lambda beta: partition(n, beta, cost, least=cost.least if self.pruning == "exact" else 1)
         if f == "rbf":
             cost = costs.Kernel(x, self.gamma, self.feature_dim, self.seed, self.min_segment_length, self.bandwidth_rows)

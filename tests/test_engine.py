@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from breakline.functions import costs, fits, penalty
-from breakline.functions.partition import calibrate, partition
+from breakline.functions.partition import calibrate, partition, partition_blocks
 from breakline.operators import detect as D
 from breakline.operators import long as L
 from breakline.operators import post
@@ -375,3 +375,35 @@ def unpruned_of(n, beta, cost, first, newest):
         if at:
             out.append(at)
     return out[::-1]
+
+
+BLOCK_COSTS = {
+    "mean": lambda x: costs.Moment(x, "mean"), "variance": lambda x: costs.Moment(x, "variance"), "meanvariance": lambda x: costs.Moment(x, "meanvariance"),
+    "floor": lambda x: costs.Moment(x, "meanvariance", None, short="floor"), "rank": lambda x: costs.Rank(np.argsort(np.argsort(x[:, 0], kind="stable"), kind="stable")[:, None] + 1.0),
+    "slope": lambda x: costs.Linear(x[:, 0], 1.0 + np.arange(len(x))[:, None] % 5),
+}
+
+
+@pytest.mark.parametrize("family", BLOCK_COSTS)
+@pytest.mark.parametrize("kind", ("normal", "skewed whole", "repeated"))
+def test_blocks_equal_the_recursion_without_pruning(family, kind):
+    for seed, n in enumerate((2, 3, 40, 1500)):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=n) + 3 * (np.arange(n) // 97 % 2) if kind == "normal" else np.floor(100 * rng.exponential(20, n))
+        x = np.repeat(x, 7)[:n, None] if kind == "repeated" else x[:, None]
+        cost, known = BLOCK_COSTS[family](x), family not in ("rank", "slope")
+        for beta in (1.0, 12.0, 30.0):
+            assert partition_blocks(n, beta, cost, known) == partition(n, beta, cost, slack=lambda start, end: np.inf, known=known)
+
+
+@pytest.mark.parametrize("family", ("mean", "meanvariance", "rank"))
+def test_long_series_without_changes_is_not_quadratic(monkeypatch, family):
+    """Prices of segments in the recursion: few for each row, where no start can be pruned."""
+    priced, n = [], 20_000
+    kind = costs.Rank if family == "rank" else costs.Moment
+    for name in ("pairs", "under", "__call__"):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, s, e, real=real: [out := real(self, s, e), priced.append(np.size(out))][0])
+    x = np.random.default_rng(0).normal(size=n)
+    assert Spec(family=family, beta=40.0).solve((x if family != "rank" else np.argsort(np.argsort(x)) + 1.0)[:, None]) == []
+    assert sum(priced) < 600 * n
