@@ -44,7 +44,7 @@ def partition(n: int, beta: float, costs, first: int = 1, slack=None, newest: in
 
 #: Starts that are bounded together, ends that are priced together at most and at least, starts that are priced anew at
 #: once, and prices of a block.
-GROUP, MOST, FEWEST, HELD, PRICES = 256, 128, 16, 1_000_000, 32_768
+GROUP, MOST, FEWEST, HELD, PRICES = 256, 128, 16, 1_000_000, 16_384
 
 
 def partition_blocks(n: int, beta: float, cost, known: bool = False) -> list[int]:

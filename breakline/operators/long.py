@@ -47,6 +47,7 @@ def detect_long(df: DataFrame, sort: str, value: str, x: str | None = None, fami
     if family not in FAMILIES or (family == "lm") != (x is not None):
         raise ValueError(f"family must be one of {', '.join(FAMILIES)}, lm with x")
     spark = df.sparkSession
+    df = cut(df.select(sort, value, *([x] if x else [])), "series")  # read for its mean, its ranges and its sums
     centre = 0.0 if family == "lm" else float(df.agg(F.avg(value)).first()[0] or 0.0)
     v = F.col(value).cast("double") - F.lit(centre)
     squares = {"v": v, "vv": v * v} if x is None else {"xx": F.col(x) * F.col(x), "xy": F.col(x) * v, "yy": v * v}

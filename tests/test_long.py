@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from breakline.functions import costs
 from breakline.operators import long as L
 from breakline.operators.detect import Spec
 
@@ -36,3 +37,16 @@ def test_long_edges(spark):
     for bad in ({"family": "rank"}, {"family": "lm"}, {"x": "v"}):
         with pytest.raises(ValueError):
             L.detect_long(none, "t", "v", **bad)
+
+
+@pytest.mark.parametrize("family", ("variance", "lm"))
+def test_chunk_prices_few_segments(monkeypatch, family):
+    """A chunk without changes has no start that pruning takes out; yet few are priced for each row."""
+    priced, n, rng = [], 5000, np.random.default_rng(0)
+    kind = costs.Linear if family == "lm" else costs.Moment
+    for name in ("pairs", "under", "__call__"):
+        real = getattr(kind, name, None)
+        if real:
+            monkeypatch.setattr(kind, name, lambda self, s, e, real=real: [out := real(self, s, e), priced.append(np.size(out))][0])
+    x = rng.normal(size=(n, 1)) if family == "variance" else np.column_stack([rng.normal(size=n), 1 + rng.random(n)])
+    assert Spec(family=family, beta=40.0).solve(x) == [] and sum(priced) < 600 * n
