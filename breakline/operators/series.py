@@ -34,6 +34,17 @@ def index(df: DataFrame, keys: list[str], order: list[str], name: str = "t") ->
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
+def index_long(df: DataFrame, keys: list[str], order: list[str], name: str = "t") -> DataFrame:
+    """``index`` of few, long series: rows are dealt by ranges of (keys, order) and written, numbered inside their range,
+    and a series' rows in the ranges before (one row for each range and series) are added on. No task sorts a series."""
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    own = dealt.withColumn("_o", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1)
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    return own.join(F.broadcast(starts), same).select(*df.columns, (F.col("_o") + F.col("_b")).cast("long").alias(name))
+
+
 def over(keys: list[str], order: str = "t"):
     return Window.partitionBy(*keys).orderBy(order)
 

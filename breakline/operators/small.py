@@ -14,6 +14,9 @@ from .series import over, presegment, rice_covariance
 
 Matrix = list[list[Column]]
 
+#: Rows of a series whose neighbouring blocks are made in one task.
+RUN = 100_000
+
 
 def determinant(m: Matrix) -> Column:
     if len(m) == 1:
@@ -36,13 +39,16 @@ def regression_noise(df: DataFrame, keys: list[str], y: str, x: list[str], at: s
     blocks of p + 1 rows that slide by one: their squared distance over what unit noise would make of it, on average.
 
     Grams of blocks are sums over frames of a series' rows, the next block's are the next row's; the systems of p columns
-    are solved as expressions. Blocks without a unique slope are left out; a series with none has noise 1.
+    are solved as expressions. Blocks without a unique slope are left out; a series with none has noise 1. ``at`` counts a
+    series' rows one by one, as ``index`` does: runs of rows are tasks of their own, each with the next run's first p + 1 rows.
     """
-    p, w = len(x), over(keys, at)
+    p, w = len(x), over([*keys, "_run"], at)
     frame = lambda a, b: w.rowsBetween(a, b)
     flat = {**{f"_g{i}{j}": F.col(x[i]) * F.col(x[j]) for i in range(p) for j in range(i, p)}, **{f"_c{i}": F.col(x[i]) * F.col(y) for i in range(p)}}
-    rows = df.select(*keys, at, *[v.cast("double").alias(k) for k, v in flat.items()])
-    sums = rows.select(*keys, at, *[F.sum(c).over(frame(0, p)).alias(f"a{c}") for c in flat], *[F.sum(c).over(frame(1, p)).alias(f"m{c}") for c in flat if c.startswith("_g")], F.lead(at, p + 1).over(w).alias("_full"))
+    own = F.floor(F.col(at) / RUN)
+    runs = F.explode(F.when(F.col(at) % RUN <= p, F.array(own, own - 1)).otherwise(F.array(own))).alias("_run")
+    rows = df.select(*keys, at, *[v.cast("double").alias(k) for k, v in flat.items()], runs)
+    sums = rows.select(*keys, "_run", at, *[F.sum(c).over(frame(0, p)).alias(f"a{c}") for c in flat], *[F.sum(c).over(frame(1, p)).alias(f"m{c}") for c in flat if c.startswith("_g")], F.lead(at, p + 1).over(w).alias("_full"))
     both = sums.select("*", *[F.lead(f"a{c}").over(w).alias(f"b{c}") for c in flat]).filter("_full IS NOT NULL")
     gram = lambda s: [[F.col(f"{s}_g{min(i, j)}{max(i, j)}") for j in range(p)] for i in range(p)]
     for s in "ab":  # inverses and slopes are columns of their own, so that they are computed once

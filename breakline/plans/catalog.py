@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def events(spark, sf) -> DataFrame:
     """(k, t, v, event_id): cents as whole numbers."""
     rows = read(spark, sf, "events").select(F.col("event_type").alias("k"), "ts", "event_id", F.floor(F.col("value") * 100).cast("double").alias("v"))
-    return series.index(rows, KEY, ["ts", "event_id"]).select("k", "t", "v", "event_id")
+    return series.index_long(rows, KEY, ["ts", "event_id"]).select("k", "t", "v", "event_id")
 
 
 EVENTS = "e AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, floor(value * 100)::DOUBLE AS v, event_id FROM events)"

@@ -19,7 +19,7 @@ def regression_noise(*x: str):
 def lines(spark, sf):
     """(k, t, y, x1, x2): all lines by flag in order of position; whole numbers."""
     rows = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("x1"), F.round(F.col("l_discount") * 100).cast("double").alias("x2"), F.floor(F.col("l_extendedprice") / 1000).cast("double").alias("y"))
-    return series.index(rows, KEY, ["l_orderkey", "l_linenumber", "l_partkey", "x1", "x2", "y"]).select("k", "t", "y", "x1", "x2")
+    return series.index_long(rows, KEY, ["l_orderkey", "l_linenumber", "l_partkey", "x1", "x2", "y"]).select("k", "t", "y", "x1", "x2")
 
 
 def regression_noise_of_lines(spark, sf):

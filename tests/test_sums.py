@@ -2,11 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from breakline.functions import costs, fits, sequential
 from breakline.operators import detect as D
 from breakline.operators import small
 from breakline.operators.newton import glm_by_segment
+from breakline.operators.series import index, index_long
+from breakline.plans import catalog, sums
 
 
 def table(spark, series, columns):
@@ -107,3 +110,26 @@ def test_parameters_of_several_columns_come_from_sums(spark, family, adjust):
             want = (cost.raw(np.array([a]), b)[0] + (p * np.log(b - a) / 2 if adjust else 0)) * (np.log2(np.e) if adjust == "MDL" else 1)
             assert r.cost == pytest.approx(want, rel=1e-8)
             np.testing.assert_allclose(r.theta[:2] if family != "variance" else np.reshape(r.theta, (2, 2)), x[a:b].mean(0) if family != "variance" else np.cov(x[a:b].T), atol=1e-9)
+
+
+def test_regression_noise_in_runs_of_rows(spark, monkeypatch):
+    """Runs of a few rows give what the whole series gives, at their borders too."""
+    rng = np.random.default_rng(8)
+    series = {k: np.column_stack([rng.normal(size=n), rng.normal(size=(n, 2))]) for k, n in (("a", 101), (None, 40), ("c", 3))}
+    monkeypatch.setattr(small, "RUN", 5)
+    got = {r.k: r.noise for r in small.regression_noise(table(spark, series, ["y", "a", "b"]), ["k"], "y", ["a", "b"]).collect()}
+    for k, x in series.items():
+        np.testing.assert_allclose(got[k], costs.noise(x[:, 0], x[:, 1:])[0, 0], rtol=1e-6)
+
+
+def test_lines_and_events_are_numbered_without_a_window_over_a_series(spark, sf):
+    for rows in (sums.lines(spark, sf), catalog.events(spark, sf)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" in plan and all("_part" in line for line in plan.splitlines() if "row_number" in line)
+        want = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("z"), F.countDistinct("t").alias("d")).collect()
+        assert all((r.a, r.z, r.d) == (0, r.n - 1, r.n) for r in want)
+
+
+def test_index_of_long_series_equals_the_window(spark):
+    rows = spark.createDataFrame([(k, (i * 37) % 101) for k, n in (("a", 60), (None, 30), ("b", 1)) for i in range(n)], "k string, v long")
+    assert sorted(map(str, index_long(rows, ["k"], ["v"]).collect())) == sorted(map(str, index(rows, ["k"], ["v"]).collect()))
