@@ -339,7 +339,7 @@ def tolerance_pairs(spark, sf):
 
 def _spaced(spark, sf):
     """True points every 50 rows, predicted ones up to 9 rows later for two of three: no point has two partners."""
-    rows = events(spark, sf)
+    rows = series.cut(events(spark, sf).select("k", "t"), "events")  # read by each side of each metric
     true = rows.filter("t % 50 = 25").select("k", F.col("t").alias("cp"))
     pred = true.filter("cp % 3 <> 0").select("k", (F.col("cp") + F.floor(F.col("cp") / 50) % 10).alias("cp"))
     return true, pred, series.lengths(rows, KEY)
