@@ -7,11 +7,11 @@ doc_id and text, and five steps follow, each a Spark shuffle:
 
 1. each batch names its distinct anchors (about one in fourteen positions);
 2. by anchor, those of two or more batches are found;
-3. each batch indexes its stretches (runs of windows with one anchor) whose anchors are shared, and sends one copy of
-   those that its index names alike;
-4. by anchor, the stretches of all batches are indexed together; a batch is told which of its windows an earlier
-   document of another batch holds;
-5. each batch indexes its candidates again and removes what it was told and what it repeats itself.
+3. each batch sends its stretches (runs of windows with one anchor) whose anchors are shared. Those whose anchor it holds
+   twice are indexed, and of those that the index names alike it sends one; the others have no equal in the batch;
+4. by anchor, the stretches of all batches are indexed together, each content once with the number of its copies; a
+   batch is told which of its windows an earlier document of another batch holds;
+5. each batch indexes what it may hold twice and removes what it was told and what it repeats itself.
 
 A passage that a third of all documents share is one anchor, and one stretch, per batch: hot groups are folded before
 each shuffle. An anchor of many batches is split by the symbols beside it, so a common phrase with ever new
@@ -192,9 +192,9 @@ def earliest(classes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Job:
-    """What an operator asks for. ``read``: texts to a batch of symbols. ``classes``: contents (and the
-    places of their anchors) to a number for each of their windows, equal for equal windows, -1 for one without an equal. ``same_text``: an earlier place in the
-    same text counts."""
+    """What an operator asks for. ``read``: texts to a batch of symbols. ``classes``: contents (and the places
+    of their anchors; how many copies there are of each, else one) to a number for each of their windows, equal for equal
+    windows, -1 for one without an equal. ``same_text``: an earlier place in the same text counts."""
 
     length: int
     gram: int
@@ -291,13 +291,16 @@ class Job:
         a = self.anchors(batch)
         few, hot = (distinct(np.concatenate([_unpack(k) for k in shared.column(c).to_pylist()])) for c in ("keys", "hot"))
         first, last, key, anchor = self.split(batch, a, a.stretches(distinct(np.r_[few, hot])), hot)
-        at, classes, rank = self.indexed(batch, first, last, anchor)
-        # stretches are shorter than two windows: equal first and last windows mean equal stretches
-        f, l = np.searchsorted(at, first), np.searchsorted(at, last)
-        alone = np.where((classes[f] < 0) | (classes[l] < 0), np.arange(len(f)) + 1, 0)
-        order = np.lexsort((rank[f], alone, classes[l], classes[f], last - first))
-        parts = [x[order] for x in (last - first, classes[f], classes[l], alone)]
-        lead = order[np.flatnonzero(np.r_[True, np.any([p[1:] != p[:-1] for p in parts], 0)])] if len(order) else order
+        twice = _among(a.repeated(False), a.keys[np.searchsorted(a.at, anchor)])  # others have no equal in this batch
+        lead, own = np.flatnonzero(~twice), np.flatnonzero(twice)
+        if len(own):
+            at, classes, rank = self.indexed(batch, first[own], last[own], anchor[own])
+            # stretches are shorter than two windows: equal first and last windows mean equal stretches
+            f, l, more = np.searchsorted(at, first[own]), np.searchsorted(at, last[own]), (last - first)[own]
+            alone = np.where((classes[f] < 0) | (classes[l] < 0), np.arange(len(f)) + 1, 0)
+            order = np.lexsort((rank[f], alone, classes[l], classes[f], more))
+            parts = [x[order] for x in (more, classes[f], classes[l], alone)]
+            lead = np.r_[lead, own[order[np.flatnonzero(np.r_[True, np.any([p[1:] != p[:-1] for p in parts], 0)])]]]
         text = np.searchsorted(batch.starts, first[lead], "right") - 1
         begin = first[lead] - batch.starts[text] if self.same_text else np.zeros(len(lead), np.int64)
         contents = [batch.content(x, y + self.length) for x, y in zip(first[lead].tolist(), last[lead].tolist(), strict=True)]
@@ -309,12 +312,15 @@ class Job:
         """To each batch, the windows of its stretches that have an earlier owner in another batch and none as early here."""
         found = [pa.ipc.open_stream(b).read_all() for b in blobs.column("stretches").to_pylist()]
         table, batches = pa.concat_tables(found).combine_chunks(), np.repeat(blobs.column("batch").to_numpy(), [f.num_rows for f in found])
-        contents = table.column("content").to_pylist()
-        classes = self.classes(contents) if self.read.merged else self.classes(contents, table.column("anchor").to_numpy().astype(np.int64))
+        folded = table.column("content").cast(pa.large_binary()).combine_chunks().dictionary_encode()
+        contents, own = folded.dictionary.to_pylist(), folded.indices.to_numpy()
+        _, one, copies = np.unique(own, return_index=True, return_counts=True)
+        classes = self.classes(contents, copies=copies) if self.read.merged else self.classes(contents, table.column("anchor").to_numpy()[one].astype(np.int64), copies=copies)
         counts = self.windows(contents)
+        classes, counts = classes[spans((np.cumsum(counts) - counts)[own], counts[own])], counts[own]
         _, doc = np.unique(table.column("doc").to_numpy(), return_inverse=True)
         first = np.r_[0, np.cumsum(counts)]
-        stretch = np.repeat(np.arange(len(contents)), counts)
+        stretch = np.repeat(np.arange(len(own)), counts)
         rank = self.ranks(doc[stretch], table.column("start").to_numpy()[stretch] + np.arange(len(stretch)) - first[stretch])
         _, batch = np.unique(batches, return_inverse=True)
         shared = np.flatnonzero(classes >= 0)
@@ -344,18 +350,18 @@ class Job:
         a = self.anchors(batch)
         head, count = told.column("at").to_numpy().astype(np.int64), told.column("n").to_numpy().astype(np.int64)
         keys = a.repeated(not self.same_text)
-        if len(head):
-            keys = distinct(np.r_[keys, a.keys[a.owner(np.sort(head))]])
+        if len(head) and not self.same_text:  # one of the windows alike was told, the others may be in the same text
+            named = a.keys[a.owner(np.sort(head))]
+            keys = distinct(np.r_[keys, named[_among(a.repeated(False), named)]])
         own = a.stretches(keys)
         at, classes, rank = self.indexed(batch, a.first[own], a.last[own], a.at[own])
-        gone = rank > earliest(classes, rank)
+        gone, hit = rank > earliest(classes, rank), np.zeros(0, np.int64)
         if len(head):
             bits = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[:k] for m, k in zip(told.column("mask").to_pylist(), count.tolist(), strict=True)])
-            hit = np.searchsorted(at, spans(head, count)[bits.astype(bool)])
-            gone[hit] = True
-            gone |= (classes >= 0) & _among(distinct(classes[hit]), classes)
+            hit = spans(head, count)[bits.astype(bool)]
+            gone |= (classes >= 0) & _among(distinct(classes[_among(distinct(hit), at)]), classes)
         removed = np.zeros(int(batch.starts[-1]), bool)
-        hit = at[gone]
+        hit = distinct(np.r_[at[gone], hit])
         if len(hit):  # runs of removed windows
             new = np.flatnonzero(np.r_[True, hit[1:] > hit[:-1] + self.length])
             for x, y in zip(hit[new].tolist(), hit[np.r_[new[1:] - 1, len(hit) - 1]].tolist(), strict=True):

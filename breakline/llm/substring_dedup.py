@@ -2,9 +2,10 @@ r"""Substring dedup on words: words of windows that stand earlier in the corpus
 
 Which windows are equal is decided by compressed FM-indexes, one for each batch and one for each shard of stretches that
 batches share: the runs of the words' Burrows-Wheeler transform with a wavelet tree over them. Texts are streamed through
-the index by backward search, which gives their matching statistics: from each word on, how many words stand elsewhere
-too. Places of 20 or more are reported with their interval; all windows that end in one interval are its places, and
-those with an earlier one go.
+the index by backward search, from a table of the first eight words' intervals on, which gives their matching statistics:
+from each word on, how many words stand elsewhere too. A content of several copies is indexed and streamed once. Places
+of 20 or more are reported with their interval; all windows that end in one interval are its places, and those with an
+earlier one go.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .suffix_dedup import removed
 
 LENGTH = 20
 GRAM = 8
+#: The six bytes that part words, each made a space.
+SPACES = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
 
 
 #: Bytes of text hashed at once: tables and sums stay small, whatever the batch (a longer word is hashed whole).
@@ -71,10 +74,13 @@ class Words(Batch):
     r"""Words ``[^\x20\x09-\x0D]+``, laid end to end with one space after each."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
-        words = [t.split() for t in texts]  # bytes.split() parts at exactly these six bytes
-        starts = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
-        self.data = b"".join(b" ".join(w) + b" " for w in words if w)
-        raw = np.frombuffer(self.data, np.uint8)
+        raw = np.frombuffer(b" ".join([*texts, b""]).translate(SPACES), np.uint8)
+        word = raw != 32
+        last = np.flatnonzero(word[:-1] & ~word[1:])  # of each word; a space follows every text
+        starts = np.searchsorted(last, np.r_[0, np.cumsum([len(t) + 1 for t in texts])])
+        word[last + 1] = True  # one space after each word stays
+        raw = raw[word]
+        self.data = raw.tobytes()
         self.ends = np.flatnonzero(raw == 32)
         self.begins = np.r_[0, self.ends[:-1] + 1] if len(self.ends) else self.ends
         n = len(self.ends)
@@ -143,7 +149,8 @@ class WaveletTree:
 class FMIndex:
     """A shard's words, compressed: the runs of their Burrows-Wheeler transform with a wavelet tree over the runs' words.
     0 ends each content and is never searched for. Suffixes are sorted over ``depth`` words; longer patterns are not
-    asked for, and the suffix array itself isn't kept."""
+    asked for, and the suffix array itself isn't kept. A table holds the intervals of the text's first few words from
+    each place on, so that searches need not begin with one word, whose interval is large."""
 
     def __init__(self, text: np.ndarray, depth: int):
         n, self.depth = len(text), depth
@@ -156,6 +163,8 @@ class FMIndex:
             _, name = np.unique(names[-1][0] * (n + int(text.max()) + 2) + later, return_inverse=True)
             d += step
             names.append((name, d))
+        seed, self.seed = next(x for x in reversed(names) if x[1] <= SEED and x[1] < depth)
+        self.seeds, self.seed_bound = seed.astype(np.int32), np.r_[0, np.cumsum(np.bincount(seed))]
         order = np.argsort(names[-1][0], kind="stable")
         a, b = order[:-1].copy(), order[1:].copy()
         same = np.zeros(n - 1, np.int64)
@@ -170,7 +179,8 @@ class FMIndex:
         self.bound = np.r_[np.flatnonzero(new), n]
         last = text[order - 1]
         self.n, self.smaller = n, np.r_[0, np.cumsum(np.bincount(text))]
-        self.starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+        begins = np.r_[True, last[1:] != last[:-1]]
+        self.starts, self.begun = np.flatnonzero(begins), BitVector(begins)
         self.words = last[self.starts]
         lengths = np.diff(np.r_[self.starts, n])
         by = np.argsort(self.words, kind="stable")
@@ -180,7 +190,7 @@ class FMIndex:
 
     def occurrences(self, word: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each word stands among the first i of the transform."""
-        run = np.searchsorted(self.starts, i, "right") - 1
+        run = self.begun.rank(i + 1) - 1
         k = self.runs[word]
         before = self.total[k + self.tree.rank(word, run)] - self.total[k]
         return before + np.where(self.words[run] == word, i - self.starts[run], 0)
@@ -190,21 +200,32 @@ class FMIndex:
         both = self.occurrences(np.r_[word, word], np.r_[low, high])
         return self.smaller[word] + both[: len(word)], self.smaller[word] + both[len(word) :]
 
-    def matching(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of the lanes text[begin:end], streamed from the right, held at ``depth`` words: the
-        places from which that many words stand twice in the index or more, with their lane and the interval's start.
+        places from which that many words stand ``least`` times in the index or more, with their lane and the
+        interval's start.
 
         A lane's match grows to the left. One of ``depth`` words is reported and goes on without its last word; where
-        a match can't grow, no longer one ends at this place, and the search begins anew one word before.
+        a match can't grow, no longer one ends at this place, and the search begins anew one word before. It begins
+        with the table's interval of the words before that place.
         """
         live = np.flatnonzero(end - begin >= self.depth)
-        lane, begin, stop = live, begin[live], end[live]
-        left, low, high = stop.copy(), np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
-        found = []
+        lane, begin, stop, least = live, begin[live], end[live], least[live]
+        left, low, high = stop.copy(), np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+        fresh, found = np.arange(len(live)), []
         while len(lane):
-            word = text[left - 1]
-            low, high = self.extended(word, low, high)
-            met = high - low > 1
+            while len(fresh):  # places whose last words stand less often are passed over
+                left[fresh] = stop[fresh] - self.seed
+                seed = self.seeds[left[fresh]]
+                low[fresh], high[fresh] = self.seed_bound[seed], self.seed_bound[seed + 1]
+                fresh = fresh[high[fresh] - low[fresh] < least[fresh]]
+                stop[fresh] -= 1
+                fresh = fresh[stop[fresh] - begin[fresh] >= self.depth]
+            on = stop - begin >= self.depth
+            if not on.all():
+                lane, begin, stop, least, left, low, high = (x[on] for x in (lane, begin, stop, least, left, low, high))
+            low, high = self.extended(text[left - 1], low, high)
+            met = high - low >= least
             left = left - met
             full = met & (stop - left == self.depth)
             if full.any():
@@ -212,20 +233,19 @@ class FMIndex:
                 group = self.group[low[full]]
                 low[full], high[full] = self.bound[group], self.bound[group + 1]
             stop = stop - (full | ~met)
-            left = np.where(met, left, stop)
-            low, high = np.where(met, low, 0), np.where(met, high, self.n)
-            on = stop - begin >= self.depth
-            if not on.all():
-                lane, begin, stop, left, low, high = lane[on], begin[on], stop[on], left[on], low[on], high[on]
+            fresh = np.flatnonzero(~met & (stop - begin >= self.depth))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
+#: Words of the table that searches begin with.
+SEED = 8
 #: Windows of a lane: lanes are streamed side by side, each from ``length - 1`` words behind its last window on.
 LANE = 16
 
 
-def window_classes(contents: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """For each window of the contents, one after another: its interval in the index of all, -1 where it stands alone."""
+def window_classes(contents: list[bytes], copies: np.ndarray | None = None, length: int = LENGTH) -> np.ndarray:
+    """For each window of the contents, one after another: its interval in the index of all, -1 where it stands alone.
+    A content is indexed once, however many copies there are; where there are several, no window stands alone."""
     if not contents:
         return np.zeros(0, np.int64)
     sizes = np.array([Words.symbols(c) for c in contents], np.int64)
@@ -239,7 +259,8 @@ def window_classes(contents: list[bytes], length: int = LENGTH) -> np.ndarray:
     begins = np.cumsum(sizes + 1) - sizes - 1
     begin = begins[owner] + spans(np.zeros(len(sizes), np.int64), lanes) * LANE
     end = np.minimum(begin + LANE + length - 1, (begins + sizes)[owner])
-    lane, place, first = index.matching(text, begin, end)
+    least = np.full(len(owner), 2) if copies is None else np.where(copies > 1, 1, 2)[owner]
+    lane, place, first = index.matching(text, begin, end, least)
     own = owner[lane]
     classes = np.full(int(many.sum()), -1, np.int64)
     classes[(np.cumsum(many) - many)[own] + place - begins[own]] = first

@@ -90,8 +90,9 @@ def shared_depths(data: np.ndarray, at: np.ndarray, depths: range) -> dict[int,
     return {d: np.maximum.accumulate(np.where(same < d, slots, 0))[back] for d in depths}
 
 
-def window_classes(contents: list[bytes], anchors: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+def window_classes(contents: list[bytes], anchors: np.ndarray, copies: np.ndarray | None = None, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """For each window of the contents, one after another: a number that equal windows share, -1 where it stands alone.
+    A content is sorted once, however many copies there are; where there are several, no window stands alone.
 
     Each content has its anchor in all of its windows. So the suffixes at anchors are sorted, and those of the reversed
     text: windows are equal if as many bytes stand before their anchors and both intervals, of that many bytes before
@@ -110,7 +111,8 @@ def window_classes(contents: list[bytes], anchors: np.ndarray, length: int = LEN
     for r in range(length - gram + 1):  # bytes of the window before the anchor
         own = np.flatnonzero((anchors >= r) & (anchors - r < many))
         pair = before[r][own] << 32 | after[length - r][own]
-        _, name, count = np.unique(pair, return_inverse=True, return_counts=True)
+        _, name = np.unique(pair, return_inverse=True)
+        count = np.bincount(name, None if copies is None else copies[own])
         classes[first[own] + anchors[own] - r] = np.where(count[name] > 1, used + name, -1)
         used += len(count)
     return classes

@@ -123,6 +123,74 @@ def test_dedups_of_a_common_phrase_with_ever_new_surroundings(spark, monkeypatch
     assert_dedups(documents(spark, rows), rows)
 
 
+def dedup_in_steps(rows, n, operator):
+    """The steps of ``remove_repeats`` one after another on n batches: rows, and the symbols that each step indexed."""
+    import pyarrow as pa
+
+    indexed = collections.Counter()
+    read = {substring_dedup: "Words", suffix_dedup: "Bytes"}[operator]
+
+    def classes(contents, *anchors, **copies):
+        indexed[step] += sum(map(job.read.symbols, contents))
+        return operator.window_classes(contents, *anchors, **copies)
+
+    def grouped(tables, by, *values):
+        whole = pa.concat_tables([pa.table({by: pa.array([], pa.int32()), **{v: pa.array([], pa.binary()) for v in values}}), *(t.select([by, *values]) for t in tables)])
+        return collections.defaultdict(lambda: whole.slice(0, 0), {k: whole.filter(pa.compute.equal(whole.column(by), k)) for k in set(whole.column(by).to_pylist())})
+
+    job = repeats.Job(operator.LENGTH, operator.GRAM, getattr(operator, read), classes, operator is substring_dedup, n)
+    schema = pa.schema({"doc_id": pa.int64(), "text": pa.binary(), "batch": pa.int32()})
+    texts = {b: pa.Table.from_pylist([{"doc_id": i, "text": t if t is None else t.encode(), "batch": b} for i, t, _ in rows[b::n]], schema) for b in range(n)}
+    named = collections.defaultdict(list)
+    for t in texts.values():
+        for r in job.name_anchors(t).to_pylist():
+            named[r["bucket"]].append(r)
+    shared = grouped([job.share_anchors(pa.table({"batch": pa.array([r["batch"] for r in own], pa.int32()), "keys": [r["keys"] for r in own]})) for own in named.values()], "batch", "keys", "hot")
+    step, sent = "cut", collections.defaultdict(list)
+    for b, t in texts.items():
+        for r in job.cut_stretches(t, shared[b]).to_pylist():
+            sent[r["bucket"]].append(r)
+    step = "compare"
+    told = grouped([job.compare(pa.table({"batch": pa.array([r["batch"] for r in own], pa.int32()), "stretches": [r["stretches"] for r in own]})) for own in sent.values()], "batch", "told")
+    step = "remove"
+    return [r for b, t in texts.items() for r in job.remove(t, told[b]).to_pylist()], indexed
+
+
+@pytest.mark.parametrize("operator", (substring_dedup, suffix_dedup))
+def test_dedups_index_copies_once(operator):
+    """Batches that hold a text once each index nothing of it; what they send of it is indexed once, not per batch."""
+    rows = [(i, " ".join(f"w{k}" for k in range(400)), "s") for i in range(8)]
+    out, indexed = dedup_in_steps(rows, 8, operator)
+    alone, _ = dedup_in_steps(rows[:2], 2, operator)
+    assert [bytes(r["kept"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [rows[0][1].encode()] + [bytes(alone[1]["kept"])] * 7
+    assert indexed["cut"] == indexed["remove"] == 0
+    assert indexed["compare"] == dedup_in_steps(rows[:2], 2, operator)[1]["compare"]
+
+
+@pytest.mark.parametrize("hot", (1, 64))
+@pytest.mark.parametrize("seed", range(6))
+def test_dedups_of_passages_within_and_across_batches(seed, hot, monkeypatch):
+    """Passages that stand in a text again and again, in one batch or in several, whole or in parts, behind others."""
+    import random
+
+    monkeypatch.setattr(repeats, "HOT_BATCHES", hot)
+    rng = random.Random(seed)
+    passages = [[f"p{k}w{rng.randint(0, 9)}" for _ in range(rng.randint(15, 70))] for k in range(4)]
+    rows = [(9, None, "s"), (10, "", "s"), (11, " \t\n\v\f\r", "s"), (None, " ".join(passages[0]), "s")]
+    for i in range(24):
+        words = []
+        for _ in range(rng.randint(0, 6)):
+            p = rng.choice(passages)
+            a = rng.choice((0, 0, rng.randint(0, 9)))
+            words += p[a : rng.choice((len(p), len(p), a + 30))] + [f"u{rng.randint(0, 3)}" for _ in range(rng.randint(0, 3))]
+        rows.append((100 - i // 2 * 2 if i % 7 == 0 else 200 - i, "".join(w + rng.choice((" ", "  ", "\t", " \x0b\n", "\x1c ")) for w in words), "s"))
+    for operator, brute in ((suffix_dedup, brute_suffix_dedup), (substring_dedup, brute_substring_dedup)):
+        for n in (1, 3, 9):
+            out, _ = dedup_in_steps(rows, n, operator)
+            spans = (lambda r: (r["starts"], r["ends"])) if operator is suffix_dedup else (lambda r: (sum(r["ends"]) - sum(r["starts"]),))
+            assert sorted(repr((r["doc_id"], r["n_symbols"], *spans(r), r["kept"])) for r in out) == sorted(map(repr, brute(rows)))
+
+
 def windows(contents, cut, length):
     return [tuple(cut(c)[i : i + length]) for c in contents for i in range(len(cut(c)) - length + 1)]
 
@@ -148,6 +216,22 @@ def test_matching_statistics_find_equal_windows(seed):
     assert same_partition(substring_dedup.window_classes(contents), windows(contents, bytes.split, 20))
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_windows_of_copied_contents_never_stand_alone(seed):
+    """Contents indexed once with the number of their copies: the same classes as with the copies written out."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    base = [b"w%d" % x for x in rng.integers(0, 3, 200)]
+    contents = list({b" ".join(base[a : a + k]) for a, k in rng.integers([0, 20], [120, 60], (6, 2)).tolist()})
+    copies = rng.integers(1, 3, len(contents))
+    once = substring_dedup.window_classes(contents, copies=copies)
+    ends = np.cumsum([len(c.split()) - 19 for c in contents])
+    classes = [c for c, k in zip(np.split(once, ends[:-1]), copies, strict=True) for _ in range(k)]
+    whole = [c for c, k in zip(contents, copies, strict=True) for _ in range(k)]
+    assert same_partition(np.concatenate(classes), windows(whole, bytes.split, 20))
+
+
 def test_fm_index_counts_all_places():
     import numpy as np
 
